@@ -54,27 +54,37 @@ def where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
-def percentile_screen(df: DataFrame, value: Column, prob: float, keep_above: bool) -> DataFrame:
-    """Per date, keep rows at or above (below) the given quantile of ``value``."""
-    valued = df.withColumn("_value", value)
-    cut = exact_quantiles(valued, "_value", [prob], out="_cut")
-    bound = F.get("_cut", F.lit(0))
-    test = col("_value") >= bound if keep_above else col("_value") <= bound
-    return join_by_date(valued, cut, "inner").where(test).drop("_value", "_cut")
+def percentile_cut(df: DataFrame, value: Column, prob: float, out: str) -> DataFrame:
+    """``date`` and the given quantile of ``value`` among the rows of the date."""
+    cut = exact_quantiles(df, value, [prob], out="_cut")
+    return cut.select("date", F.get("_cut", F.lit(0)).alias(out))
 
 
-def apply_filters(df: DataFrame, filters: Iterable[dict]) -> DataFrame:
-    """Row conditions first, then the percentile screens on the rows that pass them."""
-    filters = list(filters)
-    df = where_all(df, row_predicates(filters))
+def percentile_screens(df: DataFrame, filters: Iterable[dict]) -> DataFrame:
+    """Per date, keep rows at or above the quantile of dollar volume and at or below the upper
+    quantile of the spread. All quantiles are taken over the same rows, those given."""
+    tests, cuts = [], []
     for spec in filters:
         if spec.get("dollar_volume_percentile"):
-            df = percentile_screen(df, col("price") * col("daily_volume"),
-                                   spec["dollar_volume_percentile"], keep_above=True)
+            value, name = col("price") * col("daily_volume"), f"_cut{len(cuts)}"
+            cuts.append(percentile_cut(df, value, spec["dollar_volume_percentile"], name))
+            tests.append(value >= col(name))
         if spec.get("bid_ask_spread_percentile"):
-            df = percentile_screen(df, col("bid_ask_spread"),
-                                   1 - spec["bid_ask_spread_percentile"], keep_above=False)
-    return df
+            value, name = col("bid_ask_spread"), f"_cut{len(cuts)}"
+            cuts.append(percentile_cut(df, value, 1 - spec["bid_ask_spread_percentile"], name))
+            tests.append(value <= col(name))
+    if not cuts:
+        return df
+    columns = df.columns
+    for cut in cuts:
+        df = join_by_date(df, cut)
+    return where_all(df, tests).select(*[col(c) for c in columns])
+
+
+def apply_filters(df: DataFrame, filters: Iterable[dict]) -> DataFrame:
+    """Row conditions first, then the percentile screens among the rows that pass them."""
+    filters = list(filters)
+    return percentile_screens(where_all(df, row_predicates(filters)), filters)
 
 
 def validate_data(df: DataFrame) -> bool:

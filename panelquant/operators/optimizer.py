@@ -30,7 +30,8 @@ from panelquant.session import materialise
 
 MAX_GROUP_ROWS = 1_000_000
 TOLERANCE = 1e-10
-MAX_STEPS = 200
+MAX_STEPS = 300
+DAMPING_START, DAMPING_FLOOR = 1e-3, 1e-14
 
 
 def backtest_input(df: DataFrame, signal_name: str) -> DataFrame:
@@ -160,34 +161,44 @@ class Problem:
 
         u = np.zeros(self.size)
         # First step: everything held, i.e. the solution without LongOnly.
-        sums = yield u, True
-        _, gap, curvature = judge(u, sums)
-        u[free] = _solve(curvature[np.ix_(free, free)], gap[free])
+        _, gap, curvature = judge(u, (yield u, True))
+        spread = np.diag(np.maximum(np.diag(curvature), 1e-300))
+        u = _step(curvature, DAMPING_FLOOR * spread, gap, free)
         value, gap, curvature = judge(u, (yield u, not self.long_only))
+        # Damped Newton: few assets held make the curvature nearly singular, so the step is
+        # held back by a share of the curvature of all assets, which shrinks as steps succeed.
+        damping = DAMPING_START
         for _ in range(MAX_STEPS):
-            scale = TOLERANCE * max(1.0, np.abs(gap + target + ridge * u).max(initial=0.0))
-            if np.abs(gap[free]).max(initial=0.0) <= scale:
-                if free.all() or gap[0] <= scale:
+            size = TOLERANCE * max(1.0, np.abs(gap + target + ridge * u).max(initial=0.0))
+            if np.abs(gap[free]).max(initial=0.0) <= size:
+                if free.all() or gap[0] <= size:
                     return u, "optimal"
                 free[0] = True
-            step = np.zeros(self.size)
-            step[free] = _solve(curvature[np.ix_(free, free)], gap[free])
-            slope, length = gap @ step, 1.0
-            while True:
-                trial = u + length * step
-                new = judge(trial, (yield trial, not self.long_only))
-                if new[0] <= value - 1e-4 * length * slope + 1e-13 * abs(value) or length < 1e-8:
-                    break
-                length /= 2
-            u, (value, gap, curvature) = trial, new
+            step = _step(curvature, damping * spread, gap, free)
+            promised = gap @ step - step @ curvature @ step / 2
+            trial = u + step
+            new_value, new_gap, new_curvature = judge(trial, (yield trial, not self.long_only))
+            gained = value - new_value
+            # Below rounding error of the value only the gap can tell progress.
+            blind = promised <= 1e-11 * max(abs(value), abs(target @ u), 1e-300)
+            better = (np.abs(new_gap[free]).max() < np.abs(gap[free]).max() if blind
+                      else gained >= 1e-4 * promised)
+            if better:
+                u, value, gap, curvature = trial, new_value, new_gap, new_curvature
+            if not better or (not blind and gained < promised / 4):
+                damping = max(damping * 8, 1e-9)
+            elif blind or gained > promised * 3 / 4:
+                damping = max(damping / 10, DAMPING_FLOOR)
         return u, "not_converged"
 
 
-def _solve(matrix: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    if not rhs.size:
-        return rhs
-    ridge = 1e-12 * max(np.trace(matrix), 1e-300)
-    return np.linalg.solve(matrix + ridge * np.eye(len(rhs)), rhs)
+def _step(curvature: np.ndarray, damping: np.ndarray, gap: np.ndarray,
+          free: np.ndarray) -> np.ndarray:
+    step = np.zeros(len(gap))
+    if free.any():
+        pick = np.ix_(free, free)
+        step[free] = np.linalg.solve((curvature + damping)[pick], gap[free])
+    return step
 
 
 def _coefficients(problem: Problem, columns: dict) -> list:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelquant.functions.columns import col, finite
-from panelquant.operators.perdate import join_by_date
+from panelquant.operators.perdate import join_by_date, small_by_date
 
 # Significant bits kept at each step; the last step uses the values themselves.
 COARSE_BITS, MEDIUM_BITS = 11, 32
@@ -48,7 +48,10 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     The positions are ``q * (n - 1)`` as in ``percentile`` / ``quantile_cont``. Missing values
     are ignored; groups without values do not appear.
     """
-    exact = (df.select(by, finite(value).alias("x")).where("x IS NOT NULL")
+    # The three levels read one shuffled table of counts. Non-nullable keys keep the optimizer
+    # from adding null checks to single branches, which would make it three tables.
+    known = df.select(by, finite(value).alias("x")).where(col(by).isNotNull() & col("x").isNotNull())
+    exact = (known.select(by, F.coalesce("x", F.lit(0.0)).alias("x"))
              .groupBy(by, "x").agg(F.count("*").alias("n")))
     medium = (exact.groupBy(by, _round_bits(col("x"), MEDIUM_BITS).alias("medium"))
               .agg(F.sum("n").alias("n")))
@@ -82,8 +85,6 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
 
 def join_by_bin(counts: DataFrame, hit: DataFrame, by: str, bin_name: str) -> DataFrame:
     """Rows of the opened bins. ``hit`` has a fixed number of rows per group (one per rank)."""
-    from panelquant.operators.perdate import small_by_date
-
     return counts.join(small_by_date(hit, by), [by, bin_name])
 
 

@@ -270,12 +270,12 @@ SQL: dict[str, str] = {
     "distinct_countries": _select(PANEL, "DISTINCT iso_country_code", "panel"),
     "log_returns": _select(CLEAN, f"""date, barrid, {_r('ln(1 + "return")', 'log_return')}""", "clean"),
     "percentile_screen": _select(CLEAN + """,
-        dv AS (SELECT *, price * daily_volume AS dv FROM clean),
-        c1 AS (SELECT date, quantile_cont(dv, 0.1) AS cut FROM dv WHERE dv IS NOT NULL GROUP BY date),
-        k1 AS (SELECT dv.* FROM dv JOIN c1 USING (date) WHERE dv >= cut),
-        c2 AS (SELECT date, quantile_cont(bid_ask_spread, 0.9) AS cut FROM k1 GROUP BY date)""",
-                                 "k1.date, barrid, price, bid_ask_spread", "k1 JOIN c2 USING (date)",
-                                 "WHERE bid_ask_spread <= cut"),
+        cuts AS (SELECT date, quantile_cont(price * daily_volume, 0.1) AS low,
+                        quantile_cont(bid_ask_spread, 0.9) AS high
+                 FROM clean GROUP BY date)""",
+                                 "clean.date, barrid, price, bid_ask_spread",
+                                 "clean JOIN cuts USING (date)",
+                                 "WHERE price * daily_volume >= low AND bid_ask_spread <= high"),
     "quality_filter": _select(CLEAN + f""",
         q0 AS (SELECT *, {_rolling('daily_volume', 'avg', 13, 7)} AS adv,
                       {_rolling('bid_ask_spread', 'avg', 13, 13)} AS spread FROM clean),
