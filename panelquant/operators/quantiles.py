@@ -78,8 +78,10 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         for side, f in (("lo", F.floor), ("hi", F.ceil)):
             picks[f"{side}{i}"] = F.max(F.when(col("rank") == f(position), col("x")))
     found = at.groupBy(by, "total").agg(*[c.alias(name) for name, c in picks.items()])
-    values = [col(f"lo{i}") + (col(f"hi{i}") - col(f"lo{i}")) * (p - F.floor(p))
-              for i, p in enumerate(positions)]
+    # The arithmetic of ``percentile``, to the last bit.
+    values = [F.when(col(f"lo{i}") == col(f"hi{i}"), col(f"lo{i}")).otherwise(
+        (F.ceil(p) - p) * col(f"lo{i}") + (p - F.floor(p)) * col(f"hi{i}"))
+        for i, p in enumerate(positions)]
     return found.select(by, F.array(*values).alias(out))
 
 
