@@ -74,7 +74,8 @@ def closed_form_weights(rows: DataFrame, gamma: float, rules: Constraints) -> Da
     d, a, b = col("d"), col("alpha"), col("predicted_beta")
     sums = rows.groupBy("date").agg(
         F.sum(d).alias("s0"), F.sum(d * b).alias("s1"), F.sum(d * b * b).alias("s2"),
-        F.sum(d * a).alias("t0"), F.sum(d * a * b).alias("t1"))
+        F.sum(d * a).alias("t0"), F.sum(d * a * b).alias("t1"),
+        ((F.min(b) == 1) & (F.max(b) == 1)).alias("all_one"))
     s0, s1, s2, t0, t1 = (col(c) for c in ("s0", "s1", "s2", "t0", "t1"))
     zero = F.lit(0.0)
 
@@ -83,8 +84,11 @@ def closed_form_weights(rows: DataFrame, gamma: float, rules: Constraints) -> Da
             # A determinant this small relative to its terms is a set of equal betas.
             det = s0 * s2 - s1 * s1
             det = F.when(det > 1e-12 * s0 * s2, det)
-            return (divide((t0 - 1) * s2 - (t1 - 1) * s1, det),
-                    divide((t1 - 1) * s0 - (t0 - 1) * s1, det))
+            # With all betas 1 the two constraints are the same one.
+            return (F.when(col("all_one"), divide(t0 - 1, s0))
+                    .otherwise(divide((t0 - 1) * s2 - (t1 - 1) * s1, det)),
+                    F.when(col("all_one"), zero)
+                    .otherwise(divide((t1 - 1) * s0 - (t0 - 1) * s1, det)))
         if budget:
             return divide(t0 - 1, s0), zero
         if rules.unit_beta:

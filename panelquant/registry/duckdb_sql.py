@@ -66,7 +66,7 @@ rows_d AS (
   FROM alpha WHERE str_alpha IS NOT NULL),
 sums AS (
   SELECT date, sum(d) AS s0, sum(d * b) AS s1, sum(d * b * b) AS s2, sum(d * a) AS t0,
-         sum(d * a * b) AS t1
+         sum(d * a * b) AS t1, min(b) = 1 AND max(b) = 1 AS all_one
   FROM rows_d GROUP BY date)"""
 
 BUDGET_WEIGHTS = MOMENTS + """,
@@ -75,12 +75,16 @@ weights AS (
   FROM rows_d JOIN sums USING (date))"""
 
 FULL_BETA_WEIGHTS = MOMENTS + """,
-solved AS (
-  SELECT date, CASE WHEN s0 * s2 - s1 * s1 > 1e-12 * s0 * s2 THEN s0 * s2 - s1 * s1 END AS det,
-         ((t0 - 1) * s2 - (t1 - 1) * s1) AS n1, ((t1 - 1) * s0 - (t0 - 1) * s1) AS n2
+det AS (
+  SELECT *, CASE WHEN s0 * s2 - s1 * s1 > 1e-12 * s0 * s2 THEN s0 * s2 - s1 * s1 END AS det
   FROM sums),
+solved AS (
+  SELECT date,
+         CASE WHEN all_one THEN (t0 - 1) / s0 ELSE ((t0 - 1) * s2 - (t1 - 1) * s1) / det END AS l1,
+         CASE WHEN all_one THEN 0 ELSE ((t1 - 1) * s0 - (t0 - 1) * s1) / det END AS l2
+  FROM det),
 weights AS (
-  SELECT date, barrid, d * (a - n1 / det - n2 / det * b) AS weight
+  SELECT date, barrid, d * (a - l1 - l2 * b) AS weight
   FROM rows_d JOIN solved USING (date))"""
 
 BUCKETS = ALPHA + """,
