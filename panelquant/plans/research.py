@@ -55,19 +55,21 @@ def run_pipeline(source: SparkSession | DataFrame, config: dict, run_name: str,
     paths = {kind: os.path.join(folder, f"{run_name}_{kind}.parquet")
              for kind in ("weights", "returns", "alphas")}
 
+    def written(df: DataFrame, kind: str) -> DataFrame:
+        """What follows reads the written rows, so nothing is computed twice."""
+        write_by_year(df, paths[kind])
+        # The schema is given, since a result without rows has no file to take it from.
+        return spark.read.schema(df.schema).parquet(paths[kind])
+
     alphas = compute_alphas(panel, signal)
     if write_alphas:
-        write_by_year(alphas, paths["alphas"])
-        alphas = spark.read.parquet(paths["alphas"]).drop("year")
+        alphas = written(alphas, "alphas")
     else:
         del paths["alphas"]
     weights = run_mvo_backtest(alphas, signal["name"], backtest["constraints"],
                                backtest["gamma"], backtest.get("factors", ()),
                                backtest.get("factor_cov"))
-    write_by_year(weights, paths["weights"])
-    # What follows reads the written weights, so they are solved once.
-    weights = spark.read.parquet(paths["weights"]).drop("year")
-    write_by_year(generate_returns_from_weights(weights, panel, portfolio=run_name),
-                  paths["returns"])
-    returns = spark.read.parquet(paths["returns"]).drop("year")
+    weights = written(weights, "weights")
+    returns = written(generate_returns_from_weights(weights, panel, portfolio=run_name),
+                      "returns")
     return ResearchResult(alphas, weights, returns, paths)
