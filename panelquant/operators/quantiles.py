@@ -28,17 +28,11 @@ def _round_bits(value: Column, bits: int) -> Column:
     return scaled - (scaled - value)
 
 
-def _open_bins(counts: DataFrame, by: str, outer: str | None, inner: str,
-               wanted: Column) -> DataFrame:
-    """Keep the bins of ``counts`` that contain a wanted rank, with the ranks they contain."""
-    keys = [by] if outer is None else [by, outer]
-    running = F.sum("n").over(Window.partitionBy(*keys).orderBy(inner)
-                              .rowsBetween(Window.unboundedPreceding, 0))
-    first = F.lit(0) if outer is None else col("first")
-    placed = counts.withColumn("ranks", wanted).withColumn("last", first + running)
-    placed = placed.withColumn("first", col("last") - col("n"))
-    held = F.filter("ranks", lambda r: (r >= col("first")) & (r < col("last")))
-    return placed.withColumn("ranks", held).where(F.size("ranks") > 0)
+def _placed(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds the rank after the last row of every bin, counted from ``first`` of the outer bin."""
+    frame = (Window.partitionBy(*keys).orderBy(value)
+             .rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("last", F.expr("first") + F.sum("n").over(frame))
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
@@ -58,36 +52,29 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     coarse = (medium.groupBy(by, _round_bits(col("medium"), COARSE_BITS).alias("coarse"))
               .agg(F.sum("n").alias("n")))
 
-    total = F.sum("n").over(Window.partitionBy(by))
-    positions = [F.lit(float(q)) * (col("total") - 1) for q in probs]
-    wanted = F.array_distinct(F.array(
-        *[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)]))
-    hit = _open_bins(coarse.withColumn("total", total), by, None, "coarse", wanted)
-    hit = _open_bins(
-        join_by_bin(medium.withColumn("coarse", _round_bits(col("medium"), COARSE_BITS)),
-                    hit.select(by, "coarse", "first", "ranks", "total"), by, "coarse"),
-        by, "coarse", "medium", col("ranks"))
-    hit = _open_bins(
-        join_by_bin(exact.withColumn("medium", _round_bits(col("x"), MEDIUM_BITS)),
-                    hit.select(by, "medium", "first", "ranks", "total"), by, "medium"),
-        by, "medium", "x", col("ranks"))
-
-    at = hit.select(by, "total", "x", F.explode("ranks").alias("rank"))
-    picks = {}
-    for i, position in enumerate(positions):
-        for side, f in (("lo", F.floor), ("hi", F.ceil)):
-            picks[f"{side}{i}"] = F.max(F.when(col("rank") == f(position), col("x")))
-    found = at.groupBy(by, "total").agg(*[c.alias(name) for name, c in picks.items()])
-    # The arithmetic of ``percentile``, to the last bit.
-    values = [F.when(col(f"lo{i}") == col(f"hi{i}"), col(f"lo{i}")).otherwise(
-        (F.ceil(p) - p) * col(f"lo{i}") + (p - F.floor(p)) * col(f"hi{i}"))
-        for i, p in enumerate(positions)]
-    return found.select(by, F.array(*values).alias(out))
+    places = [f"(double({float(q)!r}) * (total - 1))" for q in probs]
+    ranks = [f"{side}{place}" for place in places for side in ("floor", "ceil")]
+    wanted = " OR ".join(f"({r} >= last - n AND {r} < last)" for r in dict.fromkeys(ranks))
 
+    def opened(placed: DataFrame, bin_name: str) -> DataFrame:
+        """The bins with a wanted rank: at most two per quantile and group."""
+        return placed.where(wanted).selectExpr(by, bin_name, "last - n AS first", "total")
 
-def join_by_bin(counts: DataFrame, hit: DataFrame, by: str, bin_name: str) -> DataFrame:
-    """Rows of the opened bins. ``hit`` has a fixed number of rows per group (one per rank)."""
-    return counts.join(small_by_date(hit, by), [by, bin_name])
+    total = F.sum("n").over(Window.partitionBy(by))
+    hit = opened(_placed(coarse.select("*", total.alias("total"), F.lit(0).alias("first")),
+                         [by], "coarse"), "coarse")
+    inner = medium.withColumn("coarse", _round_bits(col("medium"), COARSE_BITS))
+    hit = opened(_placed(inner.join(small_by_date(hit, by), [by, "coarse"]),
+                         [by, "coarse"], "medium"), "medium")
+    inner = exact.withColumn("medium", _round_bits(col("x"), MEDIUM_BITS))
+    found = (_placed(inner.join(small_by_date(hit, by), [by, "medium"]), [by, "medium"], "x")
+             .where(wanted).groupBy(by, "total")
+             .agg(*[F.expr(f"max(CASE WHEN {r} >= last - n AND {r} < last THEN x END)")
+                    .alias(f"x{k}") for k, r in enumerate(ranks)]))
+    # The arithmetic of ``percentile``, to the last bit.
+    values = [f"CASE WHEN x{2 * k} = x{2 * k + 1} THEN x{2 * k} ELSE (ceil{p} - {p}) * x{2 * k}"
+              f" + ({p} - floor{p}) * x{2 * k + 1} END" for k, p in enumerate(places)]
+    return found.selectExpr(by, f"array({', '.join(values)}) AS {out}")
 
 
 def quantile_bucket(df: DataFrame, value: str, buckets: int = 5, by: str = "date",

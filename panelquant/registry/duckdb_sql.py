@@ -200,6 +200,13 @@ def _signal(value: str, aggregate: str, size: int, least: int, sign: str, shift:
                    "late")
 
 
+def _interpolated(values: str, prob: str) -> str:
+    place = f"({prob} * (len({values}) - 1))"
+    low, high = (f"{values}[CAST({f}({place}) AS integer) + 1]" for f in ("floor", "ceil"))
+    return (f"CASE WHEN {low} = {high} THEN {low} ELSE (ceil({place}) - {place}) * {low} "
+            f"+ ({place} - floor({place})) * {high} END")
+
+
 def _histogram(prefix: str, source: str, value: str, digits: int | None) -> str:
     def shown(e, name):
         return f"{e} AS {name}" if digits is None else _r(e, name, digits)
@@ -273,10 +280,15 @@ SQL: dict[str, str] = {
                                AND specific_risk IS NOT NULL) AS rows_kept""", "panel"),
     "distinct_countries": _select(PANEL, "DISTINCT iso_country_code", "panel"),
     "log_returns": _select(CLEAN, f"""date, barrid, {_r('ln(1 + "return")', 'log_return')}""", "clean"),
-    "percentile_screen": _select(CLEAN + """,
-        cuts AS (SELECT date, quantile_cont(price * daily_volume, 0.1) AS low,
-                        quantile_cont(bid_ask_spread, 0.9) AS high
-                 FROM clean GROUP BY date)""",
+    # quantile_cont may return slightly less than x when it lies between two equal values x,
+    # which would drop the ties at the cut; so the definition is spelled out.
+    "percentile_screen": _select(CLEAN + f""",
+        sorted AS (SELECT date, list_sort(list(price * daily_volume)
+                                          FILTER (WHERE price * daily_volume IS NOT NULL)) AS dv,
+                          list_sort(list(bid_ask_spread)) AS sp
+                   FROM clean GROUP BY date),
+        cuts AS (SELECT date, {_interpolated('dv', '0.1::double')} AS low,
+                        {_interpolated('sp', '(1 - 0.1::double)')} AS high FROM sorted)""",
                                  "clean.date, barrid, price, bid_ask_spread",
                                  "clean JOIN cuts USING (date)",
                                  "WHERE price * daily_volume >= low AND bid_ask_spread <= high"),
@@ -289,7 +301,7 @@ SQL: dict[str, str] = {
         q3 AS (SELECT *, lag(spread) OVER (PARTITION BY barrid ORDER BY date) AS spread_lag
                FROM (SELECT * FROM q2 WHERE addv >= 50000))""",
                               f"""date, barrid, price_lag,
-                              {_r('addv', 'avg_daily_dollar_volume', 3)},
+                              {_r('addv', 'avg_daily_dollar_volume', 7)},
                               {_r('spread_lag', 'spread_lag', 10)}""", "q3", "WHERE spread_lag <= 0.04"),
     "rolling_mean_min": _select(CLEAN, f"date, barrid, {_r(_rolling('daily_volume', 'avg', 22, 11), 'mean_volume')}", "clean"),
     "rolling_sum_full": _select(CLEAN, f"date, barrid, {_r(_rolling('daily_volume', 'sum', 22, 22), 'sum_volume')}", "clean"),
@@ -302,7 +314,7 @@ SQL: dict[str, str] = {
     "str_signal": _select(ALPHA, f"date, barrid, {_r('str', 'str')}", "alpha"),
     "price_impact_signal": _signal('abs("return") / nullif(price * daily_volume, 0)', "avg", 22, 11,
                                    "", 2, 12, "impact"),
-    "cost_signal": _signal("bid_ask_spread", "avg", 52, 52, "", 2, 6, "cost"),
+    "cost_signal": _signal("bid_ask_spread", "avg", 52, 52, "", 2, 10, "cost"),
     "zscore_by_date": _select(CLEAN, "date, barrid, " + _r(
         "(specific_risk - avg(specific_risk) OVER (PARTITION BY date)) "
         "/ nullif(stddev_samp(specific_risk) OVER (PARTITION BY date), 0)", "score"), "clean"),

@@ -142,7 +142,7 @@ def quality_filter(spark, sf_dir):
                                "spread": rolling.rolling_mean("bid_ask_spread", 13)})
     kept = quality_screen(panel, 1000, 50_000, 0.04, "adv", "spread")
     return kept.select("date", "barrid", "price_lag",
-                       rounded("avg_daily_dollar_volume", 3).alias("avg_daily_dollar_volume"),
+                       rounded("avg_daily_dollar_volume", 7).alias("avg_daily_dollar_volume"),
                        rounded("spread_lag", 10).alias("spread_lag"))
 
 
@@ -202,7 +202,7 @@ def price_impact_signal(spark, sf_dir):
 @query
 def cost_signal(spark, sf_dir):
     panel = compute_cost(clean(spark, sf_dir), "cost", {"window_size": 52})
-    return panel.select("date", "barrid", rounded("cost").alias("cost"))
+    return panel.select("date", "barrid", rounded("cost", 10).alias("cost"))
 
 
 @query
@@ -442,7 +442,8 @@ def supplier_holdings(spark, sf_dir) -> DataFrame:
     """Everything ever shipped, as positions: ticker, shares, average price."""
     return (spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey")
             .agg(F.sum("l_quantity").alias("shares"),
-                 F.sum(col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("ext"))
+                 (F.sum(F.rint(col("l_extendedprice") * 100).cast("bigint")).cast("double") / 100)
+                 .alias("ext"))
             .select(F.concat(F.lit("T"), col("l_suppkey").cast("string")).alias("ticker"),
                     "shares", (col("ext") / col("shares")).alias("price")))
 

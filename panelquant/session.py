@@ -14,6 +14,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # A panel already partitioned by asset is joined on (date, asset) where it lies.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

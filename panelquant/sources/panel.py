@@ -81,14 +81,14 @@ def parse_date(text: str | dt.date) -> dt.date:
 def write_by_year(df: DataFrame, path: str) -> None:
     """Overwrites ``path`` with one folder per year.
 
-    Rows go to the task writing their (year, asset hash) slice, so that neither one year nor one
-    asset decides the size of a task, and are sorted by asset and date inside each file.
+    Rows are rebalanced by year: the adaptive planner splits years that are large and merges
+    small ones, so files have a sensible size at any scale and no task writes a whole large year.
+    Rows are sorted by asset and date inside each file.
     """
-    dated = df.withColumn("year", F.year("date"))
-    if "barrid" in df.columns:
-        dated = (dated.repartition("year", F.pmod(F.xxhash64("barrid"), F.lit(64)))
-                 .sortWithinPartitions("year", "barrid", "date"))
-    dated.write.mode("overwrite").partitionBy("year").parquet(path)
+    dated = df.withColumn("year", F.year("date")).hint("rebalance", col("year"))
+    order = [c for c in ("year", "barrid", "date") if c in dated.columns]
+    (dated.sortWithinPartitions(*order)
+     .write.mode("overwrite").partitionBy("year").parquet(path))
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelquant.functions.columns import col
 from panelquant.operators.rolling import lag
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (week, supplier). Sums go through decimals, so they do not depend on order."""
+    """One row per (week, supplier). Sums count whole cents, so they do not depend on order."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
 
-    def exact_sum(name: str):
-        return F.sum(col(name).cast("decimal(18,2)")).cast("double")
+    def exact_sum(name: str) -> Column:
+        return F.sum(F.rint(col(name) * 100).cast("bigint")).cast("double") / 100
 
     weeks = (lineitem
              .groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), "l_suppkey")
