@@ -301,7 +301,7 @@ SQL: dict[str, str] = {
         q3 AS (SELECT *, lag(spread) OVER (PARTITION BY barrid ORDER BY date) AS spread_lag
                FROM (SELECT * FROM q2 WHERE addv >= 50000))""",
                               f"""date, barrid, price_lag,
-                              {_r('addv', 'avg_daily_dollar_volume', 7)},
+                              addv AS avg_daily_dollar_volume,
                               {_r('spread_lag', 'spread_lag', 10)}""", "q3", "WHERE spread_lag <= 0.04"),
     "rolling_mean_min": _select(CLEAN, f"date, barrid, {_r(_rolling('daily_volume', 'avg', 22, 11), 'mean_volume')}", "clean"),
     "rolling_sum_full": _select(CLEAN, f"date, barrid, {_r(_rolling('daily_volume', 'sum', 22, 22), 'sum_volume')}", "clean"),

@@ -142,7 +142,7 @@ def quality_filter(spark, sf_dir):
                                "spread": rolling.rolling_mean("bid_ask_spread", 13)})
     kept = quality_screen(panel, 1000, 50_000, 0.04, "adv", "spread")
     return kept.select("date", "barrid", "price_lag",
-                       rounded("avg_daily_dollar_volume", 7).alias("avg_daily_dollar_volume"),
+                       "avg_daily_dollar_volume",
                        rounded("spread_lag", 10).alias("spread_lag"))
 
 
