@@ -27,10 +27,6 @@ def divide(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
-def percent_to_decimal(*names: str) -> dict[str, Column]:
-    return {name: col(name) / 100 for name in names}
-
-
 def zero_to_null(name: str) -> Column:
     return F.nullif(col(name), F.lit(0))
 

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelquant.functions.columns import PERCENT_COLUMNS, col, percent_to_decimal, zero_to_null
+from panelquant.functions.columns import PERCENT_COLUMNS, col, zero_to_null
 from panelquant.operators.perdate import join_by_date
 from panelquant.operators.quantiles import exact_quantiles
 
@@ -16,38 +16,38 @@ log = logging.getLogger(__name__)
 
 REQUIRED_COLUMNS = ("date", "barrid", "return", "specific_risk")
 
+# Cleaning steps by configuration flag; a step runs unless its flag is set to false.
+CLEANING: dict[str, dict[str, str]] = {
+    "convert_returns_to_decimal": {name: "percent" for name in PERCENT_COLUMNS},
+    "replace_zero_volume": {"daily_volume": "zero"},
+}
 
-def prepare_data(df: DataFrame, cleaning: dict | None = None) -> DataFrame:
-    """Percent columns to decimals and zero volume to NULL; both default to on."""
-    cleaning = cleaning or {}
-    changed: dict[str, Column] = {}
-    if cleaning.get("convert_returns_to_decimal", True):
-        changed.update(percent_to_decimal(*PERCENT_COLUMNS))
-    if cleaning.get("replace_zero_volume", True):
-        changed["daily_volume"] = zero_to_null("daily_volume")
-    return df.withColumns(changed) if changed else df
+# Row conditions by configuration key: the value an absent key stands for, and the condition as
+# SQL with the configured value in place of {}. A value of None, False or 0 switches it off.
+ROW_CONDITIONS = {
+    "usa_only": (True, "iso_country_code = 'USA' AND rootid = barrid AND startswith(barrid, 'US')"),
+    "min_price": (None, "price >= {}D"),
+    "min_market_cap": (None, "market_cap >= {}D"),
+    "require_returns": (True, "`return` IS NOT NULL"),
+    "require_specific_risk": (True, "specific_risk IS NOT NULL"),
+}
 
 
-def usa_only() -> list[Column]:
-    return [col("iso_country_code") == "USA", col("rootid") == col("barrid"),
-            F.startswith(col("barrid"), F.lit("US"))]
+def prepare_data(df: DataFrame, cleaning: dict | None = None) -> DataFrame:
+    """Percent columns to decimals and zero volume to NULL."""
+    flags = cleaning or {}
+    make = {"percent": lambda name: col(name) / 100, "zero": zero_to_null}
+    changed = {name: make[kind](name) for flag, step in CLEANING.items() if flags.get(flag, True)
+               for name, kind in step.items()}
+    return df.withColumns(changed) if changed else df
 
 
 def row_predicates(filters: Iterable[dict]) -> list[Column]:
     """The conditions of all filter dicts; a row has to satisfy every one of them."""
-    conditions: list[Column] = []
-    for spec in filters:
-        if spec.get("usa_only", True):
-            conditions += usa_only()
-        if spec.get("min_price"):
-            conditions.append(col("price") >= spec["min_price"])
-        if spec.get("min_market_cap"):
-            conditions.append(col("market_cap") >= spec["min_market_cap"])
-        if spec.get("require_returns", True):
-            conditions.append(col("return").isNotNull())
-        if spec.get("require_specific_risk", True):
-            conditions.append(col("specific_risk").isNotNull())
-    return conditions
+    chosen = ((template, spec.get(key, default)) for spec in filters
+              for key, (default, template) in ROW_CONDITIONS.items())
+    texts = [t.format(repr(float(value))) for t, value in chosen if value]
+    return [F.expr(text) for text in dict.fromkeys(texts)]
 
 
 def where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:

@@ -27,7 +27,7 @@ def _from_config(df: DataFrame, name: str, config: dict, statistic, value,
 
 
 def compute_idio_vol(df: DataFrame, name: str, config: dict) -> DataFrame:
-    """Long low, short high idiosyncratic risk: minus the mean specific risk, two rows late."""
+    """Minus the rolling mean of specific risk, known two rows late."""
     return _from_config(df, name, config, rolling.rolling_mean, "specific_risk", 252, -1, 2)
 
 
