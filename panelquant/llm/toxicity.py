@@ -40,7 +40,7 @@ LEAST_GRAMS = 500
 MAX_TOXIC, MAX_CLEAN = 12_000, 24_000
 EPOCHS = 6
 #: Small samples are gone through more often, to this number of batches.
-LEAST_BATCHES = 3_000
+LEAST_BATCHES = 1_000
 RATE = 0.5
 ROW_RATE = 20.0
 OUTPUT_RATE = 4.0
