@@ -287,13 +287,14 @@ def remove_repeats(docs: DataFrame, max_strings: int = MAX_STRINGS) -> DataFrame
     key = ["doc", "version"]
     version = F.expr(f"CAST(shiftright(pack & {HOT - 1}, 45) AS bigint)").alias("version")
     places = found.groupBy("doc", version).agg(F.collect_set("pack").alias("packs"))
-    # All joins below read this one exchange of the texts.
+    # The three joins below take the same columns of the texts, so that they share one exchange.
     texts = frame.repartition(n, *key)
-    marked = texts.join(places, key).select("doc", "text", "packs")
+    own = ["doc_id", *key, "text"]
+    marked = texts.join(places, key).select(*own, "packs")
     firsts = over_batches(marked, _segments(False), "anchor bigint, own bigint, doc bigint, pack bigint").groupBy(
         "anchor", "own").agg(F.min(F.struct("doc", "pack")).alias("first")).select("first.doc", "first.pack")
     wanted = firsts.groupBy("doc", version).agg(F.collect_set("pack").alias("packs"))
-    strings = over_batches(texts.join(wanted, key).select("doc", "text", "packs"), _segments(True),
+    strings = over_batches(texts.join(wanted, key).select(*own, "packs"), _segments(True),
                            "anchor bigint, own binary, doc bigint, pack bigint")
     ordered = strings.where(F.col("pack") < HOT).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
         _rounds, "doc bigint, pack bigint, kept binary")
@@ -305,5 +306,5 @@ def remove_repeats(docs: DataFrame, max_strings: int = MAX_STRINGS) -> DataFrame
     kept = ordered.unionByName(hashed).groupBy("doc", version).agg(
         F.collect_list(F.struct("pack", "kept")).alias("firsts"))
     whole = texts.join(places, key, "left").join(kept, key, "left")
-    return over_batches(whole.select("doc_id", "text", "packs", "firsts"), _remove,
+    return over_batches(whole.select(*own, "packs", "firsts"), _remove,
                         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, rest binary")
