@@ -10,9 +10,9 @@ as its value passes the largest component, so a weight costs its logarithm and f
 
 Signatures are cut into bands. Documents that share a band are candidates; a link is a candidate
 pair whose multisets of shingles overlap to SIMILARITY or more, computed from whole texts.
-Groups are the connected components. Texts that are equal are collapsed first. To leave no pairs
-of a large group to be compared, documents are first compared with the candidate that shares most
-bands, then rounds compare only pairs that still lie in different groups, to the last such pair.
+Groups are the connected components. Texts that are equal are collapsed first. Documents are then
+compared with the candidate that shares most bands, so that the pairs of a large group need no
+comparing; what still lies in different groups is compared to the last pair, in blocks.
 
 Documents without a word are alone. Rows that share an id are one document, linked by any of its
 texts; a null id is alone and has a null class. Other columns are ignored; an empty table gives
@@ -22,6 +22,7 @@ an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,12 @@ BANDS = 32
 ROWS = 4
 #: Shingles whose processes run side by side.
 AT_ONCE = 1 << 18
-#: Rounds that compare one pair for each document and band, before all that is left is compared.
+#: Rounds that compare one pair for each document, before all that is left is compared.
 STAR_ROUNDS = 2
+#: Documents of one band that a task compares with as many others.
+BLOCK = 512
+#: Components in which a pair agrees at least: four standard deviations below SIMILARITY.
+LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -156,35 +161,88 @@ def groups(docs: DataFrame) -> DataFrame:
     held = written(bands.join(shared, "band"), "minhash-buckets")
     texts = written(frame.join(held.select("id").distinct(), "id", "left_semi").distinct(), "minhash-texts")
 
-    links = tested = group = None
-    for rounds in range(STAR_ROUNDS + 1):
-        # Every id with the group it lies in so far.
-        now = held.withColumn("g", F.col("id")) if group is None else held.join(group, "id", "left").select(
-            "id", "band", F.coalesce("component", "id").alias("g"))
-        if rounds < STAR_ROUNDS:
-            # One of each band: an id of its least group, another one each round.
-            pick = now.groupBy("band").agg(
-                F.min(F.struct("g", F.xxhash64(F.lit(rounds), "id").alias("h"), "id")).alias("p"))
-            pairs = now.join(pick, "band").where("g != p.g").select(
-                F.col("id").alias("a"), F.col("p.id").alias("b"))
-            # Of these, each id is compared with the one it shares most bands with.
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(
-                F.max(F.struct("c", F.col("b"))).alias("m")).select("a", "m.b")
-        else:
-            other = now.select("band", F.col("id").alias("b"), F.col("g").alias("h"))
-            pairs = now.withColumnRenamed("id", "a").join(other, "band").where("g < h").select("a", "b")
+    links = group = None
+    for rounds in range(STAR_ROUNDS):
+        now = _grouped(held, group)
+        # One of each band: an id of its least group, another one each round. Each id is compared
+        # with the one of these that it shares most bands with.
+        pick = now.groupBy("band").agg(F.min(F.struct("g", F.xxhash64(F.lit(rounds), "id").alias("h"), "id")).alias("p"))
+        pairs = now.join(pick, "band").where("g != p.g").select(F.col("id").alias("a"), F.col("p.id").alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(
+            F.max(F.struct("c", F.col("b"))).alias("m")).select("a", "m.b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "minhash-pairs")
         found = written(verified(pairs, texts), "minhash-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        if rounds < STAR_ROUNDS:
-            group = components(links, "minhash-groups")
+        group = components(links, "minhash-groups")
+    links = links.unionByName(_rest(_grouped(held, group), texts))
     return components(links.unionByName(copies), "minhash-classes")
 
 
+def _grouped(held: DataFrame, group: DataFrame | None) -> DataFrame:
+    """id, band and g, the group of each id so far."""
+    if group is None:
+        return held.select("id", "band", F.col("id").alias("g"))
+    return held.join(group, "id", "left").select("id", "band", F.coalesce("component", "id").alias("g"))
+
+
+def _rest(now: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between ids that share a band and lie in different groups; enough to connect the groups.
+
+    In each band all ids outside its largest group are compared with all others, block by block,
+    inside tasks: what leaves a task are links, not pairs.
+    """
+    sizes = now.groupBy("band", "g").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("band").agg(F.max(F.struct("c", "g")).alias("top"), F.sum("c").alias("n"),
+                                    F.count("*").alias("k")).where("k > 1").select(
+        "band", F.col("top.g").alias("top"), F.expr(f"CAST(ceil((n - top.c) / {BLOCK}) AS int)").alias("na"),
+        F.expr(f"CAST(ceil(n / {BLOCK}) AS int)").alias("nb"))
+    dealt = now.join(top, "band").selectExpr(
+        "band", "id", "g", "g != top AS rest", "na", "nb", "CAST(pmod(xxhash64(id, band), na) AS int) AS mine_a",
+        "CAST(pmod(xxhash64(band, id), nb) AS int) AS mine_b")
+    cells = dealt.withColumn("cell", F.explode(F.expr(
+        "array_union(CASE WHEN rest THEN transform(sequence(0, nb - 1), j -> named_struct('i', mine_a, 'j', j)) "
+        "ELSE array() END, transform(sequence(0, na - 1), i -> named_struct('i', i, 'j', mine_b)))"))).selectExpr(
+        "band", "id", "g", "rest", "cell.i", "cell.j", "rest AND cell.i = mine_a AS left", "cell.j = mine_b AS right")
+    return written(cells.join(texts, "id").groupBy("band", "i", "j").applyInPandas(_compare, "a bigint, b bigint").distinct(),
+                   "minhash-links")
+
+
+def _compare(frame: pd.DataFrame) -> pd.DataFrame:
+    bags = [shingles(t) for t in frame["text"]]
+    signed = signatures(bags)
+    bands = band_hashes(signed).view(np.int64)
+    band = int(frame["band"].iloc[0])
+    ids, rest = frame["id"].to_numpy(), frame["rest"].to_numpy()
+    group, sums = frame["g"].to_numpy(), np.array([int(b[1].sum()) for b in bags])
+    left, right = np.flatnonzero(frame["left"]), np.flatnonzero(frame["right"])
+    pairs = []
+    for a in left.tolist():
+        b = right[(group[right] != group[a]) & (~rest[right] | (ids[right] > ids[a]))]
+        # No pair of the least similarity differs more in length, nor (but for one in thirty
+        # thousand) agrees in fewer components.
+        b = b[np.minimum(sums[b], sums[a]) >= SIMILARITY * np.maximum(sums[b], sums[a])]
+        agree = (signed[b] == signed[a]).mean(1)
+        b, agree = b[agree >= LEAST_AGREEMENT], agree[agree >= LEAST_AGREEMENT]
+        # Of the bands that two documents share, the first compares them.
+        first = (bands[b] == bands[a]).argmax(1)
+        own = bands[a][first] == band
+        pairs += zip(agree[own].tolist(), [a] * int(own.sum()), b[own].tolist(), strict=True)
+    parent: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while g in parent:
+            g = parent[g]
+        return g
+
+    found = []
+    for _, a, b in sorted(pairs, reverse=True):
+        x, y = find(group[a]), find(group[b])
+        if x != y and weighted_jaccard(bags[a], bags[b]) >= SIMILARITY:
+            parent[x] = y
+            found.append((ids[a], ids[b]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of the document's group, itself included), kept."""
     known = groups(docs).select(F.col("id").alias("doc_id"), "component")
