@@ -39,6 +39,7 @@ ROWS = 4
 AT_ONCE = 1 << 18
 #: Rounds that compare one pair for each document, before all that is left is compared.
 STAR_ROUNDS = 2
+assert ROWS == 4  # four components of 16 bits each are compared as one number
 #: Documents of one band that a task compares with as many others.
 BLOCK = 512
 #: Components in which a pair agrees at least: four standard deviations below SIMILARITY.
@@ -106,10 +107,13 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     bands: list[list[int] | None] = []
+    short: list[bytes] = []
     part: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> None:
-        hashes = band_hashes(signatures(part)).view(np.int64).tolist()
+        signed = signatures(part)
+        hashes = band_hashes(signed).view(np.int64).tolist()
+        short.extend(row.tobytes() for row in mix64(signed.view(np.uint64)).astype(np.uint16))
         bands.extend(h if len(b[0]) else None for h, b in zip(hashes, part, strict=True))
         part.clear()
 
@@ -123,7 +127,8 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     if part:
         flush()
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h1", "h2")),
-                                       pa.array(bands, pa.list_(pa.int64()))], ["id", "h1", "h2", "bands"])
+                                       pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                                      ["id", "h1", "h2", "bands", "short"])
 
 
 def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -138,6 +143,7 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of which some texts are similar enough."""
+    texts = texts.select("id", "text")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return over_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), _similar,
@@ -150,16 +156,17 @@ def groups(docs: DataFrame) -> DataFrame:
         F.col("id").isNotNull() & F.col("text").isNotNull())
     hashes = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.length("text"), "text").alias("h2")
     signed = written(over_batches(frame.select("id", *hashes, "text"), _sign,
-                                  "id bigint, h1 bigint, h2 bigint, bands array<bigint>"), "minhash-bands")
+                                  "id bigint, h1 bigint, h2 bigint, bands array<bigint>, short binary"), "minhash-bands")
     # Equal texts: one of them stands for all, and the others link to it.
     lead = signed.where("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("lead"), F.count("*").alias("n"))
     copies = signed.join(lead.where("n > 1"), ["h1", "h2"]).where("id != lead").select(
         F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     bands = signed.join(lead.select("h1", "h2", F.col("lead").alias("id")), ["h1", "h2", "id"], "left_semi").select(
-        "id", F.explode("bands").alias("band")).distinct()
+        "id", F.posexplode("bands").alias("k", "band")).distinct()
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     held = written(bands.join(shared, "band"), "minhash-buckets")
-    texts = written(frame.join(held.select("id").distinct(), "id", "left_semi").distinct(), "minhash-texts")
+    texts = written(frame.select("id", *hashes, "text").join(held.select("id").distinct(), "id", "left_semi").join(
+        signed.select("id", "h1", "h2", "short"), ["id", "h1", "h2"]).select("id", "text", "short").distinct(), "minhash-texts")
 
     links = group = None
     for rounds in range(STAR_ROUNDS):
@@ -181,8 +188,8 @@ def groups(docs: DataFrame) -> DataFrame:
 def _grouped(held: DataFrame, group: DataFrame | None) -> DataFrame:
     """id, band and g, the group of each id so far."""
     if group is None:
-        return held.select("id", "band", F.col("id").alias("g"))
-    return held.join(group, "id", "left").select("id", "band", F.coalesce("component", "id").alias("g"))
+        return held.select("id", "k", "band", F.col("id").alias("g"))
+    return held.join(group, "id", "left").select("id", "k", "band", F.coalesce("component", "id").alias("g"))
 
 
 def _rest(now: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,35 +204,32 @@ def _rest(now: DataFrame, texts: DataFrame) -> DataFrame:
         "band", F.col("top.g").alias("top"), F.expr(f"CAST(ceil((n - top.c) / {BLOCK}) AS int)").alias("na"),
         F.expr(f"CAST(ceil(n / {BLOCK}) AS int)").alias("nb"))
     dealt = now.join(top, "band").selectExpr(
-        "band", "id", "g", "g != top AS rest", "na", "nb", "CAST(pmod(xxhash64(id, band), na) AS int) AS mine_a",
+        "band", "k", "id", "g", "g != top AS rest", "na", "nb", "CAST(pmod(xxhash64(id, band), na) AS int) AS mine_a",
         "CAST(pmod(xxhash64(band, id), nb) AS int) AS mine_b")
     cells = dealt.withColumn("cell", F.explode(F.expr(
         "array_union(CASE WHEN rest THEN transform(sequence(0, nb - 1), j -> named_struct('i', mine_a, 'j', j)) "
         "ELSE array() END, transform(sequence(0, na - 1), i -> named_struct('i', i, 'j', mine_b)))"))).selectExpr(
-        "band", "id", "g", "rest", "cell.i", "cell.j", "rest AND cell.i = mine_a AS left", "cell.j = mine_b AS right")
+        "band", "k", "id", "g", "rest", "cell.i", "cell.j", "rest AND cell.i = mine_a AS left", "cell.j = mine_b AS right")
     return written(cells.join(texts, "id").groupBy("band", "i", "j").applyInPandas(_compare, "a bigint, b bigint").distinct(),
                    "minhash-links")
 
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    bags = [shingles(t) for t in frame["text"]]
-    signed = signatures(bags)
-    bands = band_hashes(signed).view(np.int64)
-    band = int(frame["band"].iloc[0])
-    ids, rest = frame["id"].to_numpy(), frame["rest"].to_numpy()
-    group, sums = frame["g"].to_numpy(), np.array([int(b[1].sum()) for b in bags])
+    signed = np.vstack([np.frombuffer(x, np.uint16) for x in frame["short"]])
+    bands = signed.view(np.uint64)  # a band's four components are one number
+    texts, bags = frame["text"].tolist(), {}
+    ids, rest, k = frame["id"].to_numpy(), frame["rest"].to_numpy(), int(frame["k"].iloc[0])
+    group = frame["g"].to_numpy()
     left, right = np.flatnonzero(frame["left"]), np.flatnonzero(frame["right"])
     pairs = []
     for a in left.tolist():
         b = right[(group[right] != group[a]) & (~rest[right] | (ids[right] > ids[a]))]
-        # No pair of the least similarity differs more in length, nor (but for one in thirty
-        # thousand) agrees in fewer components.
-        b = b[np.minimum(sums[b], sums[a]) >= SIMILARITY * np.maximum(sums[b], sums[a])]
+        # But for one in thirty thousand, no pair of the least similarity agrees in fewer components.
         agree = (signed[b] == signed[a]).mean(1)
         b, agree = b[agree >= LEAST_AGREEMENT], agree[agree >= LEAST_AGREEMENT]
         # Of the bands that two documents share, the first compares them.
         first = (bands[b] == bands[a]).argmax(1)
-        own = bands[a][first] == band
+        own = first == k
         pairs += zip(agree[own].tolist(), [a] * int(own.sum()), b[own].tolist(), strict=True)
     parent: dict[int, int] = {}
 
@@ -234,10 +238,15 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
             g = parent[g]
         return g
 
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in bags:
+            bags[i] = shingles(texts[i])
+        return bags[i]
+
     found = []
     for _, a, b in sorted(pairs, reverse=True):
         x, y = find(group[a]), find(group[b])
-        if x != y and weighted_jaccard(bags[a], bags[b]) >= SIMILARITY:
+        if x != y and weighted_jaccard(bag(a), bag(b)) >= SIMILARITY:
             parent[x] = y
             found.append((ids[a], ids[b]))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
