@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, max_strings: int = MAX_STRINGS) -> DataFrame
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"),
-        F.pmod(F.xxhash64("text"), F.lit(1 << 17)).alias("version"), "text")
+        F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 17)), F.lit(0)).alias("version"), "text")
     repeated = over_batches(frame.select("text"), _count, "anchor bigint, c bigint").groupBy("anchor").agg(
         F.sum("c").alias("c")).where("c > 1")
     found = over_batches(frame.select("doc", "version", "text"), _occurrences,
@@ -287,7 +287,8 @@ def remove_repeats(docs: DataFrame, max_strings: int = MAX_STRINGS) -> DataFrame
     key = ["doc", "version"]
     version = F.expr(f"CAST(shiftright(pack & {HOT - 1}, 45) AS bigint)").alias("version")
     places = found.groupBy("doc", version).agg(F.collect_set("pack").alias("packs"))
-    # The three joins below take the same columns of the texts, so that they share one exchange.
+    # The three joins below take the same columns of the texts, and their keys are never null, so
+    # that no join filters its side differently: they share one exchange.
     texts = frame.repartition(n, *key)
     own = ["doc_id", *key, "text"]
     marked = texts.join(places, key).select(*own, "packs")
