@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-MOST_CACHED = 1 << 19
+MOST_CACHED = 1 << 18
+#: Rows of a batch that are held as Python objects at once.
+ROWS = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -117,6 +119,12 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
+
+
 def stitch(parts: list[tuple[str, list[str]]], pattern: regex.Pattern, chunk: int) -> Iterator[str]:
     """The pre-tokens of a text from those of its chunks, in order.
 
@@ -173,7 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [b"".join(encoder.pieces(encoder.pattern.findall(t)))
                    for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())],
@@ -226,7 +234,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
         import numpy as np
 
         tokens = {i: t for t, i in read_ranks(path).items()}.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             raw = [None if ids is None else
                    b"".join(map(tokens, np.frombuffer(ids, "<u4").tolist()))
                    for ids in batch.column("ids").to_pylist()]
