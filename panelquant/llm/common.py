@@ -14,6 +14,9 @@ from panelquant.session import scratch_path
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that are held as Python objects at once.
+ROWS_AT_ONCE = 1_024
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,12 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch],
                  schema: str) -> DataFrame:
-    """``function`` over every Arrow batch of ``df``."""
+    """``function`` over every Arrow batch of ``df``, ROWS_AT_ONCE rows of it at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield function(batch.slice(low, ROWS_AT_ONCE))
 
     return df.mapInArrow(run, schema)
 

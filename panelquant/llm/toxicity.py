@@ -38,6 +38,8 @@ STRIDE = 16
 LEAST_GRAMS = 500
 #: Bound of the training sample: windows of toxic and of clean documents.
 MAX_TOXIC, MAX_CLEAN = 12_000, 24_000
+#: Bound of the labelled documents of each class that these are taken from.
+MAX_DOCUMENTS = 8_000
 EPOCHS = 6
 #: Small samples are gone through more often, to this number of batches.
 LEAST_BATCHES = 1_000
@@ -212,10 +214,16 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, piece, toxic: MAX_TOXIC and MAX_CLEAN windows at most, chosen by a hash of document and place."""
+    """doc_id, piece, toxic: MAX_TOXIC and MAX_CLEAN windows at most, chosen by a hash of document and place.
+
+    They come from MAX_DOCUMENTS labelled documents of each class at most, chosen by a hash of the
+    id; that bound makes the list of chosen ids small enough to be broadcast.
+    """
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy(
-        "doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").join(marked, "doc_id").select(
+        "doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    chosen = marked.where("toxic = 1").orderBy("h", "doc_id").limit(MAX_DOCUMENTS).unionByName(
+        marked.where("toxic = 0").orderBy("h", "doc_id").limit(MAX_DOCUMENTS)).select("doc_id", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "toxic", F.split("text", r"[\s]+").alias("w"))
     pieces = texts.select("doc_id", "toxic", F.posexplode(F.expr(
         f"transform(sequence(0, greatest(size(w) - 1, 0), {WINDOW}), i -> array_join(slice(w, i + 1, {WINDOW}), ' '))"
