@@ -59,7 +59,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(marked)), lengths)
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), lengths)
     left = np.repeat(ends, lengths) - np.arange(len(codes))
     ids, buckets = [], []
     h = np.zeros(len(codes), np.uint64)
@@ -75,7 +75,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -97,23 +97,23 @@ def _fit(windows: list[tuple[int, list[str], int]], seed: int) -> tuple[np.ndarr
     order = np.argsort(ids, kind="stable")
     buckets = buckets[order]
     edges = np.searchsorted(ids[order], np.arange(len(vocabulary) + 1))
-    bags = []
-    for x in windows:
-        rows = [buckets[edges[i]:edges[i + 1]] for i in {vocabulary[w]: 0 for w in x}]
-        bags.append(np.concatenate(rows))
+    del order, ids
+    bags = [np.fromiter({vocabulary[w]: 0 for w in x}, np.int32) for x in windows]
+    del windows, vocabulary
     table = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
     share = max(labels.mean(), 1e-6)
     importance = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6))
-    epochs = max(EPOCHS, -(-LEAST_BATCHES * BATCH // len(windows)))
-    total = epochs * len(windows)
+    epochs = max(EPOCHS, -(-LEAST_BATCHES * BATCH // len(bags)))
+    total = epochs * len(bags)
     for epoch in range(epochs):
-        order = rng.permutation(len(windows))
+        order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
-            rate = RATE * (1 - (epoch * len(windows) + at) / total)
+            rate = RATE * (1 - (epoch * len(bags) + at) / total)
             batch = order[at:at + BATCH]
-            sizes = np.array([len(bags[i]) for i in batch])
-            rows = np.concatenate([bags[i] for i in batch])
+            parts = [[buckets[edges[w]:edges[w + 1]] for w in bags[i].tolist()] for i in batch]
+            sizes = np.array([sum(map(len, x)) for x in parts])
+            rows = np.concatenate([y for x in parts for y in x])
             owner = np.repeat(np.arange(len(batch)), sizes)
             mean = np.add.reduceat(table[rows], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / np.maximum(sizes, LEAST_GRAMS)[:, None]
             logits = mean @ out + bias
