@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
 #: Shingles whose processes run side by side.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 16
 #: Rounds that compare one pair for each document, before all that is left is compared.
 STAR_ROUNDS = 2
 assert ROWS == 4  # four components of 16 bits each are compared as one number

@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-MOST_CACHED = 1 << 18
+MOST_CACHED = 1 << 17
 #: Rows of a batch that are held as Python objects at once.
-ROWS = 512
+ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

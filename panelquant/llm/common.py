@@ -15,7 +15,7 @@ from panelquant.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that are held as Python objects at once.
-ROWS_AT_ONCE = 1_024
+ROWS_AT_ONCE = 256
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)

@@ -49,7 +49,7 @@ OUTPUT_RATE = 4.0
 DECAY = 1e-4
 BATCH = 64
 THRESHOLD = 0.7
-MOST_CACHED = 1 << 19
+MOST_CACHED = 1 << 17
 EDGE = ".,;:!?\"'()[]{}*#%&$<>|"
 
 
