@@ -40,6 +40,13 @@ def load_panel(source: SparkSession | DataFrame, config: dict) -> DataFrame:
     return apply_filters(panel, filters) if filters else panel
 
 
+def realised_panel(source: SparkSession | DataFrame, config: dict) -> DataFrame:
+    """The scan and cleaning of ``load_panel`` without its row filters: what was held is paid its
+    next return even where the next row would not pass them."""
+    cleaning = {k: v for k, v in config.get("data_cleaning", {}).items() if k != "filters"}
+    return load_panel(source, {**config, "data_cleaning": cleaning})
+
+
 def run_pipeline(source: SparkSession | DataFrame, config: dict, run_name: str,
                  write_alphas: bool = False) -> ResearchResult:
     """Runs one configured study and writes weights and returns below
@@ -70,6 +77,6 @@ def run_pipeline(source: SparkSession | DataFrame, config: dict, run_name: str,
                                backtest["gamma"], backtest.get("factors", ()),
                                backtest.get("factor_cov"))
     weights = written(weights, "weights")
-    returns = written(generate_returns_from_weights(weights, panel, portfolio=run_name),
-                      "returns")
+    returns = written(generate_returns_from_weights(weights, realised_panel(source, config),
+                                                    portfolio=run_name), "returns")
     return ResearchResult(alphas, weights, returns, paths)

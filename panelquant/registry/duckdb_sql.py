@@ -449,7 +449,7 @@ SQL["ic_series"] = _ic("str_alpha")
 SQL["ic_forward_return"] = _ic('"return"')
 SQL["research_job"] = _select(
     FULL_BETA_WEIGHTS.replace('WHERE ' + USA, 'WHERE in_universe AND price >= 50 AND ' + USA)
-    + _RETURNS.format(source="clean"),
+    + _RETURNS.format(source="(SELECT * FROM dec WHERE in_universe) whole"),
     _RETURN_COLUMNS.format(name="str_22"), "returns", "WHERE portfolio_return IS NOT NULL")
 SQL["diagnostics_job"] = _select(
     BUDGET_WEIGHTS + _RETURNS.format(source="alpha") + """,

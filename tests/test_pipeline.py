@@ -9,7 +9,8 @@ from panelquant.operators.filters import apply_filters, prepare_data
 from panelquant.operators.quantiles import exact_quantiles
 from panelquant.operators.signals import compute_alphas
 from panelquant.plans.quality import quality_screen
-from panelquant.plans.research import load_panel, run_pipeline
+from panelquant.operators.returns import generate_returns_from_weights
+from panelquant.plans.research import load_panel, realised_panel, run_pipeline
 from panelquant.registry import spark_queries as registry
 from panelquant.session import materialise, shared_dir
 from panelquant.sources.panel import (load_assets, load_assets_by_date, parse_date, write_by_year)
@@ -208,3 +209,15 @@ def test_checkpoints_go_to_the_named_folder(spark):
     assert df.count() == 3
     current = spark.sparkContext.getCheckpointDir()
     assert current.removeprefix("file:").startswith(folder.removeprefix("file:"))
+
+
+def test_returns_come_from_rows_that_the_filters_remove(spark, tmp_path):
+    # A loses 60 % and falls below the price floor, then gains 50 %; B stands still.
+    rows = [(day(d), a, a, "USA", r, r, 5.0, 1000, p, 1e9, 1.0) for a, d, r, p in (
+        ("USA7", "2023-01-01", 0.0, 10.0), ("USA7", "2023-01-02", -60.0, 4.0), ("USA7", "2023-01-03", 50.0, 6.0),
+        ("USB8", "2023-01-01", 0.0, 10.0), ("USB8", "2023-01-02", 1.0, 10.1), ("USB8", "2023-01-03", 0.0, 10.1))]
+    frame = spark.createDataFrame(rows, RAW_SCHEMA + ", predicted_beta double")
+    weights = spark.createDataFrame([(day("2023-01-01"), "USA7", 0.5), (day("2023-01-01"), "USB8", 0.5)],
+                                    "date date, barrid string, weight double")
+    paid = generate_returns_from_weights(weights, realised_panel(frame, STUDY)).collect()
+    assert [r.portfolio_return for r in paid] == [pytest.approx(-0.295)]
