@@ -1,23 +1,26 @@
 """Per-date mean-variance weights: maximise alpha'w - gamma/2 w'Sw for every date.
 
-S is diagonal (squared specific risk) plus, optionally, a factor part X F X'. Three jobs:
+S is diagonal (squared specific risk) plus, optionally, a factor part X F X'. Two forms:
 
 * without LongOnly and factors the solution is a handful of sums per date (`closed_form_weights`);
 * otherwise the dual problem has one unknown per equality constraint and factor, and each Newton
-  step needs only sums over the assets of a date. Dates of ordinary size are solved inside one
-  grouped-map task each;
-* dates with more than ``max_group_rows`` assets are never gathered: the same Newton iteration
-  runs with the sums taken by Spark aggregates over all tasks.
+  step needs only sums over the assets of a date. All dates advance together: a step is one
+  aggregation over all tasks, so no date is ever gathered, however many assets it has.
 
 Dual in words: with u the multipliers and z the asset's constraint and factor coefficients, the
 weight is w = d * max(alpha - z.u, 0) (no max without LongOnly) where d = 1 / (gamma * risk^2).
 Factors are rotated so that their covariance is the identity, so S never exists as a matrix.
+
+Every row with an alpha gets a row of the result. Status ``excluded`` marks rows that cannot enter
+the problem (no positive risk, no beta under UnitBeta, no factor covariance of the date);
+``infeasible`` and ``not_converged`` mark whole dates. All three have a NULL weight.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,6 @@ from panelquant.operators.constraints import Constraints, parse_constraints
 from panelquant.operators.perdate import join_by_date, small_by_date
 from panelquant.session import materialise
 
-MAX_GROUP_ROWS = 1_000_000
 TOLERANCE = 1e-10
 MAX_STEPS = 300
 DAMPING_START, DAMPING_FLOOR = 1e-3, 1e-14
@@ -42,8 +44,8 @@ def backtest_input(df: DataFrame, signal_name: str) -> DataFrame:
 
 
 def run_mvo_backtest(df: DataFrame, signal_name: str, constraints: Iterable[str], gamma: float,
-                     factors: Sequence[str] = (), factor_cov: DataFrame | None = None,
-                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                     factors: Sequence[str] = (),
+                     factor_cov: DataFrame | None = None) -> DataFrame:
     """``date, barrid, weight, status`` for every row with an alpha."""
     rules = parse_constraints(constraints)
     name = f"{signal_name}_alpha"
@@ -52,16 +54,16 @@ def run_mvo_backtest(df: DataFrame, signal_name: str, constraints: Iterable[str]
                     "specific_risk", *factors))
     if not rules.long_only and not factors:
         return closed_form_weights(rows, gamma, rules)
-    return solve_weights(rows, gamma, rules, factors, factor_cov, max_group_rows)
+    return solve_weights(rows, gamma, rules, factors, factor_cov)
 
 
-def _usable(rows: DataFrame, gamma: float, rules: Constraints) -> DataFrame:
-    """Adds d and drops rows that cannot enter the problem."""
-    rows = rows.where((col("specific_risk") > 0) & col("alpha").isNotNull())
+def _with_d(rows: DataFrame, gamma: float, rules: Constraints) -> DataFrame:
+    """Adds d, NULL for rows that cannot enter the problem."""
+    usable = (col("specific_risk") > 0) & ~F.isnan("specific_risk") & ~F.isnan("alpha")
     if rules.unit_beta:
-        rows = rows.where(col("predicted_beta").isNotNull())
-    return rows.withColumn(
-        "d", 1 / (F.lit(float(gamma)) * col("specific_risk") * col("specific_risk")))
+        usable &= col("predicted_beta").isNotNull() & ~F.isnan("predicted_beta")
+    return rows.withColumn("d", F.when(
+        usable, 1 / (F.lit(float(gamma)) * col("specific_risk") * col("specific_risk"))))
 
 
 # --- equality constraints, diagonal S ---------------------------------------------------------
@@ -70,9 +72,9 @@ def closed_form_weights(rows: DataFrame, gamma: float, rules: Constraints) -> Da
     """Weights from per-date sums; NULL where the constraints contradict or determine nothing."""
     if rules.long_only:
         raise ValueError("LongOnly has no closed form")
-    rows = _usable(rows, gamma, rules)
+    rows = _with_d(rows, gamma, rules)
     d, a, b = col("d"), col("alpha"), col("predicted_beta")
-    sums = rows.groupBy("date").agg(
+    sums = rows.where(d.isNotNull()).groupBy("date").agg(
         F.sum(d).alias("s0"), F.sum(d * b).alias("s1"), F.sum(d * b * b).alias("s2"),
         F.sum(d * a).alias("t0"), F.sum(d * a * b).alias("t1"),
         ((F.min(b) == 1) & (F.max(b) == 1)).alias("all_one"))
@@ -104,7 +106,8 @@ def closed_form_weights(rows: DataFrame, gamma: float, rules: Constraints) -> Da
     weight = d * (a - col("l1") - (col("l2") * b if rules.unit_beta else zero))
     return join_by_date(rows, solved).select(
         "date", "barrid", weight.alias("weight"),
-        F.when(weight.isNull(), "infeasible").otherwise("optimal").alias("status"))
+        F.when(d.isNull(), "excluded").when(weight.isNull(), "infeasible")
+        .otherwise("optimal").alias("status"))
 
 
 # --- dual Newton iteration --------------------------------------------------------------------
@@ -149,7 +152,8 @@ class Problem:
         """Yields multipliers to try, takes ``(value, gap, curvature)`` sums for them.
 
         ``value`` is sum w*s/2 with s = alpha - z.u, ``gap`` is sum z*w and ``curvature`` is
-        sum d*z*z' over the assets held. Returns ``(u, status)``.
+        sum d*z*z' over the assets held. Returns ``(u, status)``; u is None where the steps ran
+        out, since unfinished multipliers are no solution.
         """
         target = np.concatenate([np.ones(self.n_rules), np.zeros(self.n_factors)])
         ridge = np.concatenate([np.zeros(self.n_rules), np.full(self.n_factors, 1 / self.gamma)])
@@ -193,7 +197,7 @@ class Problem:
                 damping = max(damping * 8, 1e-9)
             elif blind or gained > promised * 3 / 4:
                 damping = max(damping / 10, DAMPING_FLOOR)
-        return u, "not_converged"
+        return None, "not_converged"
 
 
 def _step(curvature: np.ndarray, damping: np.ndarray, gap: np.ndarray,
@@ -205,67 +209,26 @@ def _step(curvature: np.ndarray, damping: np.ndarray, gap: np.ndarray,
     return step
 
 
-def _coefficients(problem: Problem, columns: dict) -> list:
+def _coefficients(problem: Problem) -> list[Column]:
     """z in the order of the multipliers: budget, beta, rotated factors."""
-    z = [columns["one"]] if problem.budget != "free" else []
-    z += [columns["beta"]] if problem.unit_beta else []
-    return z + [columns[f"x{k}"] for k in range(problem.n_factors)]
-
-
-def _solve_group(problem: Problem, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("barrid", kind="stable")
-    alpha, d = pdf["alpha"].to_numpy(), pdf["d"].to_numpy()
-    columns = {name: pdf[name].to_numpy() for name in pdf.columns}
-    z = np.column_stack(_coefficients(problem, {**columns, "one": np.ones(len(pdf))})
-                        or [np.empty((len(pdf), 0))])
-    weight, status = np.full(len(pdf), np.nan), "infeasible"
-    low, high = ((columns["beta"].min(), columns["beta"].max()) if problem.unit_beta
-                 else (0.0, 0.0))
-    if problem.feasible(low, high):
-        if problem.on_edge(low, high):
-            d = np.where(columns["beta"] == 1, d, 0.0)
-
-        def sums(u, hold_all):
-            gain = alpha - z @ u
-            held = d if hold_all else np.where(gain > 0, d, 0.0)
-            w = held * gain
-            return w @ gain / 2, z.T @ w, (z * held[:, None]).T @ z
-
-        iteration = problem.newton()
-        trial = next(iteration)
-        try:
-            while True:
-                trial = iteration.send(sums(*trial))
-        except StopIteration as done:
-            u, status = done.value
-        gain = alpha - z @ u
-        weight = d * (np.maximum(gain, 0.0) if problem.long_only else gain)
-    return pd.DataFrame({"date": pdf["date"], "barrid": pdf["barrid"], "weight": weight,
-                         "status": status})
+    z = [F.lit(1.0)] if problem.budget != "free" else []
+    z += [col("beta")] if problem.unit_beta else []
+    return z + [col(f"x{k}") for k in range(problem.n_factors)]
 
 
 def solve_weights(rows: DataFrame, gamma: float, rules: Constraints,
-                  factors: Sequence[str] = (), factor_cov: DataFrame | None = None,
-                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Dual Newton for every date; see the module text for which date goes where."""
+                  factors: Sequence[str] = (), factor_cov: DataFrame | None = None) -> DataFrame:
+    """Dual Newton for all dates at once: per step, one aggregation over all tasks.
+
+    Only sums per date reach the driver; the calendar bounds them.
+    """
     problem = Problem(rules.budget, rules.unit_beta, rules.long_only, len(factors), float(gamma))
-    rows = _rotated(_usable(rows, gamma, rules), factors, factor_cov)
+    rows = _rotated(_with_d(rows, gamma, rules), factors, factor_cov)
     names = (["beta"] if rules.unit_beta else []) + [f"x{k}" for k in range(len(factors))]
-    # The narrow input is read by the size check and by the solver, so it is written once.
+    # Every step reads the narrow input, so it is written once.
     rows = materialise(rows.withColumnRenamed("predicted_beta", "beta")
                        .select("date", "barrid", "alpha", "d", *names))
-    # One row per oversized date: the calendar bounds this list.
-    large = [r["date"] for r in rows.groupBy("date").count()
-             .where(col("count") > max_group_rows).select("date").collect()]
-    ordinary = rows.where(~col("date").isin(large)) if large else rows
-    solved = (ordinary.groupBy("date")
-              .applyInPandas(lambda pdf: _solve_group(problem, pdf),
-                             "date date, barrid string, weight double, status string")
-              .withColumn("weight", F.nanvl("weight", F.lit(None))))
-    if large:
-        solved = solved.unionByName(
-            _solve_distributed(problem, rows.where(col("date").isin(large))))
-    return solved
+    return _weights(problem, rows, _solve(problem, rows.where(col("d").isNotNull())))
 
 
 def _rotated(rows: DataFrame, factors: Sequence[str], factor_cov: DataFrame | None) -> DataFrame:
@@ -289,7 +252,8 @@ def _rotated(rows: DataFrame, factors: Sequence[str], factor_cov: DataFrame | No
     # A group here is one date's factor-by-factor matrix, not its assets.
     roots = (factor_cov.select("date", "factor_i", "factor_j", "cov").groupBy("date")
              .applyInPandas(root, "date date, _root array<double>"))
-    rows = join_by_date(rows, roots, "inner")
+    rows = join_by_date(rows, roots)
+    rows = rows.withColumn("d", F.when(col("_root").isNotNull(), col("d")))
     exposures = [F.coalesce(col(name), F.lit(0.0)) for name in factors]
     rotated = {}
     for k in range(size):
@@ -300,52 +264,40 @@ def _rotated(rows: DataFrame, factors: Sequence[str], factor_cov: DataFrame | No
     return rows.withColumns(rotated).drop("_root")
 
 
-def _solve_distributed(problem: Problem, rows: DataFrame) -> DataFrame:
-    """Newton for dates too large for one task: per step, one aggregation over all tasks.
+def _gain(problem: Problem, u: Column) -> Column:
+    """alpha - z.u"""
+    z = _coefficients(problem)
+    return reduce(lambda total, k: total - z[k] * F.get(u, F.lit(k)), range(problem.size),
+                  col("alpha"))
 
-    Only sums per date reach the driver, and only for the oversized dates.
-    """
-    spark = rows.sparkSession
-    size = problem.size
-    rows = rows.withColumn("one", F.lit(1.0))
-    z = _coefficients(problem, {name: col(name) for name in rows.columns})
-
-    verdict: dict = {}
-    if problem.unit_beta:
-        ranges = rows.groupBy("date").agg(F.min("beta").alias("lo"), F.max("beta").alias("hi"))
-        bounds = {r["date"]: (r["lo"], r["hi"]) for r in ranges.collect()}
-    else:
-        bounds = {r["date"]: (0.0, 0.0) for r in rows.select("date").distinct().collect()}
-    iterations, trials, edge = {}, {}, []
-    for date, (low, high) in bounds.items():
-        if not problem.feasible(low, high):
-            verdict[date] = (None, "infeasible")
+
+def _solve(problem: Problem, rows: DataFrame) -> dict:
+    """``date: (multipliers or None, status, edge)``."""
+    spark, size, z = rows.sparkSession, problem.size, _coefficients(problem)
+    ranges = rows.groupBy("date").agg(*[f(col("beta") if problem.unit_beta else F.lit(0.0)).alias(n)
+                                        for f, n in ((F.min, "low"), (F.max, "high"))])
+    iterations, trials, verdict, edge = {}, {}, {}, set()
+    for r in ranges.collect():
+        if not problem.feasible(r["low"], r["high"]):
+            verdict[r["date"]] = None, "infeasible"
             continue
-        if problem.on_edge(low, high):
-            edge.append(date)
-        iterations[date] = problem.newton()
-        trials[date] = next(iterations[date])
-    if edge:
-        rows = rows.withColumn("d", F.when(col("date").isin(edge) & (col("beta") != 1), 0.0)
-                               .otherwise(col("d")))
-
-    def gain(u: Column) -> Column:
-        total = col("alpha")
-        for k in range(size):
-            total = total - z[k] * F.get(u, F.lit(k))
-        return total
-
-    held = F.when(col("hold_all") | (col("gain") > 0), col("d")).otherwise(0.0)
+        if problem.on_edge(r["low"], r["high"]):
+            edge.add(r["date"])
+        iterations[r["date"]] = problem.newton()
+        trials[r["date"]] = next(iterations[r["date"]])
+
+    held = F.when(col("hold_all") | (col("gain") > 0), _d(problem)).otherwise(0.0)
     aggregates = [F.sum(held * col("gain") * col("gain") / 2).alias("value")]
     aggregates += [F.sum(held * col("gain") * z[k]).alias(f"g{k}") for k in range(size)]
     aggregates += [F.sum(held * z[k] * z[j]).alias(f"h{k}_{j}")
                    for k in range(size) for j in range(k + 1)]
     while trials:
         table = spark.createDataFrame(
-            [(date, [float(v) for v in u], bool(hold_all))
+            [(date, [float(v) for v in u], bool(hold_all), date in edge)
              for date, (u, hold_all) in trials.items()],
-            "date date, u array<double>, hold_all boolean")
-        sums = (rows.join(small_by_date(table), "date").withColumn("gain", gain(col("u")))
+            "date date, u array<double>, hold_all boolean, edge boolean")
+        sums = (rows.join(small_by_date(table), "date")
+                .withColumn("gain", _gain(problem, col("u")))
                 .groupBy("date").agg(*aggregates).collect())
         for r in sums:
             curvature = np.zeros((size, size))
@@ -358,12 +310,24 @@ def _solve_distributed(problem: Problem, rows: DataFrame) -> DataFrame:
             except StopIteration as done:
                 verdict[r["date"]] = done.value
                 del trials[r["date"]]
-
-    table = spark.createDataFrame(
-        [(date, None if u is None else [float(v) for v in u], status)
-         for date, (u, status) in verdict.items()],
-        "date date, u array<double>, status string")
-    final = gain(col("u"))
-    weight = col("d") * (F.greatest(final, F.lit(0.0)) if problem.long_only else final)
-    return rows.join(small_by_date(table), "date").select(
-        "date", "barrid", F.when(col("u").isNotNull(), weight).alias("weight"), "status")
+    return {date: (*found, date in edge) for date, found in verdict.items()}
+
+
+def _d(problem: Problem) -> Column:
+    """d, and 0 for the assets that an edge date cannot hold."""
+    if not problem.unit_beta:
+        return col("d")
+    return F.when(col("edge") & (col("beta") != 1), 0.0).otherwise(col("d"))
+
+
+def _weights(problem: Problem, rows: DataFrame, verdict: dict) -> DataFrame:
+    table = rows.sparkSession.createDataFrame(
+        [(date, None if u is None else [float(v) for v in u], status, edge)
+         for date, (u, status, edge) in verdict.items()],
+        "date date, u array<double>, status string, edge boolean")
+    gain = _gain(problem, col("u"))
+    weight = _d(problem) * (F.greatest(gain, F.lit(0.0)) if problem.long_only else gain)
+    return join_by_date(rows, table).select(
+        "date", "barrid",
+        F.when(col("d").isNotNull() & col("u").isNotNull(), weight).alias("weight"),
+        F.when(col("d").isNull(), "excluded").otherwise(col("status")).alias("status"))

@@ -114,47 +114,67 @@ def test_factor_weights_are_optimal(cross_sections, names):
                    lambda risk, x: np.diag(risk ** 2) + x @ f @ x.T)
 
 
-@pytest.mark.parametrize("names", CASES[6:])
-@pytest.mark.parametrize("factors", [(), FACTORS])
-def test_oversized_dates_get_the_same_weights(cross_sections, names, factors):
-    """With a group limit of 5 rows every date is solved by aggregations over all tasks."""
-    df, _, cov, _ = cross_sections
-    df = df.where("date >= '2023-01-08'")
-    args = df, "s", names, GAMMA, factors, cov if factors else None
-    grouped = weights_by_date(run_mvo_backtest(*args))
-    spread = weights_by_date(run_mvo_backtest(*args, max_group_rows=5))
-    assert grouped.keys() == spread.keys()
-    for date in grouped:
-        (a, sa), (b, sb) = zip(*grouped[date]), zip(*spread[date])
-        assert sa == sb
-        assert [v if v is None else pytest.approx(v, abs=1e-9) for v in a] == list(b)
-
-
-def test_ordinary_and_oversized_dates_mix(cross_sections):
-    df, _, _, _ = cross_sections
-    small = df.where("date <> '2023-01-03' OR barrid < 'A3'")
-    names = ("FullInvestment", "LongOnly")
-    mixed = run_mvo_backtest(small, "s", names, GAMMA, max_group_rows=4)
-    plain = run_mvo_backtest(small, "s", names, GAMMA)
-    a, b = weights_by_date(mixed), weights_by_date(plain)
-    assert {d: [w for w, _ in v] for d, v in a.items()} == {
-        d: [pytest.approx(w, abs=1e-9) for w, _ in v] for d, v in b.items()}
-
-
-def test_rows_that_cannot_enter_are_left_out(cross_sections, spark):
+def test_one_date_with_half_of_all_rows(spark):
+    """Skewed dates are solved like any other: checked by the optimality conditions."""
+    rng = np.random.default_rng(3)
+    dates = ["2023-02-01"] * 2000 + [f"2023-02-{d:02d}" for d in range(2, 22) for _ in range(100)]
+    rows = [(day(d), f"A{i}", float(rng.normal() * .1), float(rng.uniform(.4, 1.7)),
+             float(rng.uniform(.05, .3)), 0.0, 0.0) for i, d in enumerate(dates)]
+    names = ("FullInvestment", "LongOnly", "UnitBeta")
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = run_mvo_backtest(df, "s", names, GAMMA).join(df, ["date", "barrid"]).toPandas()
+    assert len(out) == len(rows) and set(out["status"]) == {"optimal"}
+    for _, one in out.groupby("date"):
+        assert kkt_residual(*(one[c].to_numpy() for c in (
+            "weight", "s_alpha", "predicted_beta", "specific_risk"))) < 1e-7
+
+
+def kkt_residual(w, alpha, beta, risk):
+    """Largest violation of the conditions of a full-investment, long-only, unit-beta optimum."""
+    slope = alpha - GAMMA * risk ** 2 * w
+    held = w > 1e-12
+    z = np.column_stack([np.ones(held.sum()), beta[held]])
+    u = np.linalg.lstsq(z, slope[held], rcond=None)[0]
+    rest = slope - u[0] - u[1] * beta
+    return max(abs(w.sum() - 1), abs(w @ beta - 1), np.abs(rest[held]).max(),
+               rest[~held].max(initial=0.0), -w.min())
+
+
+def test_feasible_weights_that_are_not_optimal_are_noticed():
+    alpha, risk = np.array([.3, .1, .2]), np.array([.1, .2, .3])
+    assert kkt_residual(np.array([.25, .5, .25]), alpha, np.array([.5, 1., 1.5]), risk) > 1e-2
+
+
+def test_unfinished_dates_get_no_weights(cross_sections, monkeypatch):
+    monkeypatch.setattr(optimizer, "MAX_STEPS", 0)
+    out = run_mvo_backtest(cross_sections[0], "s", ("FullInvestment", "LongOnly"), GAMMA).collect()
+    assert {(r["weight"], r["status"]) for r in out} == {(None, "not_converged")}
+
+
+@pytest.mark.parametrize("long_only", [(), ("LongOnly",)])
+def test_rows_that_cannot_enter_are_kept_without_weight(spark, long_only):
     df = spark.createDataFrame([
         (day("2023-01-01"), "A", .1, 1.0, .1, 0., 0.), (day("2023-01-01"), "B", None, 1.0, .1, 0., 0.),
         (day("2023-01-01"), "C", .2, None, .1, 0., 0.), (day("2023-01-01"), "D", .2, 1.0, 0.0, 0., 0.),
+        (day("2023-01-02"), "D", .2, 1.0, None, 0., 0.),
     ], SCHEMA)
-    names = ("FullInvestment", "LongOnly", "UnitBeta")
-    got = run_mvo_backtest(df, "s", names, GAMMA).collect()
-    assert [(r["barrid"], r["weight"]) for r in got] == [("A", pytest.approx(1.0))]
-    got = run_mvo_backtest(df, "s", ("FullInvestment", "LongOnly"), GAMMA).collect()
-    assert {r["barrid"] for r in got} == {"A", "C"}
+    got = run_mvo_backtest(df, "s", ("FullInvestment", "UnitBeta", *long_only), GAMMA)
+    assert [(w, s) for v in weights_by_date(got).values() for w, s in v] == [
+        (pytest.approx(1.0), "optimal"), (None, "excluded"), (None, "excluded"), (None, "excluded")]
+    got = run_mvo_backtest(df, "s", ("FullInvestment", *long_only), GAMMA)
+    assert [s for v in weights_by_date(got).values() for _, s in v] == [
+        "optimal", "optimal", "excluded", "excluded"]
     assert {r["barrid"] for r in backtest_input(df, "s").collect()} == {"A", "C", "D"}
     assert backtest_input(df, "s").columns == ["date", "barrid", "alpha", "predicted_beta"]
 
 
+def test_dates_without_factor_covariance_are_kept(cross_sections):
+    df, _, cov, _ = cross_sections
+    got = weights_by_date(run_mvo_backtest(df, "s", ("FullInvestment",), GAMMA, FACTORS,
+                                           cov.where("date > '2023-01-01'")))
+    assert {s for _, s in got["2023-01-01"]} == {"excluded"} and len(got) == 12
+
+
 @pytest.mark.parametrize("names", [("FullInvestment",), ("FullInvestment", "LongOnly")])
 def test_no_rows_give_no_weights(cross_sections, names):
     df = cross_sections[0].where("false")
