@@ -16,38 +16,44 @@ log = logging.getLogger(__name__)
 
 REQUIRED_COLUMNS = ("date", "barrid", "return", "specific_risk")
 
-# Cleaning steps by configuration flag; a step runs unless its flag is set to false.
-CLEANING: dict[str, dict[str, str]] = {
-    "convert_returns_to_decimal": {name: "percent" for name in PERCENT_COLUMNS},
-    "replace_zero_volume": {"daily_volume": "zero"},
-}
-
-# Row conditions by configuration key: the value an absent key stands for, and the condition as
-# SQL with the configured value in place of {}. A value of None, False or 0 switches it off.
-ROW_CONDITIONS = {
-    "usa_only": (True, "iso_country_code = 'USA' AND rootid = barrid AND startswith(barrid, 'US')"),
-    "min_price": (None, "price >= {}D"),
-    "min_market_cap": (None, "market_cap >= {}D"),
-    "require_returns": (True, "`return` IS NOT NULL"),
-    "require_specific_risk": (True, "specific_risk IS NOT NULL"),
-}
+
+def domestic() -> Column:
+    """Primary listings of the home country."""
+    return ((col("iso_country_code") == "USA") & (col("rootid") == col("barrid"))
+            & F.startswith(col("barrid"), F.lit("US")))
+
+
+def at_least(name: str, floor: float | None) -> Column | None:
+    """No condition without a floor; a floor of 0 is none either."""
+    return col(name) >= float(floor) if floor else None
+
+
+def present(name: str) -> Column:
+    return col(name).isNotNull()
 
 
 def prepare_data(df: DataFrame, cleaning: dict | None = None) -> DataFrame:
-    """Percent columns to decimals and zero volume to NULL."""
-    flags = cleaning or {}
-    make = {"percent": lambda name: col(name) / 100, "zero": zero_to_null}
-    changed = {name: make[kind](name) for flag, step in CLEANING.items() if flags.get(flag, True)
-               for name, kind in step.items()}
-    return df.withColumns(changed) if changed else df
+    """Percent columns to decimals and zero volume to NULL, each unless switched off."""
+    steps = {"convert_returns_to_decimal": True, "replace_zero_volume": True, **(cleaning or {})}
+    if steps["convert_returns_to_decimal"]:
+        df = df.withColumns({name: col(name) / 100 for name in PERCENT_COLUMNS})
+    if steps["replace_zero_volume"]:
+        df = df.withColumn("daily_volume", zero_to_null("daily_volume"))
+    return df
 
 
 def row_predicates(filters: Iterable[dict]) -> list[Column]:
     """The conditions of all filter dicts; a row has to satisfy every one of them."""
-    chosen = ((template, spec.get(key, default)) for spec in filters
-              for key, (default, template) in ROW_CONDITIONS.items())
-    texts = [t.format(repr(float(value))) for t, value in chosen if value]
-    return [F.expr(text) for text in dict.fromkeys(texts)]
+    conditions: list[Column | None] = []
+    for spec in filters:
+        conditions += [
+            domestic() if spec.get("usa_only", True) else None,
+            at_least("price", spec.get("min_price")),
+            at_least("market_cap", spec.get("min_market_cap")),
+            present("return") if spec.get("require_returns", True) else None,
+            present("specific_risk") if spec.get("require_specific_risk", True) else None,
+        ]
+    return [condition for condition in conditions if condition is not None]
 
 
 def where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,27 @@ def build_session(app_name: str = "panelquant", master: str | None = None,
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_code(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Gives workers this package, wherever they were started; once per application.
+
+    The archive is written where the driver runs and served to the executors by Spark.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="panelquant-code-"), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -19,7 +19,6 @@ FOOTER_COLUMNS = (
     "notional_value", "shares", "price", "location", "exchange", "currency", "fx_rate",
     "market_currency", "accrual_date",
 )
-CASH_TICKERS = ("USD",)
 
 
 def _read_text_csv(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
@@ -37,9 +36,11 @@ def clean_preamble_holdings(raw: DataFrame) -> DataFrame:
     """Numbers from text, tickers without their suffix, header, blank and cash rows removed.
 
     The rows a position-based cut would drop (the header record, the blank record, zero weights
-    and cash) are recognised by their content, so the file may have any number of holdings.
+    and cash) are recognised by their content, so the file may have any number of holdings. Cash
+    is a bare currency code as ticker with the provider's own number in place of a security's.
     """
-    cleaned = raw.select(
+    cash = F.coalesce(col("ticker").rlike("^[A-Z]{3}$") & col("cusip").contains("_"), F.lit(False))
+    cleaned = raw.where(~cash).select(
         "underlying_security", strip_suffix("ticker").alias("ticker"), "cusip",
         "underlying_security_type", "strike_price",
         F.replace(col("quantity"), F.lit(","), F.lit("")).try_cast("bigint").alias("quantity"),
@@ -48,7 +49,7 @@ def clean_preamble_holdings(raw: DataFrame) -> DataFrame:
         parse_number("current_market_value").alias("current_market_value"),
         _weight(col("weight_percent")).alias("weight_decimal"))
     return cleaned.where(
-        (col("ticker") != "") & ~col("ticker").isin(*CASH_TICKERS) & (col("weight_decimal") != 0))
+        (col("ticker") != "") & (col("weight_decimal") != 0))
 
 
 def clean_footer_holdings(raw: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ RAW_SCHEMA = ("date date, barrid string, rootid string, iso_country_code string,
 @pytest.fixture
 def raw_panel(spark):
     return spark.createDataFrame([
-        (day("2023-01-01"), "US123", "US123", "USA", 1.0, 1.1, 5.0, 1000, 10.0, 1e9),
-        (day("2023-01-01"), "CA456", "CA456", "CAN", -0.5, -0.4, 10.0, 0, 5.0, 5e8),
-        (day("2023-01-02"), "US789", "US789", "USA", 2.0, 2.2, 4.0, 5000, 20.0, 2e9),
+        (day("2021-06-14"), "USK1", "USK1", "USA", 3.0, 2.0, 8.0, 700, 12.0, 4e8),
+        (day("2021-06-14"), "GBM4", "GBM4", "GBR", -1.2, -.9, 20.0, 0, 7.0, 3e9),
+        (day("2021-06-15"), "USQ8", "USQ8", "USA", .6, .8, 6.0, 90, 31.0, 9e8),
+        (day("2021-06-15"), "USZ5", "USZ5", "USA", -2.5, -2.0, 12.0, 40, 3.0, 6e7),
     ], RAW_SCHEMA)

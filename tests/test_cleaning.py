@@ -16,56 +16,56 @@ def by_asset(df, column):
 
 def test_percent_columns_become_decimals(raw_panel):
     out = prepare_data(raw_panel, {"replace_zero_volume": False})
-    assert by_asset(out, "return") == pytest.approx({"US123": .01, "CA456": -.005, "US789": .02})
+    assert by_asset(out, "return") == pytest.approx(
+        {"USK1": .03, "GBM4": -.012, "USQ8": .006, "USZ5": -.025})
     assert by_asset(out, "specific_risk") == pytest.approx(
-        {"US123": .05, "CA456": .1, "US789": .04})
-    assert by_asset(out, "specific_return")["US789"] == pytest.approx(.022)
-    assert by_asset(out, "daily_volume")["CA456"] == 0
+        {"USK1": .08, "GBM4": .2, "USQ8": .06, "USZ5": .12})
+    assert by_asset(out, "specific_return")["USQ8"] == pytest.approx(.008)
+    assert by_asset(out, "daily_volume")["GBM4"] == 0
     assert out.columns == raw_panel.columns
 
 
 def test_zero_volume_becomes_null(raw_panel):
     out = prepare_data(raw_panel, {"convert_returns_to_decimal": False})
-    assert by_asset(out, "daily_volume") == {"US123": 1000, "CA456": None, "US789": 5000}
-    assert by_asset(out, "return")["US123"] == 1.0
+    assert by_asset(out, "daily_volume") == {"USK1": 700, "GBM4": None, "USQ8": 90, "USZ5": 40}
+    assert by_asset(out, "return")["USK1"] == 3.0
 
 
 def test_both_cleaning_steps_are_on_by_default(raw_panel):
     out = prepare_data(raw_panel)
-    assert by_asset(out, "return")["US123"] == pytest.approx(.01)
-    assert by_asset(out, "daily_volume")["CA456"] is None
+    assert by_asset(out, "return")["USZ5"] == pytest.approx(-.025)
+    assert by_asset(out, "daily_volume")["GBM4"] is None
 
 
 @pytest.mark.parametrize("spec, kept", [
-    ({"usa_only": True}, 2),
-    ({}, 2),
-    ({"usa_only": False}, 3),
-    ({"min_price": 15.0}, 1),
-    ({"min_price": 0.0}, 2),
-    ({"min_market_cap": 1.5e9}, 1),
-    ({"usa_only": False, "min_price": 10.0, "min_market_cap": 1e9}, 2),
-    ({"unknown_key": 1}, 2),
+    ({}, 3),
+    ({"usa_only": False}, 4),
+    ({"min_price": 12.5}, 1),
+    ({"min_price": 0}, 3),
+    ({"min_market_cap": 5e8}, 1),
+    ({"usa_only": False, "min_price": 7.0, "min_market_cap": 4e8}, 3),
+    ({"unknown_key": 1}, 3),
 ])
 def test_filters(raw_panel, spec, kept):
     assert apply_filters(raw_panel, [spec]).count() == kept
 
 
 def test_no_filters_keep_everything(raw_panel):
-    assert apply_filters(raw_panel, []).count() == 3
+    assert apply_filters(raw_panel, []).count() == 4
 
 
 def test_conditions_of_several_dicts_are_combined(raw_panel):
-    specs = [{"usa_only": False, "min_price": 6.0}, {"usa_only": False, "min_market_cap": 1.5e9}]
-    assert [r["barrid"] for r in apply_filters(raw_panel, specs).collect()] == ["US789"]
+    specs = [{"usa_only": False, "min_price": 10.0}, {"usa_only": False, "min_market_cap": 5e8}]
+    assert [r["barrid"] for r in apply_filters(raw_panel, specs).collect()] == ["USQ8"]
 
 
 def test_missing_returns_and_risks_are_dropped(raw_panel):
-    holes = raw_panel.withColumn("return", F.when(F.col("barrid") != "US123", F.col("return")))
-    assert apply_filters(holes, [{"usa_only": False}]).count() == 2
-    assert apply_filters(holes, [{"usa_only": False, "require_returns": False}]).count() == 3
+    holes = raw_panel.withColumn("return", F.when(F.col("barrid") != "USK1", F.col("return")))
+    assert apply_filters(holes, [{"usa_only": False}]).count() == 3
+    assert apply_filters(holes, [{"usa_only": False, "require_returns": False}]).count() == 4
     risk = raw_panel.withColumn("specific_risk", F.lit(None).cast("double"))
     assert apply_filters(risk, [{"usa_only": False}]).count() == 0
-    assert apply_filters(risk, [{"usa_only": False, "require_specific_risk": False}]).count() == 3
+    assert apply_filters(risk, [{"usa_only": False, "require_specific_risk": False}]).count() == 4
 
 
 def test_root_and_prefix_belong_to_the_domestic_filter(spark):
@@ -84,7 +84,7 @@ def test_validation(spark, raw_panel):
 
 def test_row_counts(raw_panel):
     row = row_counts(raw_panel, [{"min_price": 15.0}]).first()
-    assert (row["rows_loaded"], row["rows_kept"]) == (3, 1)
+    assert (row["rows_loaded"], row["rows_kept"]) == (4, 1)
 
 
 def test_nan_and_infinity_become_null(spark):

@@ -23,6 +23,8 @@ PREAMBLE = (
     'Beta plc,BET,2,-,-,-,"-$1,000","$1,000.50",39.5,"$1,000"\r\n'
     'Gone Corp,GON US,3,-,-,5,$1,$1,0,$1\r\n'
     'No Ticker,,3,-,-,5,$1,$1,2,$1\r\n'
+    'Dollar Fund,USD US,4,-,-,7,$7,$7,5,$7\r\n'
+    'EURO,EUR,MD_2,-,-,7,$7,$7,-0.5,$7\r\n'
     'US DOLLARS,USD,MD_1,-,-,"-1,156","-$1,156","-$1,156",-0.01,"-$1,156"')
 
 FOOTER = (
@@ -41,7 +43,7 @@ def test_csv_with_a_preamble(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes(PREAMBLE.encode())
     got = {r["ticker"]: r for r in read_preamble_csv(spark, str(path)).collect()}
-    assert set(got) == {"ALP", "BET"}
+    assert set(got) == {"ALP", "BET", "USD"}
     alp, bet = got["ALP"], got["BET"]
     assert alp["underlying_security"] == 'Alpha, Inc. "A"'
     assert (alp["quantity"], alp["notional_value"], alp["weight_decimal"],

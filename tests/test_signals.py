@@ -21,7 +21,7 @@ def series(df, column, asset="A"):
 
 @pytest.fixture
 def returns(spark):
-    rows = [(day(d), b, x) for b, xs in (("A", (.01, -.02, .015)), ("B", (-.01, .02, -.015)))
+    rows = [(day(d), b, x) for b, xs in (("A", (.03, .007, -.022)), ("B", (-.004, .011, .05)))
             for d, x in zip(DAYS, xs)]
     random.Random(1).shuffle(rows)
     return spark.createDataFrame(rows, "date date, barrid string, `return` double")
@@ -33,8 +33,8 @@ def test_rolling_deviation_of_returns(returns):
     assert out.count() == returns.count()
     values = series(out, "vol")
     assert values[0] is None
-    assert values[1] == pytest.approx(statistics.stdev([.01, -.02]))
-    assert values[2] == pytest.approx(0.018929694486000914)
+    assert values[1] == pytest.approx(statistics.stdev([.03, .007]))
+    assert values[2] == pytest.approx(statistics.stdev([.03, .007, -.022]))
 
 
 def test_missing_input_column_is_an_error(returns):
