@@ -364,6 +364,35 @@ SQL: dict[str, str] = {
         chosen AS (SELECT date, arg_min(lam, a) AS lam FROM ranked WHERE a > lam GROUP BY date)""",
                                     f"date, barrid, {_r('d * greatest(a - lam, 0)', 'weight')}",
                                     "rows_d JOIN chosen USING (date)"),
+    # With a unit beta as well: the beta of the best portfolio falls as the price of beta rises, so
+    # that price is found by halving, and the budget's multiplier for it as above.
+    "mvo_long_only": "WITH RECURSIVE " + MOMENTS + f""",
+        range_b AS (SELECT date, min(b) <= 1 AND max(b) >= 1 AS ok FROM rows_d GROUP BY date),
+        halved AS (
+          SELECT date, 0 AS step, CAST(-1e6 AS double) AS low, CAST(1e6 AS double) AS high
+          FROM range_b WHERE ok
+          UNION ALL
+          SELECT date, step + 1, CASE WHEN beta > 1 THEN (low + high) / 2 ELSE low END,
+                 CASE WHEN beta > 1 THEN high ELSE (low + high) / 2 END
+          FROM (SELECT date, any_value(step) AS step, any_value(low) AS low, any_value(high) AS high,
+                       sum(d * greatest(x - lam, 0) * b) AS beta
+                FROM (SELECT *, max(lam_k) OVER (PARTITION BY date) AS lam
+                      FROM (SELECT *, (sum(d * x) OVER w - 1) / sum(d) OVER w AS lam_k
+                            FROM (SELECT h.*, r.barrid, r.b, r.d, r.a - (low + high) / 2 * r.b AS x
+                                  FROM halved h JOIN rows_d r ON h.date = r.date WHERE step < 90)
+                            WINDOW w AS (PARTITION BY date ORDER BY x DESC, barrid
+                                         ROWS UNBOUNDED PRECEDING)))
+                GROUP BY date)),
+        priced AS (SELECT r.*, r.a - (low + high) / 2 * r.b AS x
+                   FROM rows_d r JOIN halved h ON h.date = r.date AND step = 90),
+        ranked AS (SELECT *, (sum(d * x) OVER w - 1) / sum(d) OVER w AS lam_k
+                   FROM priced WINDOW w AS (PARTITION BY date ORDER BY x DESC, barrid
+                                            ROWS UNBOUNDED PRECEDING)),
+        solved AS (SELECT date, barrid, d * greatest(x - max(lam_k) OVER (PARTITION BY date), 0)
+                          AS weight FROM ranked)
+      SELECT r.date, r.barrid, {_r('weight', 'weight')},
+             CASE WHEN weight IS NULL THEN 'infeasible' ELSE 'optimal' END AS status
+      FROM rows_d r LEFT JOIN solved USING (date, barrid)""",
     "mvo_long_only_check": _check(ALPHA),
     "mvo_factor_check": _check(ALPHA),
     "mvo_factor_budget": _select(SIZE + f""",

@@ -326,7 +326,8 @@ def mvo_long_only_budget(spark, sf_dir):
 
 @query
 def mvo_long_only(spark, sf_dir):
-    return run_mvo_backtest(alphas(spark, sf_dir), "str", LONG_ONLY, GAMMA)
+    return run_mvo_backtest(alphas(spark, sf_dir), "str", LONG_ONLY, GAMMA).select(
+        "date", "barrid", rounded("weight").alias("weight"), "status")
 
 
 @query
