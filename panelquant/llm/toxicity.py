@@ -100,7 +100,8 @@ def _fit(windows: list[tuple[int, list[str], int]], seed: int) -> tuple[np.ndarr
     del order, ids
     bags = [np.fromiter({vocabulary[w]: 0 for w in x}, np.int32) for x in windows]
     del windows, vocabulary
-    table = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
+    # The rows are ``decay * table``: all of them decay in every step, which costs one number.
+    table, decay = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS, 1.0
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
     share = max(labels.mean(), 1e-6)
     importance = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6))
@@ -115,7 +116,8 @@ def _fit(windows: list[tuple[int, list[str], int]], seed: int) -> tuple[np.ndarr
             sizes = np.array([sum(map(len, x)) for x in parts])
             rows = np.concatenate([y for x in parts for y in x])
             owner = np.repeat(np.arange(len(batch)), sizes)
-            mean = np.add.reduceat(table[rows], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / np.maximum(sizes, LEAST_GRAMS)[:, None]
+            mean = np.add.reduceat(table[rows], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            mean *= decay / np.maximum(sizes, LEAST_GRAMS)[:, None]
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -124,9 +126,13 @@ def _fit(windows: list[tuple[int, list[str], int]], seed: int) -> tuple[np.ndarr
             back = p @ out.T / np.maximum(sizes, LEAST_GRAMS)[:, None]
             out -= rate * OUTPUT_RATE * mean.T @ p / len(batch)
             bias -= rate * p.mean(0)
-            np.add.at(table, rows, -rate * ROW_RATE * back[owner])
-            table *= 1 - rate * DECAY
-    return table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
+            # A row's steps are summed before they are taken.
+            by_row = np.argsort(rows, kind="stable")
+            rows = rows[by_row]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            table[rows[first]] -= rate * ROW_RATE / decay * np.add.reduceat(back[owner[by_row]], first)
+            decay *= 1 - rate * DECAY
+    return decay * table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
 class Scorer:
