@@ -60,31 +60,27 @@ def where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
-def percentile_cut(df: DataFrame, value: Column, prob: float, out: str) -> DataFrame:
-    """``date`` and the given quantile of ``value`` among the rows of the date."""
-    cut = exact_quantiles(df, value, [prob], out="_cut")
-    return cut.select("date", F.get("_cut", F.lit(0)).alias(out))
-
-
 def percentile_screens(df: DataFrame, filters: Iterable[dict]) -> DataFrame:
     """Per date, keep rows at or above the quantile of dollar volume and at or below the upper
-    quantile of the spread. All quantiles are taken over the same rows, those given."""
-    tests, cuts = [], []
+    quantile of the spread. All quantiles are taken over the same rows, those given, in one pass."""
+    volume, spread = col("price") * col("daily_volume"), col("bid_ask_spread")
+    values, probs, tests = [], [], []
     for spec in filters:
         if spec.get("dollar_volume_percentile"):
-            value, name = col("price") * col("daily_volume"), f"_cut{len(cuts)}"
-            cuts.append(percentile_cut(df, value, spec["dollar_volume_percentile"], name))
-            tests.append(value >= col(name))
+            tests.append(volume >= col(f"_cut{len(values)}"))
+            values.append(volume)
+            probs.append(spec["dollar_volume_percentile"])
         if spec.get("bid_ask_spread_percentile"):
-            value, name = col("bid_ask_spread"), f"_cut{len(cuts)}"
-            cuts.append(percentile_cut(df, value, 1 - spec["bid_ask_spread_percentile"], name))
-            tests.append(value <= col(name))
-    if not cuts:
+            tests.append(spread <= col(f"_cut{len(values)}"))
+            values.append(spread)
+            probs.append(1 - spec["bid_ask_spread_percentile"])
+    if not values:
         return df
-    columns = df.columns
-    for cut in cuts:
-        df = join_by_date(df, cut)
-    return where_all(df, tests).select(*[col(c) for c in columns])
+    measures = F.posexplode(F.array(*[v.cast("double") for v in values])).alias("_measure", "_value")
+    quantiles = exact_quantiles(df.select("date", measures), "_value", probs, ["date", "_measure"], "_cuts")
+    cuts = quantiles.groupBy("date").agg(*[
+        F.max(F.when(col("_measure") == k, F.get("_cuts", F.lit(k)))).alias(f"_cut{k}") for k in range(len(values))])
+    return where_all(join_by_date(df, cuts), tests).select(*[col(c) for c in df.columns])
 
 
 def apply_filters(df: DataFrame, filters: Iterable[dict]) -> DataFrame:

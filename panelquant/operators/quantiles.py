@@ -36,21 +36,25 @@ def _placed(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
-                    by: str = "date", out: str = "quantiles") -> DataFrame:
+                    by: str | Sequence[str] = "date", out: str = "quantiles") -> DataFrame:
     """One row per ``by`` with an array of linearly interpolated quantiles.
 
     The positions are ``q * (n - 1)`` as in ``percentile`` / ``quantile_cont``. Missing values
-    are ignored; groups without values do not appear.
+    are ignored; groups without values do not appear. Behind a date, ``by`` may name columns of a
+    fixed number of values, such as the kind of a measure.
     """
+    by = [by] if isinstance(by, str) else list(by)
     # The three levels read one shuffled table of counts. Non-nullable keys keep the optimizer
-    # from adding null checks to single branches, which would make it three tables.
-    known = df.select(by, finite(value).alias("x")).where(col(by).isNotNull() & col("x").isNotNull())
-    exact = (known.select(by, F.coalesce("x", F.lit(0.0)).alias("x"))
-             .groupBy(by, "x").agg(F.count("*").alias("n")))
-    medium = (exact.groupBy(by, _round_bits(col("x"), MEDIUM_BITS).alias("medium"))
-              .agg(F.sum("n").alias("n")))
-    coarse = (medium.groupBy(by, _round_bits(col("medium"), COARSE_BITS).alias("coarse"))
-              .agg(F.sum("n").alias("n")))
+    # from adding null checks to single branches, which would make it three tables. Coarse bins are
+    # few, so they are counted before their shuffle; finer bins are formed only inside those opened.
+    known = df.select(*by, finite(value).alias("x")).where(col("x").isNotNull())
+    for key in by:
+        known = known.where(col(key).isNotNull())
+    exact = (known.select(*by, F.coalesce("x", F.lit(0.0)).alias("x"))
+             .groupBy(*by, "x").agg(F.count("*").alias("n"))
+             .withColumn("medium", _round_bits(col("x"), MEDIUM_BITS))
+             .withColumn("coarse", _round_bits(col("medium"), COARSE_BITS)))
+    coarse = exact.groupBy(*by, "coarse").agg(F.sum("n").alias("n"))
 
     places = [f"(double({float(q)!r}) * (total - 1))" for q in probs]
     ranks = [f"{side}{place}" for place in places for side in ("floor", "ceil")]
@@ -58,23 +62,22 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
 
     def opened(placed: DataFrame, bin_name: str) -> DataFrame:
         """The bins with a wanted rank: at most two per quantile and group."""
-        return placed.where(wanted).selectExpr(by, bin_name, "last - n AS first", "total")
+        return placed.where(wanted).selectExpr(*by, bin_name, "last - n AS first", "total")
 
-    total = F.sum("n").over(Window.partitionBy(by))
+    total = F.sum("n").over(Window.partitionBy(*by))
     hit = opened(_placed(coarse.select("*", total.alias("total"), F.lit(0).alias("first")),
-                         [by], "coarse"), "coarse")
-    inner = medium.withColumn("coarse", _round_bits(col("medium"), COARSE_BITS))
-    hit = opened(_placed(inner.join(small_by_date(hit, by), [by, "coarse"]),
-                         [by, "coarse"], "medium"), "medium")
-    inner = exact.withColumn("medium", _round_bits(col("x"), MEDIUM_BITS))
-    found = (_placed(inner.join(small_by_date(hit, by), [by, "medium"]), [by, "medium"], "x")
-             .where(wanted).groupBy(by, "total")
+                         by, "coarse"), "coarse")
+    inner = (exact.join(small_by_date(hit, by[0]), [*by, "coarse"])
+             .groupBy(*by, "coarse", "medium", "first", "total").agg(F.sum("n").alias("n")))
+    hit = opened(_placed(inner, [*by, "coarse"], "medium"), "medium")
+    found = (_placed(exact.join(small_by_date(hit, by[0]), [*by, "medium"]), [*by, "medium"], "x")
+             .where(wanted).groupBy(*by, "total")
              .agg(*[F.expr(f"max(CASE WHEN {r} >= last - n AND {r} < last THEN x END)")
                     .alias(f"x{k}") for k, r in enumerate(ranks)]))
     # The arithmetic of ``percentile``, to the last bit.
     values = [f"CASE WHEN x{2 * k} = x{2 * k + 1} THEN x{2 * k} ELSE (ceil{p} - {p}) * x{2 * k}"
               f" + ({p} - floor{p}) * x{2 * k + 1} END" for k, p in enumerate(places)]
-    return found.selectExpr(by, f"array({', '.join(values)}) AS {out}")
+    return found.selectExpr(*by, f"array({', '.join(values)}) AS {out}")
 
 
 def quantile_bucket(df: DataFrame, value: str, buckets: int = 5, by: str = "date",
