@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelquant.functions.columns import col
-from panelquant.operators.covariance import asset_beta, periodic, portfolio_beta
+from panelquant.operators.covariance import (asset_beta, covariance_against, periodic, portfolio_beta,
+                                             products_with)
 from panelquant.operators.holdings import (align_weights, beta_neutral_overlay, dropped_tickers,
                                            map_tickers)
+from panelquant.session import materialise
 
 
 def aligned_by_asset(holdings: DataFrame, basket: DataFrame, ids: DataFrame) -> DataFrame:
@@ -19,23 +21,23 @@ def aligned_by_asset(holdings: DataFrame, basket: DataFrame, ids: DataFrame) ->
         F.sum("basket_weight").alias("basket_weight"))
 
 
-def covered(cov: DataFrame, aligned: DataFrame) -> DataFrame:
-    """The entries of the covariance table whose assets are both held or in the basket."""
-    keys = aligned.select("asset")
-    return (cov.join(keys.withColumnRenamed("asset", "asset_i"), "asset_i", "left_semi")
-            .join(keys.withColumnRenamed("asset", "asset_j"), "asset_j", "left_semi"))
-
-
-def etf_beta(holdings: DataFrame, basket: DataFrame, ids: DataFrame, cov: DataFrame,
+def etf_beta(holdings: DataFrame, basket: DataFrame, ids: DataFrame, returns: DataFrame,
              periods_per_year: int = 252) -> dict[str, DataFrame]:
     """``holdings`` and ``basket`` have ``ticker, weight``, ``ids`` maps ``ticker`` to ``barrid``
-    and ``cov`` is the annual covariance (`asset_i <= asset_j`)."""
-    aligned = aligned_by_asset(holdings, basket, ids)
-    cov = periodic(covered(cov, aligned), periods_per_year)
-    beta = portfolio_beta(cov, aligned, "portfolio_weight", "basket_weight")
+    and ``returns`` has ``barrid, date, return``.
+
+    Returns of other assets are dropped before anything is paired, and only covariances of an asset
+    with a member of the basket are computed. Positions and covariances with the basket, one row per
+    asset each, are written once; all tables read those.
+    """
+    aligned = materialise(aligned_by_asset(holdings, basket, ids))
+    used = returns.join(aligned.select(col("asset").alias("barrid")), "barrid", "left_semi")
+    cells = covariance_against(used, aligned.where(col("basket_weight") != 0), periods_per_year)
+    products = materialise(products_with(periodic(cells, periods_per_year), aligned, "basket_weight"))
+    beta = portfolio_beta(products, aligned, "portfolio_weight", "basket_weight")
     return {
         "beta": beta,
-        "asset_beta": asset_beta(cov, aligned, "basket_weight"),
+        "asset_beta": asset_beta(products, aligned, "basket_weight"),
         "overlay": beta_neutral_overlay(aligned, beta),
         "dropped": dropped_tickers(holdings, basket, ids),
     }

@@ -453,7 +453,17 @@ SQL: dict[str, str] = {
         {_r('CASE WHEN variance = 0 THEN 0 ELSE covariance / variance END', 'beta')}""", "totals"),
     "asset_beta_vector": _select(COV_PRODUCTS, f"asset, {_r('v / variance', 'beta')}",
                                  "products, totals"),
-    "etf_beta_job": _select(COV_PRODUCTS, f"asset, {_r('v / variance', 'beta')}", "products, totals"),
+    "etf_beta_job": _select(COV_PRODUCTS + f""",
+        job AS (
+          SELECT 'beta' AS "table", 'covariance' AS key, {_r('covariance', 'value')} FROM totals
+          UNION ALL SELECT 'beta', 'variance', {_r('variance', 'value')} FROM totals
+          UNION ALL SELECT 'beta', 'beta',
+            {_r('CASE WHEN variance = 0 THEN 0 ELSE covariance / variance END', 'value')} FROM totals
+          UNION ALL SELECT 'asset_beta', asset, {_r('v / variance', 'value')} FROM products, totals
+          UNION ALL SELECT 'overlay', asset, {_r('p - covariance / variance * e', 'value')} FROM aligned, totals
+          UNION ALL SELECT 'dropped', ticker, NULL
+            FROM (SELECT ticker FROM held UNION SELECT ticker FROM basket)
+            WHERE ticker NOT IN (SELECT ticker FROM ids))""", '"table", key, value', "job"),
     "neutral_overlay": _select(COV_PRODUCTS, f"asset, {_r('p - covariance / variance * e', 'weight')}",
                                "aligned, totals"),
     "panel_written_and_read": _select(PANEL, 'date, barrid, price, "return", market_cap', "panel",

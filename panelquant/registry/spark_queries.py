@@ -10,11 +10,10 @@ from panelquant.functions.columns import col, divide, log_return
 from panelquant.operators import filters as flt
 from panelquant.operators import rolling
 from panelquant.operators.constraints import parse_constraints
-from panelquant.operators.covariance import (asset_beta, both_triangles,
-                                             construct_covariance_matrix, periodic,
-                                             portfolio_beta, trailing_returns)
+from panelquant.operators.covariance import (both_triangles, construct_covariance_matrix, periodic,
+                                             trailing_returns)
 from panelquant.operators.crosssection import alpha_divisive, recover_zscore, standardise
-from panelquant.operators.holdings import (align_weights, beta_neutral_overlay, dropped_tickers,
+from panelquant.operators.holdings import (align_weights, dropped_tickers,
                                            holdings_weights, map_tickers, ticker_union)
 from panelquant.operators.optimizer import backtest_input, run_mvo_backtest
 from panelquant.operators.returns import (cumulative_returns, generate_returns_from_weights,
@@ -22,7 +21,7 @@ from panelquant.operators.returns import (cumulative_returns, generate_returns_f
 from panelquant.operators.signals import (compute_alphas, compute_cost, compute_idio_vol,
                                           compute_price_impact, compute_return_vol, compute_str)
 from panelquant.plans import diagnostics as diag
-from panelquant.plans.etf_beta import aligned_by_asset, covered, etf_beta
+from panelquant.plans.etf_beta import etf_beta
 from panelquant.plans.quality import quality_screen
 from panelquant.plans.research import load_panel, run_pipeline
 from panelquant.session import scratch_path
@@ -575,15 +574,18 @@ def tickers_dropped(spark, sf_dir):
                            usa_ids(spark, sf_dir))
 
 
+def window_returns(spark, sf_dir) -> DataFrame:
+    return trailing_returns(flt.prepare_data(weekly_panel(spark, sf_dir)), LAST_DATE, COVARIANCE_DAYS)
+
+
 def covariance_table(spark, sf_dir) -> DataFrame:
-    panel = flt.prepare_data(weekly_panel(spark, sf_dir))
-    return construct_covariance_matrix(trailing_returns(panel, LAST_DATE, COVARIANCE_DAYS), WEEKS)
+    return construct_covariance_matrix(window_returns(spark, sf_dir), WEEKS)
 
 
-def beta_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def beta_tables(spark, sf_dir) -> dict[str, DataFrame]:
     held = holdings_weights(supplier_holdings(spark, sf_dir)).select("ticker", "weight")
-    aligned = aligned_by_asset(held, basket_weights(spark, sf_dir), usa_ids(spark, sf_dir))
-    return periodic(covered(covariance_table(spark, sf_dir), aligned), WEEKS), aligned
+    return etf_beta(held, basket_weights(spark, sf_dir), usa_ids(spark, sf_dir),
+                    window_returns(spark, sf_dir), WEEKS)
 
 
 @query
@@ -600,31 +602,33 @@ def daily_covariance(spark, sf_dir):
 
 @query
 def portfolio_etf_beta(spark, sf_dir):
-    cov, aligned = beta_inputs(spark, sf_dir)
-    return portfolio_beta(cov, aligned, "portfolio_weight", "basket_weight").select(
+    return beta_tables(spark, sf_dir)["beta"].select(
         *[rounded(c).alias(c) for c in ("covariance", "variance", "beta")])
 
 
 @query
 def asset_beta_vector(spark, sf_dir):
-    cov, aligned = beta_inputs(spark, sf_dir)
-    return asset_beta(cov, aligned, "basket_weight").select("asset", rounded("beta").alias("beta"))
+    return beta_tables(spark, sf_dir)["asset_beta"].select("asset", rounded("beta").alias("beta"))
 
 
 @query
 def neutral_overlay(spark, sf_dir):
-    cov, aligned = beta_inputs(spark, sf_dir)
-    beta = portfolio_beta(cov, aligned, "portfolio_weight", "basket_weight")
-    return beta_neutral_overlay(aligned, beta).select("asset", rounded("weight").alias("weight"))
+    return beta_tables(spark, sf_dir)["overlay"].select("asset", rounded("weight").alias("weight"))
 
 
 @query
 def etf_beta_job(spark, sf_dir):
-    """The whole job; its asset betas."""
-    held = holdings_weights(supplier_holdings(spark, sf_dir)).select("ticker", "weight")
-    tables = etf_beta(held, basket_weights(spark, sf_dir), usa_ids(spark, sf_dir),
-                      covariance_table(spark, sf_dir), WEEKS)
-    return tables["asset_beta"].select("asset", rounded("beta").alias("beta"))
+    """All tables of the job in one: table, key, value."""
+    tables = beta_tables(spark, sf_dir)
+    total = tables["beta"].selectExpr(
+        "stack(3, 'covariance', covariance, 'variance', variance, 'beta', beta) AS (key, value)")
+    return (total.select(F.lit("beta").alias("table"), "key", rounded("value").alias("value"))
+            .unionByName(tables["asset_beta"].select(
+                F.lit("asset_beta").alias("table"), col("asset").alias("key"), rounded("beta").alias("value")))
+            .unionByName(tables["overlay"].select(
+                F.lit("overlay").alias("table"), col("asset").alias("key"), rounded("weight").alias("value")))
+            .unionByName(tables["dropped"].select(
+                F.lit("dropped").alias("table"), col("ticker").alias("key"), F.lit(None).cast("double").alias("value"))))
 
 
 # --- sinks and jobs ----------------------------------------------------------------------------

@@ -5,8 +5,8 @@ import json
 import numpy as np
 import pytest
 
-from panelquant.operators.covariance import (asset_beta, both_triangles,
-                                             construct_covariance_matrix, periodic,
+from panelquant.operators.covariance import (asset_beta, both_triangles, covariance_against,
+                                             construct_covariance_matrix, matrix_vector, periodic,
                                              portfolio_beta, trailing_returns)
 from panelquant.operators.holdings import (align_weights, dropped_tickers, holdings_weights,
                                            last_by_key, map_tickers, ticker_union)
@@ -115,7 +115,7 @@ def brute_covariance(x, i, j):
             if both.sum() > 1 else None)
 
 
-@pytest.mark.parametrize("blocks", [None, 1, 2, 5, 40])
+@pytest.mark.parametrize("blocks", [1, 2, 5, 40])
 def test_covariance_of_every_pair(returns, blocks):
     frame, x = returns
     rows = construct_covariance_matrix(frame, 252, blocks).collect()
@@ -148,23 +148,42 @@ def test_products_with_the_covariance(spark, cov):
     rows = [(f"US{i + 1}", float(wp[i]), float(we[i])) for i in range(3)]
     aligned = spark.createDataFrame(
         rows, "asset string, portfolio_weight double, basket_weight double")
-    row = portfolio_beta(periodic(table), aligned, "portfolio_weight", "basket_weight").first()
+    row = portfolio_beta(matrix_vector(periodic(table), aligned, "basket_weight"), aligned, "portfolio_weight", "basket_weight").first()
     assert row["covariance"] == pytest.approx(wp @ v @ we)
     assert row["variance"] == pytest.approx(we @ v @ we)
     assert row["beta"] == pytest.approx(wp @ v @ we / (we @ v @ we))
     betas = {r["asset"]: r["beta"]
-             for r in asset_beta(periodic(table), aligned, "basket_weight").collect()}
+             for r in asset_beta(matrix_vector(periodic(table), aligned, "basket_weight"), aligned, "basket_weight").collect()}
     assert betas == pytest.approx(dict(zip(["US1", "US2", "US3"], v @ we / (we @ v @ we))))
 
 
 def test_no_variance_means_no_beta(spark, cov):
     aligned = spark.createDataFrame([("US1", .5, 0.0)],
                                     "asset string, portfolio_weight double, basket_weight double")
-    assert portfolio_beta(cov[0], aligned, "portfolio_weight", "basket_weight").first()["beta"] == 0
+    assert portfolio_beta(matrix_vector(cov[0], aligned, "basket_weight"), aligned, "portfolio_weight", "basket_weight").first()["beta"] == 0
 
 
-def test_the_whole_beta_job(spark, cov, ids):
-    table, v = cov
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_covariance_against_members_only(returns, blocks):
+    frame, x = returns
+    members = frame.sparkSession.createDataFrame([("US03",), ("US07",), ("US22",), ("none",)], "asset string")
+    rows = covariance_against(frame, members, 252, blocks).collect()
+    got = {(int(r["asset_i"][2:]), int(r["asset_j"][2:])): (r["n"], r["cov"]) for r in rows}
+    assert len(rows) == len(got)
+    want = {(i, j): brute_covariance(x, i, j) for i in range(x.shape[1]) for j in (3, 7, 22)}
+    want = {k: v for k, v in want.items() if v[0]}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    for key, (_, c) in want.items():
+        assert got[key][1] == (None if c is None else pytest.approx(c))
+
+
+def test_the_whole_beta_job(spark, ids):
+    x = np.random.default_rng(11).normal(size=(40, 4))
+    names = ["US1", "US2", "US3", "US4"]  # the last is neither held nor in the basket
+    table = spark.createDataFrame([(day("2023-01-01"), "US9", 1.0)] + [
+        (day(f"2023-{1 + t // 20:02d}-{1 + t % 20:02d}"), n, float(x[t, i]))
+        for t in range(40) for i, n in enumerate(names)], "date date, barrid string, `return` double")
+    v = np.cov(x[:, :3].T)
     holdings = weights(spark, {"ALP": .2, "BET": .3, "ZZZ": .5})
     basket = weights(spark, {"ALP": .6, "GAM": .4})
     tables = etf_beta(holdings, basket, ids, table)
