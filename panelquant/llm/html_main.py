@@ -4,10 +4,11 @@ The markup of a page is read into blocks of text, each with the chain of element
 Elements that never hold the article (menus, headers and footers of the page, forms, scripts and
 the like, by element, role or class name) are left out. What remains of a site's template is
 found by counting: every element subtree is hashed with its text, and Spark counts for each host
-on how many different pages a hash occurs. Subtrees recurring on many pages are deleted, unless
-they are prose of the article itself: paragraphs, headings, lists and quotes inside <article> or
-<main> stay, since pages may copy or quote each other. Pages with the same whole content count
-once, so that copies of one article are no template.
+on how many different pages a hash occurs. Subtrees recurring on many pages are deleted. Prose
+inside <article> or <main> may be copied or quoted by other pages: a whole paragraph, heading, list,
+quote or table there goes only if it is in most of the host's different articles; words within a
+paragraph, items and cells never go alone. Pages with the same whole content count once, and for
+prose those with the same articles, so that copies of one article are no template.
 
 A hash list per host is bounded: a subtree has to be on a share of the host's pages, so no list
 is longer than the subtrees of a page over that share. Null markup is empty, a null or strange
@@ -29,6 +30,8 @@ from panelquant.llm.common import over_batches, written
 #: A subtree is template if it is on at least MIN_PAGES different pages of the host and on this share.
 MIN_PAGES = 10
 SHARE = 0.05
+#: The share of the host's different articles for prose inside them.
+PROSE_SHARE = 0.5
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +55,8 @@ DROPPED_NAMES = frozenset(
     "modal overlay comment comments disqus replies reply pagination pager tags toolbar skip".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table caption tbody thead tfoot tr td th figure figcaption "
                   "b i em strong span a code q cite u s small sub sup mark abbr".split())
+#: Prose that stands by itself; all other prose goes or stays with what it is part of.
+WHOLE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 
 
 @dataclass
@@ -59,6 +64,8 @@ class Node:
     tag: str
     dropped: bool
     article: bool
+    #: Inside prose, or <article> or <main> itself.
+    part: bool
     parts: list = field(default_factory=list)
 
 
@@ -67,7 +74,7 @@ class Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", False, False)
+        self.root = Node("", False, False, False)
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -78,7 +85,9 @@ class Reader(HTMLParser):
                 self._end(other, stop={"ul", "ol", "dl", "table"})
         parent = self.open[-1]
         article = parent.article or tag in ("article", "main")
-        node = Node(tag, parent.dropped or _dropped(tag, attrs, parent.article), article)
+        node = Node(tag, parent.dropped or _dropped(tag, attrs, parent.article), article,
+                    parent.tag in PROSE or parent.part and parent.tag not in ("article", "main")
+                    or tag in ("article", "main"))
         parent.parts.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -90,7 +99,7 @@ class Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
-            self.open[-1].parts.append(Node("br", False, False))
+            self.open[-1].parts.append(Node("br", False, False, True))
         else:
             self._end(tag, stop=set() if tag in BLOCK else BLOCK)
 
@@ -159,6 +168,16 @@ def subtrees(root: Node) -> tuple[dict[int, int], int]:
     return hashes, hashes.get(id(root), 0)
 
 
+def _key(node: Node, hashes: dict[int, int]) -> int | None:
+    """What the node is counted by; none if it never goes by count."""
+    h = hashes.get(id(node))
+    if h is None or node.tag in ("", "html", "body", "article", "main"):
+        return None
+    if not (node.article and node.tag in PROSE):
+        return h
+    return _hash("prose", str(h)) if node.tag in WHOLE and not node.part else None
+
+
 def blocks(root: Node, template: set[int], hashes: dict[int, int]) -> list[str]:
     """The kept blocks of text in page order."""
     out: list[str] = []
@@ -178,7 +197,7 @@ def blocks(root: Node, template: set[int], hashes: dict[int, int]) -> list[str]:
             flush()
         elif isinstance(x, str):
             now.append(x)
-        elif x.dropped or hashes.get(id(x)) in template and not (x.article and x.tag in PROSE | {"article", "main"}):
+        elif x.dropped or template and _key(x, hashes) in template:
             if x.tag in BLOCK:
                 flush()
         elif x.tag in ("br", "wbr"):
@@ -212,39 +231,50 @@ def host() -> F.Column:
                                     r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE,
+              prose_share: float = PROSE_SHARE) -> DataFrame:
     """host, hashes: the subtrees that recur on many different pages of each host.
 
-    Only subtrees that extraction would delete are counted: those that are no article prose.
+    Only subtrees that extraction would delete are counted. Prose of articles has a row of its own
+    a page, by which the same articles on different pages count once.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, whole, found = [], [], []
+        hosts, prose, whole, found = [], [], [], []
         for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             root = read(html)
             hashes, page = subtrees(root)
-            kinds, stack = set(), [root]
+            kinds: tuple[set, set] = (set(), set())
+            articles, stack = [], [root]
             while stack:
                 node = stack.pop()
-                if id(node) in hashes and node.tag and node.tag not in ("html", "body") and not (
-                        node.article and node.tag in PROSE | {"article", "main"}):
-                    kinds.add(hashes[id(node)])
+                key = _key(node, hashes)
+                if key is not None:
+                    kinds[node.article and node.tag in PROSE].add(key)
+                elif node.tag in ("article", "main") and id(node) in hashes:
+                    articles.append(hashes[id(node)])
                 stack.extend(x for x in node.parts if isinstance(x, Node) and not x.dropped)
-            hosts.append(name)
-            whole.append(page)
-            found.append(sorted(kinds))
+            rows = [(False, page, kinds[0])]
+            if articles:
+                rows.append((True, _hash("", "\1".join(map(str, sorted(articles)))), kinds[1]))
+            for inside, content, keys in rows:
+                hosts.append(name)
+                prose.append(inside)
+                whole.append(content)
+                found.append(sorted(keys))
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-            ["host", "page", "found"])
+            [pa.array(hosts, pa.string()), pa.array(prose, pa.bool_()), pa.array(whole, pa.int64()),
+             pa.array(found, pa.list_(pa.int64()))], ["host", "prose", "page", "found"])
 
     seen = over_batches(pages.select(host().alias("host"), "html"), run,
-                        "host string, page bigint, found array<bigint>").dropDuplicates(["host", "page"])
-    counts = seen.select("host", F.explode(F.array_append("found", F.lit(None).cast("long"))).alias("h")).groupBy(
-        "host", "h").agg(F.count("*").alias("n"))
+                        "host string, prose boolean, page bigint, found array<bigint>").dropDuplicates(
+        ["host", "prose", "page"])
+    counts = seen.select("host", "prose", F.explode(F.array_append("found", F.lit(None).cast("long"))).alias("h")).groupBy(
+        "host", "prose", "h").agg(F.count("*").alias("n"))
     # The null row of a host counts its pages.
-    total = counts.where("h IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("h").isNotNull() & (F.col("n") >= min_pages)).join(total, "host").where(
-        F.col("n") >= share * F.col("pages"))
+    total = counts.where("h IS NULL").select("host", "prose", F.col("n").alias("pages"))
+    often = counts.where(F.col("h").isNotNull() & (F.col("n") >= min_pages)).join(total, ["host", "prose"]).where(
+        F.col("n") >= F.when(F.col("prose"), prose_share).otherwise(share) * F.col("pages"))
     return often.groupBy("host").agg(F.array_sort(F.collect_list("h")).alias("hashes"))
 
 

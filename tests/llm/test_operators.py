@@ -107,6 +107,14 @@ def test_html_template_goes_and_copied_article_stays(spark):
     assert got[3] == prose(20, 3) and got[55] == "the same article"
 
 
+def test_html_line_of_every_article_goes_and_words_stay(spark):
+    rows = [(i, "http://c.org/x", f"<article><h1>Title {i}</h1><p>Sign up for our letter</p><p>{prose(20, i)} <b>and</b> so</p>"
+                                  f"<ul><li>yes</li><li>{i}</li></ul></article>") for i in range(30)]
+    rows += [(50 + i, "http://c.org/x", f"<div>{prose(3, 90 + i)}</div><article><p>one copied article</p></article>") for i in range(40)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == f"Title 3\n\n{prose(20, 3)} and so\n\nyes\n\n3" and "one copied article" in got[55]
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
