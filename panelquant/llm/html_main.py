@@ -2,7 +2,8 @@
 
 The markup of a page is read into blocks of text, each with the chain of elements around it.
 Elements that never hold the article (menus, headers and footers of the page, forms, scripts and
-the like, by element, role or class name) are left out. What remains of a site's template is
+the like, by element, role or class name) are left out; a form or a class name drops nothing that
+wraps the article or most of the page's prose. What remains of a site's template is
 found by counting: every element subtree is hashed with its text, and Spark counts for each host
 on how many different pages a hash occurs. Subtrees recurring on many pages are deleted. Prose
 inside <article> or <main> may be copied or quoted by other pages: a whole paragraph, heading, list,
@@ -44,7 +45,7 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "th
 #: Elements whose open sibling ends where one of the same group starts.
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
-DROPPED = frozenset("head nav aside footer form button dialog menu label".split()) | RAW
+DROPPED = frozenset("head nav aside footer button dialog menu label".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu "
                           "menubar toolbar".split())
 #: Parts of class and id names (between - and _ and blanks) of what is no article.
@@ -53,6 +54,9 @@ DROPPED_NAMES = frozenset(
     "menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets related recommended "
     "share sharing social cookie cookies consent notice notices newsletter subscribe subscription signup login popup "
     "modal overlay comment comments disqus replies reply pagination pager tags toolbar skip".split())
+#: Names that an article's own heading may have, and those of what readers wrote.
+HEADING_NAMES = frozenset("header masthead".split())
+READER_NAMES = frozenset("comment comments disqus replies reply".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table caption tbody thead tfoot tr td th figure figcaption "
                   "b i em strong span a code q cite u s small sub sup mark abbr".split())
 #: Prose that stands by itself; all other prose goes or stays with what it is part of.
@@ -67,6 +71,8 @@ class Node:
     #: Inside prose, or <article> or <main> itself.
     part: bool
     parts: list = field(default_factory=list)
+    #: Dropped unless it wraps the article: a form, or by the names of class and id.
+    names: frozenset = frozenset()
 
 
 class Reader(HTMLParser):
@@ -85,9 +91,9 @@ class Reader(HTMLParser):
                 self._end(other, stop={"ul", "ol", "dl", "table"})
         parent = self.open[-1]
         article = parent.article or tag in ("article", "main")
-        node = Node(tag, parent.dropped or _dropped(tag, attrs, parent.article), article,
+        node = Node(tag, _dropped(tag, attrs, parent.article), article,
                     parent.tag in PROSE or parent.part and parent.tag not in ("article", "main")
-                    or tag in ("article", "main"))
+                    or tag in ("article", "main"), names=_names(tag, attrs, parent.article))
         parent.parts.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -124,22 +130,76 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
             return True
         if name == "role" and value in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = value.replace("-", " ").replace("_", " ").split()
-            if any(w in DROPPED_NAMES for w in words):
-                return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
 
+def _names(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> frozenset:
+    if tag in ("html", "body", "article", "main"):
+        return frozenset()
+    words = {w for name, value in attrs if name in ("class", "id")
+             for w in (value or "").lower().replace("-", " ").replace("_", " ").split()}
+    return frozenset(words & DROPPED_NAMES - (HEADING_NAMES if in_article else frozenset()) | {tag} & {"form"})
+
+
 def read(html: str | None) -> Node:
     reader = Reader()
     reader.feed(html or "")
     reader.close()
+    _settle(reader.root)
     return reader.root
 
 
+def _settle(root: Node) -> None:
+    """Drops elements by name unless they wrap the article, and all inside dropped ones.
+
+    An element wraps the article if in it is <main>, an <article> at least half as long as the
+    page's longest, or prose that is most of the page's text (of readers' comments: never).
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if not node.dropped:
+            stack.extend(x for x in node.parts if isinstance(x, Node))
+    text: dict[int, int] = {}
+    prose: dict[int, int] = {}
+    longest: dict[int, float] = {}
+    for node in reversed(order):
+        i = id(node)
+        text[i] = prose[i] = 0
+        longest[i] = -1
+        if node.dropped:
+            continue
+        for x in node.parts:
+            if isinstance(x, str):
+                text[i] += len("".join(x.split()))
+            else:
+                text[i] += text[id(x)]
+                prose[i] += prose[id(x)]
+                longest[i] = max(longest[i], longest[id(x)])
+        if node.tag in WHOLE - {"ul", "ol"}:
+            prose[i] = text[i]
+        if node.tag == "main":
+            longest[i] = float("inf")
+        elif node.tag == "article":
+            longest[i] = max(longest[i], text[i])
+    most, half = longest[id(root)], text[id(root)] / 2
+    for node in order:
+        i = id(node)
+        if node.names and not (longest[i] >= 0 and longest[i] >= most / 2
+                               or prose[i] > half and not node.names & READER_NAMES):
+            node.dropped = True
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for x in node.parts:
+            if isinstance(x, Node):
+                x.dropped = x.dropped or node.dropped
+                stack.append(x)
+
+
 def _hash(tag: str, content: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{tag}\0{content}".encode("utf-8", "replace"), digest_size=8).digest(),
                           "little", signed=True)

@@ -115,6 +115,16 @@ def test_html_line_of_every_article_goes_and_words_stay(spark):
     assert got[3] == f"Title 3\n\n{prose(20, 3)} and so\n\nyes\n\n3" and "one copied article" in got[55]
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div class='layout with-sidebar'><div class='sidebar'>s</div><article><p>body</p></article></div>", "body"),
+    ("<div id='page-header-wrap'><main><p>body</p></main></div>", "body"),
+    ("<form><div class=menu>m</div><p>body of the page</p><input></form>", "body of the page"),
+    ("<article><div class='entry-header'><h1>T</h1></div><p>body</p></article>", "T\n\nbody"),
+    ("<article><p>body</p></article><div class=comments><p>very long answer of some reader</p></div>", "body")])
+def test_html_wrapper_of_the_article_stays(html, text):
+    assert "\n\n".join(html_main.blocks(html_main.read(html), set(), {})) == text
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
