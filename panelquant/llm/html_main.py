@@ -249,8 +249,7 @@ def blocks(root: Node, template: set[int], hashes: dict[int, int]) -> list[str]:
         if text:
             out.append(text)
 
-    tops = _articles(root)
-    stack: list[Node | str | None] = [None, *reversed(tops)] if tops else [None, root]
+    stack: list[Node | str | None] = [None, *reversed(_tops(root))]
     while stack:
         x = stack.pop()
         if x is None:
@@ -270,19 +269,20 @@ def blocks(root: Node, template: set[int], hashes: dict[int, int]) -> list[str]:
     return out
 
 
-def _articles(root: Node) -> list[Node]:
-    """The outermost kept <article> elements, else <main>; none if the page marks neither."""
-    for tag in ("article", "main"):
-        found, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.tag == tag and not node.dropped:
-                found.append(node)
-                continue
-            stack.extend(reversed([x for x in node.parts if isinstance(x, Node)]))
-        if found:
-            return found
-    return []
+def _tops(root: Node) -> list[Node]:
+    """The outermost kept <main> elements if every kept <article> is in one, else the root."""
+    mains, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.dropped:
+            continue
+        if node.tag == "main":
+            mains.append(node)
+            continue
+        if node.tag == "article":
+            return [root]
+        stack.extend(reversed([x for x in node.parts if isinstance(x, Node)]))
+    return mains or [root]
 
 
 def host() -> F.Column:

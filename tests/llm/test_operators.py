@@ -125,6 +125,14 @@ def test_html_wrapper_of_the_article_stays(html, text):
     assert "\n\n".join(html_main.blocks(html_main.read(html), set(), {})) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<main><h1>Title</h1><p>lead</p><article><p>body</p></article></main>", "Title|lead|body"),
+    ("<main><p>body</p><article><p>card</p></article></main><p>out</p>", "body|card"),
+    ("<h1>Title</h1><nav>n</nav><article><p>body</p></article><footer>f</footer>", "Title|body")])
+def test_html_text_around_articles_stays(html, text):
+    assert "|".join(html_main.blocks(html_main.read(html), set(), {})) == text
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
