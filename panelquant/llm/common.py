@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage, survives lost executors, and lets the planner see the table's real size.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +46,100 @@ def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+class Recent:
+    """What a worker remembers of a function of keys, in two generations of ``most`` bytes each.
+
+    Keys in use move to the young generation; when that is full, the old one goes.
+    """
+
+    def __init__(self, function: Callable[[list], list[bytes]], most: int) -> None:
+        self.function, self.most = function, most
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def get(self, keys: list) -> list[bytes]:
+        """The function's value of every key; it is called once for all that are not remembered."""
+        found = list(map(self.young.get, keys))
+        places = [i for i, v in enumerate(found) if v is None]
+        if places:
+            missing = {keys[i] for i in places}
+            fresh = [k for k in missing if k not in self.old]
+            values = {k: self.old[k] for k in missing.difference(fresh)}
+            values.update(zip(fresh, self.function(fresh), strict=True))
+            for i in places:
+                found[i] = values[keys[i]]
+            self.held += sum(map(len, values)) + sum(map(len, values.values())) + 200 * len(values)
+            self.young.update(values)
+            if self.held > self.most:
+                self.old, self.young, self.held = self.young, {}, 0
+        return found
+
+
+#: Bytes of text that are taken apart at once.
+BYTES_AT_ONCE = 4 << 20
+
+
+def by_size(batch: pa.RecordBatch, column: str, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts have about ``most`` bytes together; a longer text is one by itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    slot = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges, edges[1:]):
+        if low < high:
+            yield batch.slice(low, high - low)
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of some texts: distinct ones, and for every word its number, start and text."""
+
+    distinct: list[bytes]
+    number: np.ndarray
+    start: np.ndarray
+    #: First word of each text, and the end.
+    edges: np.ndarray
+    #: All bytes of the texts, one after the other, as the words were found in them.
+    data: np.ndarray
+
+
+def distinct_words(texts: pa.Array, mapped: np.ndarray) -> Words:
+    """Words are runs of bytes that ``mapped`` (256 bytes for 256) does not map to a space.
+
+    Null texts are empty, and no word goes from one text to the next.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    buffers = texts.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = (np.frombuffer(buffers[2], np.uint8)[offsets[0]:offsets[-1]] if buffers[2] is not None
+            else np.zeros(0, np.uint8))
+    offsets = offsets - offsets[0]
+    data = mapped[data]
+    inside = data != 0x20
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cuts = offsets[:-1][offsets[:-1] < len(data)]
+    first[cuts] = inside[cuts]
+    start = np.flatnonzero(first)
+    ends = np.zeros(len(start) + 1, np.int64)
+    if len(start):
+        ends[1:] = np.cumsum(np.add.reduceat(inside, start, dtype=np.int64))
+    found = pa.Array.from_buffers(pa.large_binary(), len(start),
+                                  [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]).dictionary_encode()
+    return Words(found.dictionary.to_pylist(), found.indices.to_numpy(), start,
+                 np.searchsorted(start, offsets), data)
+
+
+def gathered(parts: list[bytes], number: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The items (``width`` bytes each) of ``parts[k]`` for every k of ``number``, and where each k's end."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+    pool = np.frombuffer(b"".join(parts), f"<u{width}")
+    starts = np.cumsum(sizes) - sizes
+    length = sizes[number]
+    ends = np.cumsum(length)
+    return pool[np.repeat(starts[number] - (ends - length), length) + np.arange(length.sum())], ends
+
+
 def text_key() -> F.Column:
     """Tells texts of equal ids apart; rows that repeat id and text are one document."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
