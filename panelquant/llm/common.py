@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelquant.session import scratch_path
@@ -34,6 +34,17 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df``, written, with ``column``: its rows numbered from 1 on without gaps."""
+    held = written(df.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    # One row per written partition.
+    ahead = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).withColumn(
+        "_ahead", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).select("_part", "_ahead")
+    return held.withColumn("_part", part).join(ahead, "_part").withColumn(
+        column, F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_ahead", "_at")
+
+
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch],
                  schema: str) -> DataFrame:
     """``function`` over every Arrow batch of ``df``, ROWS_AT_ONCE rows of it at a time."""
@@ -99,7 +110,7 @@ class Words:
     start: np.ndarray
     #: First word of each text, and the end.
     edges: np.ndarray
-    #: All bytes of the texts, one after the other, as the words were found in them.
+    #: All bytes of the texts, one after the other.
     data: np.ndarray
 
 
@@ -114,8 +125,8 @@ def distinct_words(texts: pa.Array, mapped: np.ndarray) -> Words:
     data = (np.frombuffer(buffers[2], np.uint8)[offsets[0]:offsets[-1]] if buffers[2] is not None
             else np.zeros(0, np.uint8))
     offsets = offsets - offsets[0]
-    data = mapped[data]
-    inside = data != 0x20
+    seen = mapped[data]
+    inside = seen != 0x20
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
@@ -125,7 +136,7 @@ def distinct_words(texts: pa.Array, mapped: np.ndarray) -> Words:
     if len(start):
         ends[1:] = np.cumsum(np.add.reduceat(inside, start, dtype=np.int64))
     found = pa.Array.from_buffers(pa.large_binary(), len(start),
-                                  [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]).dictionary_encode()
+                                  [None, pa.py_buffer(ends), pa.py_buffer(seen[inside])]).dictionary_encode()
     return Words(found.dictionary.to_pylist(), found.indices.to_numpy(), start,
                  np.searchsorted(start, offsets), data)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelquant.llm import (bag_minhash, byte_bpe, embeddings, html_main, license_scan, mixing, packing,
-                            quality, secret_scan, suffix_dedup, toxicity)
+from panelquant.llm import (bag_minhash, byte_bpe, collocations, embeddings, html_main, license_scan, mixing,
+                            packing, quality, secret_scan, suffix_dedup, toxicity)
 from panelquant.llm.sql import SQL as SQL
 
 
@@ -83,6 +83,10 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -97,4 +101,4 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_html_extraction, op3_source_mixing, op4_byte_bpe, op5_embedding_neardup,
-    op6_toxicity, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_bag_minhash, op13_packing)}
+    op6_toxicity, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_bag_minhash, op11_collocations, op13_packing)}
