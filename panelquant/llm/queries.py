@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelquant.llm import (bag_minhash, byte_bpe, collocations, embeddings, html_main, license_scan, mixing,
-                            packing, quality, secret_scan, suffix_dedup, toxicity)
+from panelquant.llm import (bag_minhash, byte_bpe, collocations, conversation_repair, embeddings, html_main,
+                            license_scan, mixing, packing, quality, secret_scan, suffix_dedup, toxicity)
 from panelquant.llm.sql import SQL as SQL
 
 
@@ -87,6 +87,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damage(given)
+    chosen = conversation_repair.audits(conversation_repair.faults(rows))
+    hashes = conversation_repair.digests(conversation_repair.repair(rows, chosen))
+    known = given.select("conv_id").distinct().alias("g")
+    found = known.join(chosen.alias("c"), F.expr("g.conv_id <=> c.conv_id"), "left").join(
+        hashes.alias("h"), F.expr("g.conv_id <=> h.conv_id"), "left")
+    counts = [F.coalesce(f"c.{name}", F.lit(0)).cast("long").alias(name)
+              for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("g.conv_id", *counts, F.coalesce("c.audit", F.lit("")).alias("audit"),
+                        F.coalesce("h.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -101,4 +115,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_html_extraction, op3_source_mixing, op4_byte_bpe, op5_embedding_neardup,
-    op6_toxicity, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_bag_minhash, op11_collocations, op13_packing)}
+    op6_toxicity, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_bag_minhash, op11_collocations,
+    op12_conversation_repair, op13_packing)}

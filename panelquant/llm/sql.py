@@ -59,9 +59,38 @@ SELECT doc_id, least(doc_id, coalesce(b, doc_id)) AS class_id, doc_id <= coalesc
 FROM documents LEFT JOIN least ON a = doc_id
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM split, (VALUES (1), (2), (3)) AS sizes (k) WHERE len(w) >= k),
+counts AS (SELECT lang, w[i:i + k - 1] AS p, k, CAST(count(*) AS hugeint) AS f FROM grams GROUP BY 1, 2, 3),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM counts WHERE f >= 10),
+longer AS (
+  SELECT lang, p, max(f) AS held FROM (
+    SELECT lang, p[1:2] AS p, f FROM often WHERE k = 3 UNION ALL SELECT lang, p[2:3], f FROM often WHERE k = 3) GROUP BY 1, 2),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, s.cut, l.f AS l, r.f AS r, (1000000 * c.f * c.f) // (l.f * r.f) AS score
+  FROM often c JOIN (VALUES (1), (2)) AS s (cut) ON s.cut < c.k
+  JOIN often l ON l.lang = c.lang AND l.p = c.p[1:s.cut] JOIN often r ON r.lang = c.lang AND r.p = c.p[s.cut + 1:]
+  LEFT JOIN longer h ON h.lang = c.lang AND h.p = c.p WHERE h.held IS NULL OR 100 * h.held < 50 * c.f),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank FROM lowest)
+SELECT lang, rank, phrase, CAST(a AS bigint) AS a, CAST(l AS bigint) AS l, CAST(r AS bigint) AS r,
+       CAST(n AS bigint) AS n, CAST(score AS bigint) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 #: The other operators fit models, follow a hash, or match with errors; the tests compare them with plain versions.
 SQL: dict[str, str] = {
     "op5_embedding_neardup": EMBEDDINGS,
     "op7_suffix_dedup": SUFFIXES,
     "op10_bag_minhash": MINHASH,
+    "op11_collocations": COLLOCATIONS,
 }
