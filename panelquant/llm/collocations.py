@@ -282,13 +282,16 @@ def phrase_counts(numbers: DataFrame, n_shards: int, bits: int, least: int) -> D
         return Filter.merged(*(np.concatenate([getattr(f, c) for f in parts])
                                for c in ("quotient", "remainder", "count")))
 
-    filters = numbers.mapInArrow(count, schema)
-    for k in range(1, rounds):
-        def widen(table: pa.Table, bits_left: int = above[k]) -> pa.Table:
+    def wider(bits_left: int):
+        def widen(table: pa.Table) -> pa.Table:
             shard = table.column("shard")[0].as_py() >> FAN_BITS
             return pa.Table.from_batches([blobs((shard, p, f) for p, f in together(table).ranges(bits_left))])
 
-        filters = filters.groupBy("shard", "part").applyInArrow(widen, schema)
+        return widen
+
+    filters = numbers.mapInArrow(count, schema)
+    for bits_left in above[1:]:
+        filters = filters.groupBy("shard", "part").applyInArrow(wider(bits_left), schema)
 
     def last(table: pa.Table) -> pa.Table:
         found = together(table)

@@ -36,7 +36,7 @@ from panelquant.llm.common import Recent, by_size, distinct_words, gathered, wri
 CAPACITY = 4096
 END = 2
 #: Rows of one salted group, on average.
-ROWS_PER_SALT = 1 << 16
+ROWS_PER_SALT = 1 << 12
 MOST_REMEMBERED = 96 << 20
 
 #: Words made of these alone are lower-cased and split here; the tokeniser's own normaliser takes the rest.

@@ -26,7 +26,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelquant.llm.common import over_batches
+from panelquant.llm.common import distinct_words, over_batches
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -50,6 +50,8 @@ DECAY = 1e-4
 BATCH = 64
 THRESHOLD = 0.7
 MOST_CACHED = 1 << 17
+_SPACES = np.arange(256, dtype=np.uint8)
+_SPACES[0x09:0x0E] = 0x20
 EDGE = ".,;:!?\"'()[]{}*#%&$<>|"
 
 
@@ -88,35 +90,75 @@ class Model:
     shift: float
 
 
-def _fit(windows: list[tuple[int, list[str], int]], seed: int) -> tuple[np.ndarray, float]:
-    labels = np.array([y for _, _, y in windows], np.int64)
-    windows = [x for _, x, _ in windows]
+@dataclass(frozen=True)
+class Windows:
+    """Training windows as numbers: each window's document, label and different words, and each word's
+    n-gram buckets. Words and buckets lie one behind the other, with the edges of their owners."""
+
+    document: np.ndarray
+    label: np.ndarray
+    words: np.ndarray
+    word_edges: np.ndarray
+    buckets: np.ndarray
+    bucket_edges: np.ndarray
+
+    @staticmethod
+    def of(document: np.ndarray, texts: pa.Array, label: np.ndarray) -> Windows:
+        found = distinct_words(texts, _SPACES)
+        owner = np.repeat(np.arange(len(label)), np.diff(found.edges))
+        size = max(len(found.distinct), 1)
+        once = np.unique(owner * size + found.number)
+        ids, buckets = grams([w.decode() for w in found.distinct]) if found.distinct else (np.zeros(0, int),) * 2
+        order = np.argsort(ids, kind="stable")
+        return Windows(document, label, once % size, np.searchsorted(once // size, np.arange(len(label) + 1)),
+                       buckets[order], np.searchsorted(ids[order], np.arange(size + 1)))
+
+    def of_windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the windows ``at``, one behind the other, and each window's number of them."""
+        counts = self.word_edges[at + 1] - self.word_edges[at]
+        words = self.words[_runs(self.word_edges[at], counts)]
+        sizes = self.bucket_edges[words + 1] - self.bucket_edges[words]
+        owner = np.repeat(np.arange(len(at)), counts)
+        return (self.buckets[_runs(self.bucket_edges[words], sizes)],
+                np.bincount(owner, sizes, len(at)).astype(np.int64))
+
+    def margins(self, at: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+        out = np.zeros(len(at))
+        for low in range(0, len(at), 1024):
+            rows, sizes = self.of_windows(at[low:low + 1024])
+            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weight[rows], len(sizes))
+            out[low:low + 1024] = sums / np.maximum(sizes, LEAST_GRAMS) + bias
+        return out
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of every run, one behind the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _fit(windows: Windows, at: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """Bucket weights and bias from the windows ``at``; one without n-grams has a mean of zero."""
+    labels = windows.label[at]
     rng = np.random.default_rng(seed)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for x in windows for w in x))}
-    ids, buckets = grams(list(vocabulary))
-    order = np.argsort(ids, kind="stable")
-    buckets = buckets[order]
-    edges = np.searchsorted(ids[order], np.arange(len(vocabulary) + 1))
-    del order, ids
-    bags = [np.fromiter({vocabulary[w]: 0 for w in x}, np.int32) for x in windows]
-    del windows, vocabulary
     # The rows are ``decay * table``: all of them decay in every step, which costs one number.
     table, decay = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS, 1.0
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
     share = max(labels.mean(), 1e-6)
     importance = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6))
-    epochs = max(EPOCHS, -(-LEAST_BATCHES * BATCH // len(bags)))
-    total = epochs * len(bags)
+    epochs = max(EPOCHS, -(-LEAST_BATCHES * BATCH // len(at)))
+    total = epochs * len(at)
     for epoch in range(epochs):
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), BATCH):
-            rate = RATE * (1 - (epoch * len(bags) + at) / total)
-            batch = order[at:at + BATCH]
-            parts = [[buckets[edges[w]:edges[w + 1]] for w in bags[i].tolist()] for i in batch]
-            sizes = np.array([sum(map(len, x)) for x in parts])
-            rows = np.concatenate([y for x in parts for y in x])
+        order = rng.permutation(len(at))
+        for low in range(0, len(order), BATCH):
+            rate = RATE * (1 - (epoch * len(at) + low) / total)
+            batch = order[low:low + BATCH]
+            rows, sizes = windows.of_windows(at[batch])
             owner = np.repeat(np.arange(len(batch)), sizes)
-            mean = np.add.reduceat(table[rows], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            mean = np.zeros((len(batch), DIMENSIONS))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                mean[some] = np.add.reduceat(table[rows], (np.cumsum(sizes) - sizes)[some])
             mean *= decay / np.maximum(sizes, LEAST_GRAMS)[:, None]
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -126,11 +168,12 @@ def _fit(windows: list[tuple[int, list[str], int]], seed: int) -> tuple[np.ndarr
             back = p @ out.T / np.maximum(sizes, LEAST_GRAMS)[:, None]
             out -= rate * OUTPUT_RATE * mean.T @ p / len(batch)
             bias -= rate * p.mean(0)
-            # A row's steps are summed before they are taken.
-            by_row = np.argsort(rows, kind="stable")
-            rows = rows[by_row]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            table[rows[first]] -= rate * ROW_RATE / decay * np.add.reduceat(back[owner[by_row]], first)
+            if len(rows):
+                # A row's steps are summed before they are taken.
+                by_row = np.argsort(rows, kind="stable")
+                rows = rows[by_row]
+                first = np.flatnonzero(np.diff(rows, prepend=-1))
+                table[rows[first]] -= rate * ROW_RATE / decay * np.add.reduceat(back[owner[by_row]], first)
             decay *= 1 - rate * DECAY
     return decay * table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
@@ -174,45 +217,41 @@ class Scorer:
         return out
 
 
-def train(windows: list[tuple[int, str, int]], seed: int = 5) -> Model | None:
-    """A model from (document, window text, label) rows; None unless both classes occur."""
-    windows = [(d, t.split(), y) for d, t, y in windows if t.split()]
+def train(windows: Windows, seed: int = 5) -> Model | None:
+    """A model; None unless both classes occur."""
+    known = np.flatnonzero(np.diff(windows.word_edges))
+    label, document = windows.label, windows.document.astype(np.int64)
     # Every fifth document only sets the threshold, which margins of fitted windows would put too low.
-    apart = [w for w in windows if w[0] * 2654435761 % (1 << 32) % 5 == 0]
-    fitted = [w for w in windows if w[0] * 2654435761 % (1 << 32) % 5 != 0]
-    if len({y for _, _, y in fitted}) < 2 or len({y for _, _, y in apart}) < 2:
-        apart = fitted = windows
-    if len({y for _, _, y in fitted}) < 2:
+    fifth = (document & 0xFFFFFFFF) * 2654435761 % (1 << 32) % 5 == 0
+    apart, fitted = known[fifth[known]], known[~fifth[known]]
+    if len(set(label[fitted])) < 2 or len(set(label[apart])) < 2:
+        apart = fitted = known
+    if len(set(label[fitted])) < 2:
         return None
-    weight, bias = _fit(fitted, seed)
-    margins, labels = _margins(fitted, weight, bias)
-    best = _best(fitted, margins)
-    sure = np.quantile(margins[labels == 0], 0.99)
-    weight, bias = _fit([w for w, m in zip(fitted, margins, strict=True)
-                         if not w[2] or m > sure or m >= best[w[0]]], seed + 1)
-    margins, labels = _margins(apart, weight, bias)
+    weight, bias = _fit(windows, fitted, seed)
+    margins = windows.margins(fitted, weight, bias)
+    toxic = label[fitted] == 1
+    sure = np.quantile(margins[~toxic], 0.99)
+    worst = _best(document[fitted], margins)
+    weight, bias = _fit(windows, fitted[~toxic | (margins > sure) | (margins >= worst)], seed + 1)
+    margins = windows.margins(apart, weight, bias)
+    toxic = label[apart] == 1
     # A document has many clean windows and its worst one counts, so the threshold lies above
     # nearly all of them: a quarter of the way to the worst windows of the middle toxic document.
     # (Of a long toxic document the sample may hold clean windows only, so no low quantile is used.)
-    clean = np.quantile(margins[labels == 0], 0.9995)
-    toxic = max(np.median(list(_best(apart, margins).values())), clean + 1.0)
-    step = (toxic - clean) / 4
+    clean = np.quantile(margins[~toxic], 0.9995)
+    _, one = np.unique(document[apart][toxic], return_index=True)
+    middle = max(np.median(_best(document[apart][toxic], margins[toxic])[one]), clean + 1.0)
+    step = (middle - clean) / 4
     return Model(weight.astype(np.float32), bias, 3.0 / step, clean + step)
 
 
-def _margins(windows: list[tuple[int, list[str], int]], weight: np.ndarray,
-             bias: float) -> tuple[np.ndarray, np.ndarray]:
-    return (np.array(Scorer(weight, bias).margins([" ".join(x) for _, x, _ in windows])),
-            np.array([y for _, _, y in windows]))
-
-
-def _best(windows: list[tuple[int, list[str], int]], margins: np.ndarray) -> dict[int, float]:
-    """The highest margin of each toxic document's windows."""
-    best: dict[int, float] = {}
-    for (d, _, y), m in zip(windows, margins, strict=True):
-        if y:
-            best[d] = max(best.get(d, -np.inf), m)
-    return best
+def _best(document: np.ndarray, margins: np.ndarray) -> np.ndarray:
+    """For every window, the highest margin of its document's windows."""
+    _, place = np.unique(document, return_inverse=True)
+    best = np.full(place.max(initial=-1) + 1, -np.inf)
+    np.maximum.at(best, place, margins)
+    return best[place]
 
 
 def held_out() -> F.Column:
@@ -240,8 +279,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model from the bounded sample, which alone comes to the driver."""
-    return train([tuple(r) for r in sample(docs, labels).collect()])
+    """The model from the bounded sample, which alone comes to the driver, as one Arrow table.
+
+    Without labelled rows, or with rows of one class only, there is no model.
+    """
+    table = sample(docs, labels).toArrow().combine_chunks()
+    document, label = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    texts = pa.concat_arrays(table.column("piece").chunks) if table.num_rows else pa.array([], pa.string())
+    return train(Windows.of(document, texts, label))
 
 
 _scorers: dict[str, Scorer] = {}

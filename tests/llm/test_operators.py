@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -275,3 +276,23 @@ def test_pipeline(spark):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == 10
+
+
+@pytest.mark.parametrize("place", [0, 31, 63])
+def test_toxicity_of_windows_without_n_grams(place):
+    texts = [prose(20, i) + (" grubworm" if i % 4 == 0 else "") for i in range(64)]
+    texts[place] = "# # . !"
+    labels = np.array([int(i % 4 == 0) for i in range(64)])
+    windows = toxicity.Windows.of(np.arange(64), pa.array(texts), labels)
+    rows, sizes = windows.of_windows(np.arange(64))
+    assert sizes[place] == 0 and sizes.sum() == len(rows) and (np.delete(sizes, place) > 0).all()
+    weight, bias = toxicity._fit(windows, np.arange(64), 1)
+    assert np.isfinite(weight).all() and windows.margins(np.array([place]), weight, bias)[0] == bias
+    assert toxicity.train(windows) is not None
+
+
+def test_toxicity_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert toxicity.fit(docs, none) is None
+    assert toxicity.fit(docs, spark.createDataFrame([(5, 0), (6, 0)], "doc_id bigint, toxic int")) is None
+    assert toxicity.fit(docs.limit(0), none) is None
