@@ -8,7 +8,8 @@ overlap. A pre-token that reaches a chunk's end is not trusted, as its match mig
 an overlap has no common boundary (one run longer than the overlap), the left chunk is read on
 together with the next one.
 
-Pieces are then merged by rank and decoded by concatenating raw bytes. Null texts encode as empty
+The pre-tokens are then merged by rank, each distinct one once while a worker remembers it, and decoded
+by concatenating raw bytes. Null texts encode as empty
 texts; repeated rows are encoded each; empty tables give empty results; other columns pass
 through whatever their names.
 """
@@ -16,21 +17,26 @@ through whatever their names.
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelquant.llm.common import ROWS_AT_ONCE, Recent, by_size, gathered, objects
+
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
-#: Pieces whose ids a worker remembers; beyond that it starts anew.
-MOST_CACHED = 1 << 17
-#: Rows of a batch that are held as Python objects at once.
-ROWS = 256
+#: Bytes of pre-tokens and their ids in each of the two generations that a worker remembers.
+MOST_REMEMBERED = 96 << 20
+#: Bytes of text whose pre-tokens are held as Python objects at once.
+TEXT_AT_ONCE = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,66 +46,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
                 for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the adjacent pair of least rank is merged first, the leftmost of equals."""
-    if piece in ranks:
-        return [ranks[piece]]
-    n = len(piece)
-    end = list(range(1, n + 1))
-    left = list(range(-1, n - 1))
-    right = list(range(1, n + 1))
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = right[i]
-        if j < n:
-            rank = ranks.get(piece[i:end[j]])
-            if rank is not None:
-                heapq.heappush(heap, (rank, i, end[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = right[i] if end[i] else n
-        if j >= n or end[j] != stop:
-            continue  # one of the two parts has been merged since
-        end[i], end[j] = stop, 0
-        right[i] = right[j]
-        if right[i] < n:
-            left[right[i]] = i
-        if left[i] >= 0:
-            offer(left[i])
-        offer(i)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i:end[i]]])
-        i = right[i]
-    return out
-
-
 class Encoder:
-    """Encodes pieces to little-endian unsigned 32-bit ids, remembering recent pieces."""
+    """Encodes pre-tokens to little-endian unsigned 32-bit ids, remembering recent ones."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.ranks = read_ranks(path)
+        ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, bytes] = {}
-
-    def piece(self, text: str) -> bytes:
-        ids = merge(text.encode(), self.ranks)
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(text) <= 64:
-            if len(self.cache) >= MOST_CACHED:
-                self.cache.clear()
-            self.cache[text] = out
-        return out
-
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        found = list(map(self.cache.get, texts))
-        if None in found:
-            found = [self.piece(t) if f is None else f for t, f in zip(texts, found, strict=True)]
-        return found
+        # Splits nothing, so that a pre-token is merged as it is.
+        self.library = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.remembered = Recent(self.merge, MOST_REMEMBERED)
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
+        self.ends = np.cumsum(self.lengths)
+        by_rank = dict(sorted((rank, token) for token, rank in ranks.items()))
+        self.bytes = np.frombuffer(b"".join(by_rank.values()), np.uint8)
+
+    def merge(self, pieces: list[str]) -> list[bytes]:
+        encode = self.library.encode_ordinary
+        return [array("I", encode(p)).tobytes() for p in pieces]
+
+    def ids(self, texts: list[list[str]]) -> pa.Array:
+        """Ids of every list of pre-tokens, as bytes."""
+        found = pa.array([p for x in texts for p in x], pa.large_string()).dictionary_encode()
+        ids, ends = gathered(self.remembered.get(objects(found.dictionary)), found.indices.to_numpy(), 4)
+        edges = np.cumsum([0, *map(len, texts)])
+        return _binary(ids.astype("<u4"), np.concatenate([[0], ends])[edges] * 4)
+
+    def raw(self, ids: pa.Array) -> pa.Array:
+        """Bytes of every list of ids, nulls as empty."""
+        ids = pc.fill_null(ids.cast(pa.large_binary()), b"")
+        edges = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1]
+        held = ids.buffers()[2]
+        flat = np.frombuffer(held, np.uint8)[edges[0]:edges[-1]].view("<u4") if held else np.zeros(0, "<u4")
+        length = self.lengths[flat]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        data = self.bytes[np.repeat(self.ends[flat] - ends[1:], length) + np.arange(ends[-1])]
+        return _binary(data, ends[(edges - edges[0]) // 4])
+
+
+def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [
+        None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
 def trusted(pattern: regex.Pattern, text: str, last: bool) -> list[str]:
@@ -119,12 +106,6 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, ROWS):
-            yield batch.slice(low, ROWS)
-
-
 def stitch(parts: list[tuple[str, list[str]]], pattern: regex.Pattern, chunk: int) -> Iterator[str]:
     """The pre-tokens of a text from those of its chunks, in order.
 
@@ -181,11 +162,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch in slices(batches):
-            ids = [b"".join(encoder.pieces(encoder.pattern.findall(t)))
-                   for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())],
-                                             ["key", "ids"])
+        for batch in batches:
+            for part in by_size(batch, "text", TEXT_AT_ONCE):
+                ids = encoder.ids(list(map(encoder.pattern.findall, part.column("text").to_pylist())))
+                yield pa.RecordBatch.from_arrays([part.column("key"), ids], ["key", "ids"])
 
     single = frame.where(chunks == 1).mapInArrow(whole, out)
     long = frame.where(chunks > 1).withColumn("same", F.monotonically_increasing_id()).withColumn(
@@ -216,9 +196,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
                 tokens.append(text[at:at + n])
                 at += n
             parts.append((text, tokens))
-        ids = b"".join(encoder.pieces(list(stitch(parts, encoder.pattern, chunk))))
-        return pa.table([table.column("key").slice(0, 1), pa.array([ids], pa.binary())],
-                        names=["key", "ids"])
+        ids = encoder.ids([list(stitch(parts, encoder.pattern, chunk))])
+        return pa.table([table.column("key").slice(0, 1), ids], names=["key", "ids"])
 
     # monotonically_increasing_id() only has to tell rows apart within the shuffle that it enters.
     dealt = long.repartition(F.col("same"), F.col("part"))
@@ -226,19 +205,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
     return single.unionByName(stitched).withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``encoded`` with ``bytes``, the tokens' bytes in order; null ids decode to null."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())])
+    at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        tokens = {i: t for t, i in read_ranks(path).items()}.__getitem__
-        for batch in slices(batches):
-            raw = [None if ids is None else
-                   b"".join(map(tokens, np.frombuffer(ids, "<u4").tolist()))
-                   for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())],
-                                             schema.names)
+        encoder = _encoder(path, pattern)
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                raw = pc.if_else(pc.is_valid(part.column(at)), encoder.raw(part.column(at)), None)
+                yield pa.RecordBatch.from_arrays([*part.columns, raw], schema.names)
 
     return encoded.mapInArrow(run, schema)

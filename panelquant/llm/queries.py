@@ -45,7 +45,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(docs: DataFrame) -> DataFrame:
     path, pattern = vocabulary()
-    both = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path)
+    both = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern)
     return both.select("doc_id", F.expr("CAST(octet_length(ids) / 4 AS bigint)").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -155,7 +155,7 @@ def test_byte_bpe(docs, texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for chunk, overlap in ((byte_bpe.CHUNK, byte_bpe.OVERLAP), (50, 7)):
-        got = by_id(byte_bpe.decode(byte_bpe.encode(docs, path, pattern, chunk=chunk, overlap=overlap), path), "ids", "bytes")
+        got = by_id(byte_bpe.decode(byte_bpe.encode(docs, path, pattern, chunk=chunk, overlap=overlap), path, pattern), "ids", "bytes")
         for i, text in texts.items():
             ids = np.array(own.encode_ordinary(text or ""), "<u4")
             assert bytes(got[i][0]) == ids.tobytes() and bytes(got[i][1]) == (text or "").encode(), (i, chunk)
