@@ -1,6 +1,6 @@
 """Phrase collocations from counting quotient filters.
 
-Texts are taken apart in shards of about a million words, each with a vocabulary of its own. Words
+Texts are taken apart in shards of about half a million words, each with a vocabulary of its own. Words
 that occur often enough in their language get global numbers; a phrase with a rarer word cannot
 be frequent, so nothing else needs one. An n-gram is the numbers of its words packed into 2w bits. A Feistel
 network permutes them invertibly; the high half is the quotient, the low half the full remainder. A
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ MOST_WORDS = 3
 FIRST = 2000
 #: A candidate goes if a longer one holds it in so many of a hundred of its occurrences.
 HELD_PERCENT = 50
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Shards merged at a time, and ranges of the quotient, as bits.
 FAN_BITS = 8
 #: Groups that a language's candidates are ranked in first.
@@ -52,41 +53,49 @@ _MAPPED[0x09] = 0x20
 # --- shards ------------------------------------------------------------------------------------
 
 class Shard:
-    """Words of some texts by the numbers of a vocabulary of their own."""
+    """Words of some texts by the numbers of a vocabulary of their own.
+
+    A vocabulary's entries are language and word with a space between them; a word has none.
+    """
 
     def __init__(self) -> None:
-        self.numbers: dict[tuple[str, bytes], int] = {}
-        self.parts: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, pa.Array]] = []
         self.words = 0
 
-    def add(self, texts: pa.Array, langs: list[str]) -> None:
+    def add(self, texts: pa.Array, langs: pa.Array) -> None:
         words = distinct_words(texts, _MAPPED)
         if not len(words.start):
             return
-        codes = {x: k for k, x in enumerate(dict.fromkeys(langs))}
-        text = np.repeat(np.arange(len(langs)), np.diff(words.edges))
-        pair = np.array([codes[x] for x in langs])[text] * len(words.distinct) + words.number
-        distinct, place = np.unique(pair, return_inverse=True)
-        names, size = list(codes), len(words.distinct)
-        local = np.array([self.numbers.setdefault((names[p // size], words.distinct[p % size]), len(self.numbers) + 1)
-                          for p in distinct.tolist()], np.int64)
-        piece = np.cumsum(_IS_BREAK[words.data])[words.start]
+        langs = langs.cast(pa.large_binary()).dictionary_encode()
+        text = np.repeat(np.arange(len(texts)), np.diff(words.edges))
+        size = len(words.distinct)
+        distinct, place = np.unique(langs.indices.to_numpy()[text].astype(np.int64) * size + words.number,
+                                    return_inverse=True)
+        entries = pc.binary_join_element_wise(langs.dictionary.take(pa.array(distinct // size)),
+                                              words.distinct.take(pa.array(distinct % size)),
+                                              pa.scalar(b" ", pa.large_binary()))
+        piece = np.cumsum(_IS_BREAK[words.data], dtype=np.int32)[words.start]
         apart = np.flatnonzero((np.diff(piece) != 0) | (np.diff(text) != 0)) + 1
-        self.parts.append(np.append(np.insert(local[place], apart, 0), 0).astype("<u4"))
+        self.parts.append((np.append(np.insert(place + 1, apart, 0), 0).astype("<u4"), entries))
         self.words += len(words.start)
 
     def row(self, shard: int) -> pa.RecordBatch:
-        tokens = np.concatenate(self.parts)
-        counts = np.bincount(tokens, minlength=len(self.numbers) + 1)[1:]
-        langs, names = zip(*self.numbers, strict=True)
+        found = pa.concat_arrays([entries for _, entries in self.parts]).dictionary_encode()
+        number, at, tokens = found.indices.to_numpy().astype("<u4") + np.uint32(1), 0, []
+        for part, entries in self.parts:
+            tokens.append(np.append(np.uint32(0), number[at:at + len(entries)])[part])
+            at += len(entries)
+        tokens = np.concatenate(tokens).astype("<u4")
+        counts = np.bincount(tokens, minlength=len(found.dictionary) + 1)[1:]
+        edges = pa.array([0, len(counts)], pa.int32())
         return pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([tokens.tobytes()], pa.binary()),
-             pa.array([langs], pa.list_(pa.string())), pa.array([[w.decode() for w in names]], pa.list_(pa.string())),
-             pa.array([counts], pa.list_(pa.int64()))], ["shard", "tokens", "lang", "word", "count"])
+             pa.ListArray.from_arrays(edges, found.dictionary.cast(pa.large_string()).cast(pa.string())),
+             pa.ListArray.from_arrays(edges, pa.array(counts, pa.int64()))], ["shard", "tokens", "entry", "count"])
 
 
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """shard, tokens (numbers from 1 on, 0 between pieces), and the lang, word, count of every number."""
+    """shard, tokens (numbers from 1 on, 0 between pieces), and the vocabulary entry and count of every number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -94,7 +103,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         held, shard = Shard(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in by_size(batch, "text"):
-                held.add(part.column("text"), part.column("lang").to_pylist())
+                held.add(part.column("text"), part.column("lang"))
                 if held.words >= shard_words:
                     yield held.row(shard)
                     held, shard = Shard(), shard + 1
@@ -102,7 +111,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             yield held.row(shard)
 
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
-        run, "shard bigint, tokens binary, lang array<string>, word array<string>, count array<bigint>")
+        run, "shard bigint, tokens binary, entry array<string>, count array<bigint>")
 
 
 # --- filters -----------------------------------------------------------------------------------
@@ -221,18 +230,19 @@ def counted(numbers: np.ndarray, keys: Keys) -> Filter:
 # --- Spark -------------------------------------------------------------------------------------
 
 def frequent_words(held: DataFrame, least: int) -> DataFrame:
-    """id from 1 on, lang, word, f of the words with ``least`` occurrences; written."""
-    words = held.selectExpr("explode(arrays_zip(lang, word, count)) AS e").groupBy("e.lang", "e.word").agg(
+    """id from 1 on, entry, lang, word, f of the words with ``least`` occurrences; written."""
+    words = held.selectExpr("explode(arrays_zip(entry, count)) AS e").groupBy("e.entry").agg(
         F.sum("e.count").alias("f")).where(F.col("f") >= least)
-    return written(numbered(words, "phrase-counts", "id"), "phrase-words")
+    word = F.substring_index("entry", " ", -1)
+    return written(numbered(words, "phrase-counts", "id").withColumn("word", word).withColumn(
+        "lang", F.expr("left(entry, length(entry) - length(word) - 1)")), "phrase-words")
 
 
 def translated(held: DataFrame, words: DataFrame) -> DataFrame:
     """shard, numbers: tokens by the numbers of frequent words, 0 for others and between pieces."""
-    entries = held.selectExpr("shard", "posexplode(arrays_zip(lang, word)) AS (at, e)").selectExpr(
-        "shard", "at", "e.lang", "e.word")
+    entries = held.selectExpr("shard", "posexplode(entry) AS (at, entry)")
     # A shard's own vocabulary bounds its list.
-    lists = entries.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(
+    lists = entries.join(words.select("entry", "id"), "entry").groupBy("shard").agg(
         F.collect_list(F.struct("at", "id")).alias("known")).select("shard", "known.at", "known.id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +322,9 @@ def candidates(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WOR
     """lang, phrase, a, l, r, n, score of all candidates that no longer one holds, however many."""
     held = written(shards(docs, shard_words), "phrase-shards")
     words = frequent_words(held, least)
-    totals = held.selectExpr("explode(arrays_zip(lang, count)) AS e").groupBy("e.lang").agg(
+    entry = F.col("e.entry")
+    totals = held.selectExpr("explode(arrays_zip(entry, count)) AS e").groupBy(
+        F.left(entry, F.length(entry) - F.length(F.substring_index(entry, " ", -1)) - 1).alias("lang")).agg(
         F.sum("e.count").alias("n"))
     most = words.agg(F.max("id")).first()[0] or 1
     bits = int(most).bit_length()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelquant.llm.common import Recent, by_size, distinct_words, gathered, written
+from panelquant.llm.common import Recent, by_size, distinct_words, gathered, objects, written
 
 CAPACITY = 4096
 END = 2
@@ -124,7 +124,7 @@ class WordEncoder:
     def __call__(self, texts: pa.Array, end: int) -> pa.Array:
         """Ids of every text with ``end`` behind them, as bytes."""
         words = distinct_words(texts, _SPACES)
-        ids, ends = gathered(self.words.get(words.distinct), words.number, 4)
+        ids, ends = gathered(self.words.get(objects(words.distinct)), words.number, 4)
         stops = np.concatenate([[0], ends])[words.edges[1:]]
         offsets = np.concatenate([[0], stops + np.arange(1, len(texts) + 1)]) * 4
         return pa.Array.from_buffers(pa.large_binary(), len(texts), [

@@ -26,7 +26,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelquant.llm.common import distinct_words, over_batches
+from panelquant.llm.common import distinct_words, objects, over_batches
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -108,7 +108,7 @@ class Windows:
         owner = np.repeat(np.arange(len(label)), np.diff(found.edges))
         size = max(len(found.distinct), 1)
         once = np.unique(owner * size + found.number)
-        ids, buckets = grams([w.decode() for w in found.distinct]) if found.distinct else (np.zeros(0, int),) * 2
+        ids, buckets = grams([w.decode() for w in objects(found.distinct)]) if len(found.distinct) else (np.zeros(0, int),) * 2
         order = np.argsort(ids, kind="stable")
         return Windows(document, label, once % size, np.searchsorted(once // size, np.arange(len(label) + 1)),
                        buckets[order], np.searchsorted(ids[order], np.arange(size + 1)))
