@@ -36,6 +36,7 @@ FIRST = 2000
 #: A candidate goes if a longer one holds it in so many of a hundred of its occurrences.
 HELD_PERCENT = 50
 SHARD_WORDS = 1 << 19
+WORDS_AT_ONCE = 1 << 17
 #: Shards merged at a time, and ranges of the quotient, as bits.
 FAN_BITS = 8
 #: Groups that a language's candidates are ranked in first.
@@ -170,6 +171,11 @@ class Filter:
         first = np.flatnonzero(fresh)
         return Filter(quotient[first], remainder[first], np.add.reduceat(count, first) if len(first) else count)
 
+    @staticmethod
+    def together(parts: list[Filter]) -> Filter:
+        return Filter.merged(*(np.concatenate([np.zeros(0, np.uint64), *(getattr(f, c) for f in parts)])
+                               for c in ("quotient", "remainder", "count")))
+
     def pack(self) -> bytes:
         parts = [_narrow(np.diff(self.quotient, prepend=np.uint64(0))), _narrow(self.remainder), _narrow(self.count)]
         return len(self.quotient).to_bytes(8, "little") + b"".join(parts)
@@ -216,15 +222,19 @@ def _widen(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
 
 
 def counted(numbers: np.ndarray, keys: Keys) -> Filter:
-    """All n-grams of two to MOST_WORDS words; 0 separates."""
-    numbers = numbers.astype(np.uint64)
-    x, y, z = numbers[:-2], numbers[1:-1], numbers[2:]
-    two = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
-    three = np.flatnonzero((x > 0) & (y > 0) & (z > 0))
-    quotient, remainder = keys.permute([np.concatenate([np.zeros(len(two), np.uint64), x[three]]),
-                                        np.concatenate([numbers[:-1][two], y[three]]),
-                                        np.concatenate([numbers[1:][two], z[three]])])
-    return Filter.merged(quotient, remainder, np.ones(len(quotient), np.uint64))
+    """All n-grams of two to MOST_WORDS words; 0 separates. A part of the words is permuted at a time."""
+    parts = []
+    for low in range(0, len(numbers), WORDS_AT_ONCE):
+        part = numbers[low:low + WORDS_AT_ONCE + MOST_WORDS - 1].astype(np.uint64)
+        first = np.arange(len(part)) < WORDS_AT_ONCE
+        x, y, z = part[:-2], part[1:-1], part[2:]
+        two = np.flatnonzero((part[:-1] > 0) & (part[1:] > 0) & first[:-1])
+        three = np.flatnonzero((x > 0) & (y > 0) & (z > 0) & first[:-2])
+        quotient, remainder = keys.permute([np.concatenate([np.zeros(len(two), np.uint64), x[three]]),
+                                            np.concatenate([part[:-1][two], y[three]]),
+                                            np.concatenate([part[1:][two], z[three]])])
+        parts.append(Filter.merged(quotient, remainder, np.ones(len(quotient), np.uint64)))
+    return Filter.together(parts)
 
 
 # --- Spark -------------------------------------------------------------------------------------
@@ -238,30 +248,27 @@ def frequent_words(held: DataFrame, least: int) -> DataFrame:
         "lang", F.expr("left(entry, length(entry) - length(word) - 1)")), "phrase-words")
 
 
-def translated(held: DataFrame, words: DataFrame) -> DataFrame:
-    """shard, numbers: tokens by the numbers of frequent words, 0 for others and between pieces."""
+def known_words(held: DataFrame, words: DataFrame) -> DataFrame:
+    """shard, tokens, and the places (at) and numbers (id) of its vocabulary's frequent words."""
     entries = held.selectExpr("shard", "posexplode(entry) AS (at, entry)")
     # A shard's own vocabulary bounds its list.
     lists = entries.join(words.select("entry", "id"), "entry").groupBy("shard").agg(
         F.collect_list(F.struct("at", "id")).alias("known")).select("shard", "known.at", "known.id")
+    return held.select("shard", "tokens").join(lists, "shard")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                tokens, at, ids = (batch.column(c)[k] for c in ("tokens", "at", "id"))
-                tokens = np.frombuffer(tokens.as_buffer(), "<u4")
-                numbers = np.zeros(int(tokens.max(initial=0)) + 1, np.int64)
-                numbers[at.values.to_numpy() + 1] = ids.values.to_numpy()
-                found = numbers[tokens]
-                keep = found > 0
-                keep[1:] |= found[:-1] > 0
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(k, 1), pa.array(
-                    [found[keep].astype("<u8").tobytes()], pa.binary())], ["shard", "numbers"])
 
-    return held.select("shard", "tokens").join(lists, "shard").mapInArrow(run, "shard bigint, numbers binary")
+def translated(tokens: bytes, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Tokens by the numbers of frequent words; a 0 for runs of others and between pieces."""
+    tokens = np.frombuffer(tokens, "<u4")
+    numbers = np.zeros(max(int(tokens.max(initial=0)), int(at.max(initial=0)) + 1) + 1, np.int64)
+    numbers[at + 1] = ids
+    found = numbers[tokens]
+    keep = found > 0
+    keep[1:] |= found[:-1] > 0
+    return found[keep]
 
 
-def phrase_counts(numbers: DataFrame, n_shards: int, bits: int, least: int) -> DataFrame:
+def phrase_counts(known: DataFrame, n_shards: int, bits: int, least: int) -> DataFrame:
     """x, y, z, a of the n-grams with ``least`` occurrences; x is 0 where there are two words."""
     keys = Keys(bits)
     rounds = 1
@@ -283,14 +290,13 @@ def phrase_counts(numbers: DataFrame, n_shards: int, bits: int, least: int) -> D
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                group = int(mix64(np.array([batch.column("shard")[k].as_py()], np.uint64))[0] % np.uint64(groups))
-                found = counted(np.frombuffer(batch.column("numbers")[k].as_buffer(), "<u8"), keys)
-                yield blobs((group, p, f) for p, f in found.ranges(above[0]))
+                shard, tokens, at, ids = (batch.column(c)[k] for c in ("shard", "tokens", "at", "id"))
+                group = int(mix64(np.array([shard.as_py()], np.uint64))[0] % np.uint64(groups))
+                numbers = translated(tokens.as_buffer(), at.values.to_numpy(), ids.values.to_numpy())
+                yield blobs((group, p, f) for p, f in counted(numbers, keys).ranges(above[0]))
 
     def together(table: pa.Table) -> Filter:
-        parts = [Filter.unpack(x.as_py()) for x in table.column("filter")]
-        return Filter.merged(*(np.concatenate([getattr(f, c) for f in parts])
-                               for c in ("quotient", "remainder", "count")))
+        return Filter.together([Filter.unpack(x.as_py()) for x in table.column("filter")])
 
     def wider(bits_left: int):
         def widen(table: pa.Table) -> pa.Table:
@@ -299,7 +305,7 @@ def phrase_counts(numbers: DataFrame, n_shards: int, bits: int, least: int) -> D
 
         return widen
 
-    filters = numbers.mapInArrow(count, schema)
+    filters = known.mapInArrow(count, schema)
     for bits_left in above[1:]:
         filters = filters.groupBy("shard", "part").applyInArrow(wider(bits_left), schema)
 
@@ -330,7 +336,7 @@ def candidates(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WOR
     bits = int(most).bit_length()
     if bits > 42:
         raise ValueError("more frequent words than fit the packed keys")
-    found = written(phrase_counts(translated(held, words), held.count(), bits, least), "phrases")
+    found = written(phrase_counts(known_words(held, words), held.count(), bits, least), "phrases")
     two = found.where("x = 0").selectExpr("y AS x", "z AS y", "a")
     three = found.where("x > 0")
     longer = three.selectExpr("x", "y", "a").unionAll(three.selectExpr("y AS x", "z AS y", "a")).groupBy(

@@ -88,7 +88,7 @@ class Recent:
 
 
 #: Bytes of text that are taken apart at once.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 
 
 def by_size(batch: pa.RecordBatch, column: str, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
