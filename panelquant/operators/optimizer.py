@@ -4,12 +4,16 @@ S is diagonal (squared specific risk) plus, optionally, a factor part X F X'. Tw
 
 * without LongOnly and factors the solution is a handful of sums per date (`closed_form_weights`);
 * otherwise the dual problem has one unknown per equality constraint and factor, and each Newton
-  step needs only sums over the assets of a date. All dates advance together: a step is one
-  aggregation over all tasks, so no date is ever gathered, however many assets it has.
+  step needs only sums over the assets of a date. All dates advance together: in a round every task
+  forms, for its rows of each date, the sums at several trial multipliers as matrix products; the partial sums
+  of a date are added up and its next trials chosen in one task. So no date is ever gathered,
+  however many assets it has, and a rejected step costs no round. The first trial of a date is the solution
+  for a bounded sample of its rows; it is exact for dates no larger than that.
 
 Dual in words: with u the multipliers and z the asset's constraint and factor coefficients, the
 weight is w = d * max(alpha - z.u, 0) (no max without LongOnly) where d = 1 / (gamma * risk^2).
-Factors are rotated so that their covariance is the identity, so S never exists as a matrix.
+Multipliers of factors are searched for in coordinates in which the factors' covariance is the identity;
+rows keep their exposures, and S never exists as a matrix.
 
 Every row with an alpha gets a row of the result. Status ``excluded`` marks rows that cannot enter
 the problem (no positive risk, no beta under UnitBeta, no factor covariance of the date);
@@ -18,22 +22,27 @@ the problem (no positive risk, no beta under UnitBeta, no factor covariance of t
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelquant.functions.columns import col, divide
 from panelquant.operators.constraints import Constraints, parse_constraints
-from panelquant.operators.perdate import join_by_date, small_by_date
-from panelquant.session import materialise
+from panelquant.operators.perdate import join_by_date
+from panelquant.session import written
 
 TOLERANCE = 1e-10
 MAX_STEPS = 300
-DAMPING_START, DAMPING_FLOOR = 1e-3, 1e-14
+#: Rows of a date that its first trial is found from.
+SAMPLE_ROWS = 512
+#: Share of the curvature of all assets that is added to that of the held ones, one per trial step.
+DAMPINGS = (1e-14, 1e-9, 1e-7, 1e-5, 1e-3, 1e-1)
+#: Also parts of the least damped step.
+PARTS = (0.5, 0.2)
 
 
 def backtest_input(df: DataFrame, signal_name: str) -> DataFrame:
@@ -112,6 +121,48 @@ def closed_form_weights(rows: DataFrame, gamma: float, rules: Constraints) -> Da
 
 # --- dual Newton iteration --------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Sums:
+    """At given multipliers: sum w*s/2 with s = alpha - z.u, sum z*w, and sum d*z*z' over the assets held."""
+
+    value: float
+    gap: np.ndarray
+    curvature: np.ndarray
+
+    @staticmethod
+    def over(z: np.ndarray, alpha: np.ndarray, d: np.ndarray, u: np.ndarray, hold_all: bool) -> Sums:
+        gain = alpha - z @ u
+        held = d if hold_all else np.where(gain > 0, d, 0.0)
+        weighted = z * held[:, None]
+        return Sums(float(held @ (gain * gain)) / 2, weighted.T @ gain, weighted.T @ z)
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.value + other.value, self.gap + other.gap, self.curvature + other.curvature)
+
+    def turned(self, root: np.ndarray) -> Sums:
+        """The same for multipliers v with u = root v."""
+        return Sums(self.value, root.T @ self.gap, root.T @ self.curvature @ root)
+
+
+@dataclass(frozen=True)
+class Search:
+    """One date's search: ``trials`` to evaluate, the first being the best so far; ``points`` are the
+    same in the rows' coordinates. A finished search has a status, and its only trial is the solution."""
+
+    trials: tuple[np.ndarray, ...]
+    points: tuple[np.ndarray, ...]
+    free: np.ndarray
+    spread: np.ndarray | None = None
+    reach: float = 1.0
+    steps: int = 0
+    edge: bool = False
+    status: str | None = None
+
+    def at(self, root: np.ndarray, trials: Iterable[np.ndarray], **changes) -> Search:
+        trials = tuple(trials)
+        return replace(self, trials=trials, points=tuple(root @ u for u in trials), **changes)
+
+
 @dataclass(frozen=True)
 class Problem:
     """The part of the dual that does not depend on the data."""
@@ -121,6 +172,7 @@ class Problem:
     long_only: bool
     n_factors: int
     gamma: float
+    most_steps: int = MAX_STEPS
 
     @property
     def n_rules(self) -> int:
@@ -148,56 +200,67 @@ class Problem:
         return (self.budget == "equal" and beta_min == 1) or (
             self.budget in ("equal", "upper") and beta_max == 1)
 
-    def newton(self) -> Iterator:
-        """Yields multipliers to try, takes ``(value, gap, curvature)`` sums for them.
+    def root(self, factor_root: np.ndarray | None) -> np.ndarray:
+        """Coordinates of the search to those of the rows: factors by a root of their covariance."""
+        out = np.eye(self.size)
+        if factor_root is not None:
+            out[self.n_rules:, self.n_rules:] = factor_root
+        return out
 
-        ``value`` is sum w*s/2 with s = alpha - z.u, ``gap`` is sum z*w and ``curvature`` is
-        sum d*z*z' over the assets held. Returns ``(u, status)``; u is None where the steps ran
-        out, since unfinished multipliers are no solution.
-        """
-        target = np.concatenate([np.ones(self.n_rules), np.zeros(self.n_factors)])
-        ridge = np.concatenate([np.zeros(self.n_rules), np.full(self.n_factors, 1 / self.gamma)])
+    def start(self, edge: bool = False) -> Search:
         free = np.ones(self.size, dtype=bool)
         if self.budget == "upper":
             free[0] = False
+        zero = np.zeros(self.size)
+        return Search((zero,), (zero,), free, edge=edge)
+
+    def hold_all(self, search: Search) -> bool:
+        """Whether shorts are allowed; the first step always takes everything as held."""
+        return not self.long_only or search.spread is None
 
-        def judge(u, sums):
-            value, gap, curvature = sums
-            gap = gap - target - ridge * u
-            return (value + target @ u + (ridge * u * u).sum() / 2, gap,
-                    curvature + np.diag(ridge))
-
-        u = np.zeros(self.size)
-        # First step: everything held, i.e. the solution without LongOnly.
-        _, gap, curvature = judge(u, (yield u, True))
-        spread = np.diag(np.maximum(np.diag(curvature), 1e-300))
-        u = _step(curvature, DAMPING_FLOOR * spread, gap, free)
-        value, gap, curvature = judge(u, (yield u, not self.long_only))
-        # Damped Newton: few assets held make the curvature nearly singular, so the step is
-        # held back by a share of the curvature of all assets, which shrinks as steps succeed.
-        damping = DAMPING_START
-        for _ in range(MAX_STEPS):
-            size = TOLERANCE * max(1.0, np.abs(gap + target + ridge * u).max(initial=0.0))
-            if np.abs(gap[free]).max(initial=0.0) <= size:
-                if free.all() or gap[0] <= size:
-                    return u, "optimal"
-                free[0] = True
-            step = _step(curvature, damping * spread, gap, free)
-            promised = gap @ step - step @ curvature @ step / 2
-            trial = u + step
-            new_value, new_gap, new_curvature = judge(trial, (yield trial, not self.long_only))
-            gained = value - new_value
-            # Below rounding error of the value only the gap can tell progress.
-            blind = promised <= 1e-11 * max(abs(value), abs(target @ u), 1e-300)
-            better = (np.abs(new_gap[free]).max() < np.abs(gap[free]).max() if blind
-                      else gained >= 1e-4 * promised)
-            if better:
-                u, value, gap, curvature = trial, new_value, new_gap, new_curvature
-            if not better or (not blind and gained < promised / 4):
-                damping = max(damping * 8, 1e-9)
-            elif blind or gained > promised * 3 / 4:
-                damping = max(damping / 10, DAMPING_FLOOR)
-        return None, "not_converged"
+    def advance(self, search: Search, sums: Sequence[Sums], root: np.ndarray) -> Search:
+        """The search with its next trials, or finished. Unfinished multipliers are no solution."""
+        target = np.concatenate([np.ones(self.n_rules), np.zeros(self.n_factors)])
+        ridge = np.concatenate([np.zeros(self.n_rules), np.full(self.n_factors, 1 / self.gamma)])
+        judged = []
+        for u, found in zip(search.trials, sums, strict=True):
+            found = found.turned(root)
+            judged.append((found.value + target @ u + (ridge * u * u).sum() / 2,
+                           found.gap - target - ridge * u, found.curvature + np.diag(ridge)))
+        if search.spread is None:
+            _, gap, curvature = judged[0]
+            spread = np.maximum(np.diag(curvature), 1e-300)
+            step = _step(curvature, DAMPINGS[0] * np.diag(spread), gap, search.free)
+            return search.at(root, [search.trials[0] + step], spread=spread)
+        if search.steps >= self.most_steps:
+            return replace(search, status="not_converged")
+        # Below rounding error of the value only the gap can tell progress.
+        least = min(value for value, _, _ in judged)
+        blind = 1e-11 * max(abs(least), *(abs(target @ u) for u in search.trials), 1e-300)
+        best = min((k for k, (value, _, _) in enumerate(judged) if value - least <= blind),
+                   key=lambda k: np.abs(judged[k][1][search.free]).max(initial=0.0))
+        u, (_, gap, curvature), free = search.trials[best], judged[best], search.free
+        size = TOLERANCE * max(1.0, np.abs(gap + target + ridge * u).max(initial=0.0))
+        if np.abs(gap[free]).max(initial=0.0) <= size:
+            if free.all() or gap[0] <= size:
+                return search.at(root, [u], status="optimal")
+            free = np.ones(self.size, dtype=bool)
+        # Few assets held make the curvature nearly singular, so steps are held back by a share of the
+        # curvature of all assets; by a larger one where no step has got on.
+        stuck = best == 0 and len(search.trials) > 1
+        reach = search.reach * 100 if stuck else 1.0
+        steps = [_step(curvature, reach * x * np.diag(search.spread), gap, free) for x in DAMPINGS]
+        steps += [part * steps[0] for part in PARTS]
+        return search.at(root, [u, *(u + step for step in steps)], free=free, reach=reach, steps=search.steps + 1)
+
+    def solve(self, z: np.ndarray, alpha: np.ndarray, d: np.ndarray, root: np.ndarray,
+              edge: bool = False) -> Search:
+        """A finished search over rows at hand."""
+        search = self.start(edge)
+        while search.status is None:
+            hold_all = self.hold_all(search)
+            search = self.advance(search, [Sums.over(z, alpha, d, u, hold_all) for u in search.points], root)
+        return search
 
 
 def _step(curvature: np.ndarray, damping: np.ndarray, gap: np.ndarray,
@@ -209,124 +272,188 @@ def _step(curvature: np.ndarray, damping: np.ndarray, gap: np.ndarray,
     return step
 
 
-def _coefficients(problem: Problem) -> list[Column]:
-    """z in the order of the multipliers: budget, beta, rotated factors."""
-    z = [F.lit(1.0)] if problem.budget != "free" else []
-    z += [col("beta")] if problem.unit_beta else []
-    return z + [col(f"x{k}") for k in range(problem.n_factors)]
-
-
 def solve_weights(rows: DataFrame, gamma: float, rules: Constraints,
                   factors: Sequence[str] = (), factor_cov: DataFrame | None = None) -> DataFrame:
-    """Dual Newton for all dates at once: per step, one aggregation over all tasks.
+    """Dual Newton for all dates at once: a round is one aggregation over all tasks.
 
-    Only sums per date reach the driver; the calendar bounds them.
+    Only trial multipliers per date reach the driver; the calendar bounds them.
     """
-    problem = Problem(rules.budget, rules.unit_beta, rules.long_only, len(factors), float(gamma))
-    rows = _rotated(_with_d(rows, gamma, rules), factors, factor_cov)
-    names = (["beta"] if rules.unit_beta else []) + [f"x{k}" for k in range(len(factors))]
-    # Every step reads the narrow input, so it is written once.
-    rows = materialise(rows.withColumnRenamed("predicted_beta", "beta")
-                       .select("date", "barrid", "alpha", "d", *names))
-    return _weights(problem, rows, _solve(problem, rows.where(col("d").isNotNull())))
-
-
-def _rotated(rows: DataFrame, factors: Sequence[str], factor_cov: DataFrame | None) -> DataFrame:
-    """Adds x0.. = exposures times the root of the date's factor covariance."""
-    if not factors:
-        return rows
-    if factor_cov is None:
-        raise ValueError("factors need a factor covariance table")
+    problem = Problem(rules.budget, rules.unit_beta, rules.long_only, len(factors), float(gamma), MAX_STEPS)
+    rows = _with_d(rows, gamma, rules)
+    roots = None
+    if factors:
+        if factor_cov is None:
+            raise ValueError("factors need a factor covariance table")
+        roots = written(factor_roots(factor_cov, factors), "mvo-roots")
+        rows = join_by_date(rows, roots.select("date", F.lit(True).alias("_known"))).withColumn(
+            "d", F.when(col("_known"), col("d")))
+    z = [F.lit(1.0)] if problem.budget != "free" else []
+    z += [F.coalesce("predicted_beta", F.lit(0.0))] if problem.unit_beta else []
+    z += [F.coalesce(name, F.lit(0.0)) for name in factors]
+    narrow = rows.select("date", "barrid", "alpha", "d", F.array(*z).cast("array<double>").alias("z"))
+    # Every round reads the narrow input, so it is written once; by date, so that a task sees few dates, and
+    # by a hash within dates, so that a large date is dealt to several tasks.
+    narrow = written(narrow.repartitionByRange("date", F.xxhash64("barrid")).sortWithinPartitions("date"), "mvo-rows")
+    return _weights(problem, narrow, _solve(problem, narrow.where(col("d").isNotNull()), roots))
+
+
+def factor_roots(factor_cov: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """``date, root``: a square root of each date's factor covariance, row by row."""
     index = {name: k for k, name in enumerate(factors)}
-    size = len(factors)
 
-    def root(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.zeros((size, size))
-        for i, j, c in zip(pdf["factor_i"], pdf["factor_j"], pdf["cov"]):
+    def root(table: pa.Table) -> pa.Table:
+        matrix = np.zeros((len(index), len(index)))
+        for i, j, c in zip(*(table.column(c).to_pylist() for c in ("factor_i", "factor_j", "cov")), strict=True):
             if i in index and j in index:
                 matrix[index[i], index[j]] = c
         values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
         half = vectors * np.sqrt(np.maximum(values, 0.0))
-        return pd.DataFrame({"date": pdf["date"].iloc[:1], "_root": [half.ravel().tolist()]})
+        return pa.table({"date": table.column("date").slice(0, 1),
+                         "root": pa.array([half.ravel().tolist()], pa.list_(pa.float64()))})
 
     # A group here is one date's factor-by-factor matrix, not its assets.
-    roots = (factor_cov.select("date", "factor_i", "factor_j", "cov").groupBy("date")
-             .applyInPandas(root, "date date, _root array<double>"))
-    rows = join_by_date(rows, roots)
-    rows = rows.withColumn("d", F.when(col("_root").isNotNull(), col("d")))
-    exposures = [F.coalesce(col(name), F.lit(0.0)) for name in factors]
-    rotated = {}
-    for k in range(size):
-        total = F.lit(0.0)
-        for j in range(size):
-            total = total + exposures[j] * F.get("_root", F.lit(j * size + k))
-        rotated[f"x{k}"] = total
-    return rows.withColumns(rotated).drop("_root")
-
-
-def _gain(problem: Problem, u: Column) -> Column:
-    """alpha - z.u"""
-    z = _coefficients(problem)
-    return reduce(lambda total, k: total - z[k] * F.get(u, F.lit(k)), range(problem.size),
-                  col("alpha"))
-
-
-def _solve(problem: Problem, rows: DataFrame) -> dict:
-    """``date: (multipliers or None, status, edge)``."""
-    spark, size, z = rows.sparkSession, problem.size, _coefficients(problem)
-    ranges = rows.groupBy("date").agg(*[f(col("beta") if problem.unit_beta else F.lit(0.0)).alias(n)
-                                        for f, n in ((F.min, "low"), (F.max, "high"))])
-    iterations, trials, verdict, edge = {}, {}, {}, set()
-    for r in ranges.collect():
-        if not problem.feasible(r["low"], r["high"]):
-            verdict[r["date"]] = None, "infeasible"
-            continue
-        if problem.on_edge(r["low"], r["high"]):
-            edge.add(r["date"])
-        iterations[r["date"]] = problem.newton()
-        trials[r["date"]] = next(iterations[r["date"]])
-
-    held = F.when(col("hold_all") | (col("gain") > 0), _d(problem)).otherwise(0.0)
-    aggregates = [F.sum(held * col("gain") * col("gain") / 2).alias("value")]
-    aggregates += [F.sum(held * col("gain") * z[k]).alias(f"g{k}") for k in range(size)]
-    aggregates += [F.sum(held * z[k] * z[j]).alias(f"h{k}_{j}")
-                   for k in range(size) for j in range(k + 1)]
-    while trials:
-        table = spark.createDataFrame(
-            [(date, [float(v) for v in u], bool(hold_all), date in edge)
-             for date, (u, hold_all) in trials.items()],
-            "date date, u array<double>, hold_all boolean, edge boolean")
-        sums = (rows.join(small_by_date(table), "date")
-                .withColumn("gain", _gain(problem, col("u")))
-                .groupBy("date").agg(*aggregates).collect())
-        for r in sums:
-            curvature = np.zeros((size, size))
-            for k in range(size):
-                for j in range(k + 1):
-                    curvature[k, j] = curvature[j, k] = r[f"h{k}_{j}"]
-            gap = np.array([r[f"g{k}"] for k in range(size)])
-            try:
-                trials[r["date"]] = iterations[r["date"]].send((r["value"], gap, curvature))
-            except StopIteration as done:
-                verdict[r["date"]] = done.value
-                del trials[r["date"]]
-    return {date: (*found, date in edge) for date, found in verdict.items()}
-
-
-def _d(problem: Problem) -> Column:
-    """d, and 0 for the assets that an edge date cannot hold."""
-    if not problem.unit_beta:
-        return col("d")
-    return F.when(col("edge") & (col("beta") != 1), 0.0).otherwise(col("d"))
+    cells = factor_cov.select("date", "factor_i", "factor_j", col("cov").cast("double"))
+    date = factor_cov.schema["date"].dataType.simpleString()
+    return cells.groupBy("date").applyInArrow(root, f"date {date}, root array<double>")
+
+
+def _matrix(table: pa.Table, width: int) -> np.ndarray:
+    """The ``z`` arrays of all rows."""
+    flat = pa.concat_arrays([c.flatten() for c in table.column("z").chunks] or [pa.array([], pa.float64())])
+    return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, width)
 
 
-def _weights(problem: Problem, rows: DataFrame, verdict: dict) -> DataFrame:
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _allowed(problem: Problem, z: np.ndarray, d: np.ndarray, edge: bool) -> np.ndarray:
+    """d, and 0 for the assets that an edge date cannot hold."""
+    return np.where(z[:, problem.n_rules - 1] == 1, d, 0.0) if edge else d
+
+
+def _by_date(problem: Problem, grouped: DataFrame, roots: DataFrame | None, function) -> dict:
+    """``date: search`` from ``function(date, rows, root)`` over the groups of ``grouped``."""
+    date = grouped.schema["date"].dataType.simpleString()
+
+    def found(table: pa.Table, root: np.ndarray | None) -> pa.Table:
+        search = function(table.column("date")[0].as_py(), table, problem.root(root))
+        return pa.table({"date": table.column("date").slice(0, 1),
+                         "search": pa.array([pickle.dumps(search)], pa.binary())})
+
+    def with_root(table: pa.Table, own: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"date": own.column("date").slice(0, 0), "search": pa.array([], pa.binary())})
+        flat = np.array(own.column("root")[0].as_py())
+        return found(table, flat.reshape(problem.n_factors, -1))
+
+    schema = f"date {date}, search binary"
+    if roots is None:
+        out = grouped.groupBy("date").applyInArrow(lambda table: found(table, None), schema)
+    else:
+        out = grouped.groupBy("date").cogroup(roots.groupBy("date")).applyInArrow(with_root, schema)
+    return {r["date"]: pickle.loads(r["search"]) for r in out.collect()}
+
+
+def _first(problem: Problem, rows: DataFrame, roots: DataFrame | None) -> dict:
+    """Each date's search from the solution for a sample of its rows, chosen by a hash."""
+    beta = F.get("z", F.lit(problem.n_rules - 1)) if problem.unit_beta else F.lit(0.0)
+    ranges = rows.groupBy("date").agg(F.count("*").alias("n"), F.min(beta).alias("low"), F.max(beta).alias("high"))
+    order = Window.partitionBy("date").orderBy(F.xxhash64("barrid"), "barrid")
+    # A salt keeps a large date's rows from being ranked in one task.
+    salted = Window.partitionBy("date", "salt").orderBy(F.xxhash64("barrid"), "barrid")
+    sample = rows.withColumn("salt", F.expr("pmod(xxhash64(barrid, 1), 64)")).withColumn(
+        "k", F.row_number().over(salted)).where(col("k") <= SAMPLE_ROWS).withColumn(
+        "k", F.row_number().over(order)).where(col("k") <= SAMPLE_ROWS)
+
+    def start(date, table: pa.Table, root: np.ndarray) -> Search:
+        n, low, high = (table.column(c)[0].as_py() for c in ("n", "low", "high"))
+        if not problem.feasible(low, high):
+            return replace(problem.start(), status="infeasible")
+        edge = problem.on_edge(low, high)
+        z = _matrix(table, problem.size)
+        d = _allowed(problem, z, _numbers(table, "d"), edge) * (n / table.num_rows)
+        betas = z[:, problem.n_rules - 1] if problem.unit_beta else np.zeros(1)
+        if problem.feasible(betas.min(), betas.max()):
+            found = problem.solve(z, _numbers(table, "alpha"), d, root, edge)
+            if found.status == "optimal":
+                return replace(found, status=None, steps=0, reach=1.0)
+        return problem.start(edge)
+
+    joined = join_by_date(sample.select("date", "alpha", "d", "z"), ranges)
+    return _by_date(problem, joined, roots, start)
+
+
+def _solve(problem: Problem, rows: DataFrame, roots: DataFrame | None) -> dict:
+    """``date: finished search``."""
+    context, size = rows.sparkSession.sparkContext, problem.size
+    date = rows.schema["date"].dataType.simpleString()
+    lower = np.tril_indices(size)
+    searches = _first(problem, rows, roots)
+    while any(s.status is None for s in searches.values()):
+        shared = context.broadcast({day: s for day, s in searches.items() if s.status is None})
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The sums of this task's rows, one row per date; rows come by date, so one date is held."""
+            current, held = None, None
+
+            def record() -> pa.RecordBatch:
+                flat = [np.concatenate([[x.value], x.gap, x.curvature[lower]]) for x in held]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([current], kind), pa.array([np.concatenate(flat).tobytes()], pa.binary())],
+                    ["date", "sums"])
+
+            for batch in batches:
+                kind = batch.schema.field("date").type
+                days = batch.column("date").dictionary_encode()
+                codes = days.indices.to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+                for a, b in zip(edges, edges[1:]):
+                    day = days.dictionary[int(codes[a])].as_py() if a < b else None
+                    if day not in shared.value:
+                        continue
+                    search, part = shared.value[day], pa.Table.from_batches([batch.slice(a, b - a)])
+                    z = _matrix(part, size)
+                    d = _allowed(problem, z, _numbers(part, "d"), search.edge)
+                    alpha, hold_all = _numbers(part, "alpha"), problem.hold_all(search)
+                    sums = [Sums.over(z, alpha, d, u, hold_all) for u in search.points]
+                    if day == current:
+                        held = [x + y for x, y in zip(held, sums, strict=True)]
+                        continue
+                    if held is not None:
+                        yield record()
+                    current, held = day, sums
+            if held is not None:
+                yield record()
+
+        def advance(day, table: pa.Table, root: np.ndarray) -> Search:
+            search = shared.value[day]
+            flat = sum(np.frombuffer(x.as_py()) for x in table.column("sums")).reshape(len(search.trials), -1)
+            sums = []
+            for row in flat:
+                curvature = np.zeros((size, size))
+                curvature[lower] = row[1 + size:]
+                sums.append(Sums(row[0], row[1:1 + size], np.tril(curvature) + np.tril(curvature, -1).T))
+            return problem.advance(search, sums, root)
+
+        open_days = [day for day, s in searches.items() if s.status is None]
+        wanted = rows.where(col("date").between(min(open_days), max(open_days))).select("date", "alpha", "d", "z")
+        partials = wanted.mapInArrow(partial, f"date {date}, sums binary")
+        searches.update(_by_date(problem, partials, roots, advance))
+        shared.destroy()
+    return searches
+
+
+def _weights(problem: Problem, rows: DataFrame, searches: dict) -> DataFrame:
+    date = rows.schema["date"].dataType.simpleString()
     table = rows.sparkSession.createDataFrame(
-        [(date, None if u is None else [float(v) for v in u], status, edge)
-         for date, (u, status, edge) in verdict.items()],
-        "date date, u array<double>, status string, edge boolean")
-    gain = _gain(problem, col("u"))
-    weight = _d(problem) * (F.greatest(gain, F.lit(0.0)) if problem.long_only else gain)
+        [(day, s.points[0].tolist() if s.status == "optimal" else None, s.status, s.edge)
+         for day, s in searches.items()], f"date {date}, u array<double>, status string, edge boolean")
+    gain = col("alpha") - F.expr("aggregate(zip_with(z, u, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+    d = col("d")
+    if problem.unit_beta:
+        d = F.when(col("edge") & (F.get("z", F.lit(problem.n_rules - 1)) != 1), 0.0).otherwise(d)
+    weight = d * (F.greatest(gain, F.lit(0.0)) if problem.long_only else gain)
     return join_by_date(rows, table).select(
         "date", "barrid",
         F.when(col("d").isNotNull() & col("u").isNotNull(), weight).alias("weight"),
