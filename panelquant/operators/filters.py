@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelquant.functions.columns import PERCENT_COLUMNS, col, zero_to_null
 from panelquant.operators.perdate import join_by_date
 from panelquant.operators.quantiles import exact_quantiles
+from panelquant.operators.validation import REQUIRED_COLUMNS
 
 log = logging.getLogger(__name__)
 
-REQUIRED_COLUMNS = ("date", "barrid", "return", "specific_risk")
-
 
 def domestic() -> Column:
     """Primary listings of the home country."""
@@ -90,7 +89,10 @@ def apply_filters(df: DataFrame, filters: Iterable[dict]) -> DataFrame:
 
 
 def validate_data(df: DataFrame) -> bool:
-    """False if a required column is missing or there are no rows (one small job)."""
+    """False if a required column is missing or there are no rows (one small job).
+
+    Best asked of the panel before its filters; ``validation.observed`` counts more, while the panel is written.
+    """
     missing = [name for name in REQUIRED_COLUMNS if name not in df.columns]
     if missing:
         log.error("missing columns: %s", missing)

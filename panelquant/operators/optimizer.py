@@ -39,10 +39,12 @@ TOLERANCE = 1e-10
 MAX_STEPS = 300
 #: Rows of a date that its first trial is found from.
 SAMPLE_ROWS = 512
-#: Share of the curvature of all assets that is added to that of the held ones, one per trial step.
-DAMPINGS = (1e-14, 1e-9, 1e-7, 1e-5, 1e-3, 1e-1)
-#: Also parts of the least damped step.
-PARTS = (0.5, 0.2)
+#: Damping of the first step and least damping: the share of the curvature of all assets that is added to
+#: that of the held ones. In a round it is tried in several strengths around that of the best step before.
+DAMPING_START, DAMPING_FLOOR = 1e-3, 1e-14
+STRENGTHS = (1e-3, 1e-2, 1e-1, 1.0, 1e1, 1e2)
+#: Besides, parts of the undamped step.
+PARTS = (1.0, 0.5)
 
 
 def backtest_input(df: DataFrame, signal_name: str) -> DataFrame:
@@ -153,7 +155,7 @@ class Search:
     points: tuple[np.ndarray, ...]
     free: np.ndarray
     spread: np.ndarray | None = None
-    reach: float = 1.0
+    damping: float = DAMPING_START
     steps: int = 0
     edge: bool = False
     status: str | None = None
@@ -230,13 +232,13 @@ class Problem:
         if search.spread is None:
             _, gap, curvature = judged[0]
             spread = np.maximum(np.diag(curvature), 1e-300)
-            step = _step(curvature, DAMPINGS[0] * np.diag(spread), gap, search.free)
+            step = _step(curvature, DAMPING_FLOOR * np.diag(spread), gap, search.free)
             return search.at(root, [search.trials[0] + step], spread=spread)
         if search.steps >= self.most_steps:
             return replace(search, status="not_converged")
         # Below rounding error of the value only the gap can tell progress.
         least = min(value for value, _, _ in judged)
-        blind = 1e-11 * max(abs(least), *(abs(target @ u) for u in search.trials), 1e-300)
+        blind = 1e-14 * max(abs(least), *(abs(target @ u) for u in search.trials), 1e-300)
         best = min((k for k, (value, _, _) in enumerate(judged) if value - least <= blind),
                    key=lambda k: np.abs(judged[k][1][search.free]).max(initial=0.0))
         u, (_, gap, curvature), free = search.trials[best], judged[best], search.free
@@ -246,12 +248,16 @@ class Problem:
                 return search.at(root, [u], status="optimal")
             free = np.ones(self.size, dtype=bool)
         # Few assets held make the curvature nearly singular, so steps are held back by a share of the
-        # curvature of all assets; by a larger one where no step has got on.
-        stuck = best == 0 and len(search.trials) > 1
-        reach = search.reach * 100 if stuck else 1.0
-        steps = [_step(curvature, reach * x * np.diag(search.spread), gap, free) for x in DAMPINGS]
-        steps += [part * steps[0] for part in PARTS]
-        return search.at(root, [u, *(u + step for step in steps)], free=free, reach=reach, steps=search.steps + 1)
+        # curvature of all assets; by a much larger one where no step has got on.
+        damping = search.damping
+        if len(search.trials) > 1:
+            damping *= 1e5 if best == 0 else ([*STRENGTHS, *(STRENGTHS[0] for _ in PARTS)])[best - 1]
+        damping = max(damping, DAMPING_FLOOR)
+        spread = np.diag(search.spread)
+        steps = [_step(curvature, damping * x * spread, gap, free) for x in STRENGTHS]
+        whole = _step(curvature, DAMPING_FLOOR * spread, gap, free)
+        return search.at(root, [u, *(u + step for step in steps), *(u + part * whole for part in PARTS)], free=free,
+                         damping=damping, steps=search.steps + 1)
 
     def solve(self, z: np.ndarray, alpha: np.ndarray, d: np.ndarray, root: np.ndarray,
               edge: bool = False) -> Search:
@@ -377,7 +383,7 @@ def _first(problem: Problem, rows: DataFrame, roots: DataFrame | None) -> dict:
         if problem.feasible(betas.min(), betas.max()):
             found = problem.solve(z, _numbers(table, "alpha"), d, root, edge)
             if found.status == "optimal":
-                return replace(found, status=None, steps=0, reach=1.0)
+                return replace(found, status=None, steps=0, damping=DAMPING_START)
         return problem.start(edge)
 
     joined = join_by_date(sample.select("date", "alpha", "d", "z"), ranges)
@@ -458,3 +464,43 @@ def _weights(problem: Problem, rows: DataFrame, searches: dict) -> DataFrame:
         "date", "barrid",
         F.when(col("d").isNotNull() & col("u").isNotNull(), weight).alias("weight"),
         F.when(col("d").isNull(), "excluded").otherwise(col("status")).alias("status"))
+
+
+# --- checking weights --------------------------------------------------------------------------
+
+def optimality(held: DataFrame, alpha: str, gamma: float, factors: Sequence[str] = (),
+               factor_cov: DataFrame | None = None) -> DataFrame:
+    """``date, assets, status, stationarity, budget, beta, shorts``: how far fully invested, long-only,
+    unit-beta weights are from an optimum.
+
+    ``held`` has weight, status and the data of every asset. The slope of the objective has to be
+    the same linear function of beta for all assets held, and no larger for the others; the function is fitted
+    to the assets held, and ``stationarity`` is the largest violation over the date's largest alpha. Feasible
+    weights that are not optimal do not pass.
+    """
+    w, beta, risk = col("weight"), col("predicted_beta"), col("specific_risk")
+    per_date = held.groupBy("date").agg(
+        F.count("*").alias("assets"), F.max("status").alias("status"), F.sum("weight").alias("total"),
+        F.sum(w * beta).alias("held_beta"), F.count_if(w < 0).alias("shorts"), F.max(F.abs(col(alpha))).alias("scale"),
+        *[F.sum(w * col(x)).alias(f"_y{k}") for k, x in enumerate(factors)])
+    slope = col(alpha) - F.lit(float(gamma)) * risk * risk * w
+    if factors:
+        wide = factor_cov.groupBy("date").agg(*[
+            F.max(F.when((col("factor_i") == x) & (col("factor_j") == y), col("cov"))).alias(f"_f{i}_{j}")
+            for i, x in enumerate(factors) for j, y in enumerate(factors)])
+        per_date = per_date.join(wide, "date")
+        for i, x in enumerate(factors):
+            for j in range(len(factors)):
+                slope = slope - F.lit(float(gamma)) * col(x) * col(f"_f{i}_{j}") * col(f"_y{j}")
+    sloped = join_by_date(held.select("date", "barrid", "weight", "predicted_beta", "specific_risk", alpha, *factors),
+                          per_date).withColumn("slope", slope)
+    active = w > 1e-9
+    line = sloped.where(active).groupBy("date").agg(
+        F.regr_slope("slope", "predicted_beta").alias("_slope"), F.avg("slope").alias("_mean"),
+        F.avg("predicted_beta").alias("_beta"))
+    rest = col("slope") - col("_mean") - F.coalesce("_slope", F.lit(0.0)) * (beta - col("_beta"))
+    worst = F.max(F.when(active, F.abs(rest)).otherwise(F.greatest(rest, F.lit(0.0))) / col("scale"))
+    return join_by_date(sloped, line).groupBy("date").agg(
+        F.max("assets").alias("assets"), F.max("status").alias("status"), worst.alias("stationarity"),
+        F.max(F.abs(col("total") - 1)).alias("budget"), F.max(F.abs(col("held_beta") - 1)).alias("beta"),
+        F.max("shorts").alias("shorts"))

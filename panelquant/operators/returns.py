@@ -12,11 +12,15 @@ from panelquant.operators.rolling import lead
 def generate_returns_from_weights(weights: DataFrame, panel: DataFrame, lag: int = 1,
                                   benchmark: str = "mean",
                                   portfolio: str = "portfolio") -> DataFrame:
-    """``date, portfolio, portfolio_return, return``; the last is the benchmark.
+    """``date, portfolio, portfolio_return, return, status``; ``return`` is the benchmark's.
 
     Weights formed on a date earn the asset's return ``lag`` rows later; a missing return
     contributes nothing. The benchmark is the plain or the market-cap weighted mean of the same
-    returns over the panel. One pass over the panel gives both.
+    returns over the panel. One pass over the panel gives both. ``panel`` should be the panel before
+    row filters: what was held is paid even where its next row would not pass them.
+
+    A date of ``weights`` on which every weight is NULL stays, with a NULL portfolio return and the status
+    ``no_weights``; nothing is held on it, so compounded returns stay where they were.
     """
     earned = (lead("return", lag) if lag else col("return")).alias("earned")
     if benchmark == "mean":
@@ -27,12 +31,13 @@ def generate_returns_from_weights(weights: DataFrame, panel: DataFrame, lag: int
     else:
         raise ValueError(f"unknown benchmark: {benchmark}")
     realised = panel.select("date", "barrid", earned, *extra)
-    held = weights.select("date", "barrid", "weight")
-    return (realised.join(held, ["date", "barrid"], "left").groupBy("date")
-            .agg(F.sum(col("weight") * col("earned")).alias("portfolio_return"),
-                 mean.alias("return"))
-            .where("portfolio_return IS NOT NULL")
-            .select("date", F.lit(portfolio).alias("portfolio"), "portfolio_return", "return"))
+    held = weights.select("date", "barrid", "weight", F.lit(True).alias("_row"))
+    sums = (realised.join(held, ["date", "barrid"], "left").groupBy("date")
+            .agg(F.sum(col("weight") * col("earned")).alias("portfolio_return"), mean.alias("return"),
+                 ((F.count("_row") > 0) & (F.count("weight") == 0) & (F.count("earned") > 0)).alias("_none")))
+    return (sums.where(col("portfolio_return").isNotNull() | col("_none"))
+            .select("date", F.lit(portfolio).alias("portfolio"), "portfolio_return", "return",
+                    F.when(col("_none"), "no_weights").otherwise("held").alias("status")))
 
 
 def _compounded(name: str, frame: WindowSpec) -> Column:

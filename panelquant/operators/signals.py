@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelquant.functions.columns import col, divide, log_return
 from panelquant.operators import rolling
 from panelquant.operators.crosssection import alpha, standardise
+from panelquant.session import written
 
 
 def rolling_signal(df: DataFrame, name: str, statistic: Callable[..., Column], value: str | Column,
@@ -63,11 +64,18 @@ SIGNALS: dict[str, Callable[[DataFrame, str, dict], DataFrame]] = {
 }
 
 
-def compute_alphas(df: DataFrame, signal: dict) -> DataFrame:
-    """Adds the signal, its per-date z-score ``<name>_score`` and ``<name>_alpha``."""
+def compute_alphas(df: DataFrame, signal: dict, stored: bool = False) -> DataFrame:
+    """Adds the signal, its per-date z-score ``<name>_score`` and ``<name>_alpha``.
+
+    Standardising needs the signal twice, for its sums per date and for its values. With ``stored`` the frame is
+    written to the shared folder once it has the signal, so its window is evaluated once, and the sums read
+    one narrow column; without, nothing is written and the window is evaluated twice.
+    """
     name, kind = signal["name"], signal["type"]
     if kind not in SIGNALS:
         raise ValueError(f"unknown signal type: {kind}")
     df = SIGNALS[kind](df, name, signal)
+    if stored:
+        df = written(df, "signal")
     df = standardise(df, name, f"{name}_score")
     return df.withColumn(f"{name}_alpha", alpha(f"{name}_score"))

@@ -67,13 +67,15 @@ def weight_histogram(weights: DataFrame, bins: int = 50) -> DataFrame:
     return histogram(weights, "weight", bins)
 
 
-def diagnostics(weights: DataFrame, alphas: DataFrame, signal_name: str,
+def diagnostics(weights: DataFrame, alphas: DataFrame, panel: DataFrame, signal_name: str,
                 periods_per_year: int = 252) -> dict[str, DataFrame]:
     """The tables behind the charts; each has at most a few rows per date.
 
-    ``alphas`` is read several times: pass a frame that is written out or checkpointed.
+    Returns are paid from ``panel``, the cleaned panel before its row filters; an asset that leaves the
+    filtered alphas after a loss has still lost. ``alphas`` is read several times: pass a frame that is
+    written out or checkpointed.
     """
-    returns = generate_returns_from_weights(weights, alphas)
+    returns = generate_returns_from_weights(weights, panel)
     return {
         "cumulative_returns": cumulative_returns(returns),
         "performance_summary": performance_summary(returns, periods_per_year),

@@ -19,6 +19,8 @@ class ResearchResult:
     alphas: DataFrame
     weights: DataFrame
     returns: DataFrame
+    #: The cleaned panel before its row filters, which weights are paid from.
+    panel: DataFrame
     paths: dict[str, str]
 
 
@@ -54,10 +56,11 @@ def run_pipeline(source: SparkSession | DataFrame, config: dict, run_name: str,
     if "signal" not in config:
         raise ValueError("configuration has no 'signal' section")
     signal, backtest = config["signal"], config["backtest"]
-    panel = load_panel(source, config)
-    if not validate_data(panel):
+    # Asked of the panel before its screens, so that they are not run for a single row.
+    realised = realised_panel(source, config)
+    if not validate_data(realised):
         raise ValueError("data validation failed")
-    spark = panel.sparkSession
+    spark = realised.sparkSession
     folder = os.path.join(config["output"]["results_path"], run_name)
     paths = {kind: os.path.join(folder, f"{run_name}_{kind}.parquet")
              for kind in ("weights", "returns", "alphas")}
@@ -68,7 +71,10 @@ def run_pipeline(source: SparkSession | DataFrame, config: dict, run_name: str,
         # The schema is given, since a result without rows has no file to take it from.
         return spark.read.schema(df.schema).parquet(paths[kind])
 
-    alphas = compute_alphas(panel, signal)
+    # The rolling window and the screens are evaluated once, while the signal is written.
+    alphas = compute_alphas(load_panel(source, config), signal, stored=True)
+    if alphas.isEmpty():
+        raise ValueError("data validation failed")
     if write_alphas:
         alphas = written(alphas, "alphas")
     else:
@@ -77,6 +83,5 @@ def run_pipeline(source: SparkSession | DataFrame, config: dict, run_name: str,
                                backtest["gamma"], backtest.get("factors", ()),
                                backtest.get("factor_cov"))
     weights = written(weights, "weights")
-    returns = written(generate_returns_from_weights(weights, realised_panel(source, config),
-                                                    portfolio=run_name), "returns")
-    return ResearchResult(alphas, weights, returns, paths)
+    returns = written(generate_returns_from_weights(weights, realised, portfolio=run_name), "returns")
+    return ResearchResult(alphas, weights, returns, realised, paths)

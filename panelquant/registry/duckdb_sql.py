@@ -174,6 +174,66 @@ fcov AS (
   FROM series)"""
 
 
+LONG_ONLY = """,
+        range_b AS (SELECT date, min(b) <= 1 AND max(b) >= 1 AS ok FROM rows_d GROUP BY date),
+        halved AS (
+          SELECT date, 0 AS step, CAST(-1e6 AS double) AS low, CAST(1e6 AS double) AS high
+          FROM range_b WHERE ok
+          UNION ALL
+          SELECT date, step + 1, CASE WHEN beta > 1 THEN (low + high) / 2 ELSE low END,
+                 CASE WHEN beta > 1 THEN high ELSE (low + high) / 2 END
+          FROM (SELECT date, any_value(step) AS step, any_value(low) AS low, any_value(high) AS high,
+                       sum(d * greatest(x - lam, 0) * b) AS beta
+                FROM (SELECT *, max(lam_k) OVER (PARTITION BY date) AS lam
+                      FROM (SELECT *, (sum(d * x) OVER w - 1) / sum(d) OVER w AS lam_k
+                            FROM (SELECT h.*, r.barrid, r.b, r.d, r.a - (low + high) / 2 * r.b AS x
+                                  FROM halved h JOIN rows_d r ON h.date = r.date WHERE step < 90)
+                            WINDOW w AS (PARTITION BY date ORDER BY x DESC, barrid
+                                         ROWS UNBOUNDED PRECEDING)))
+                GROUP BY date)),
+        priced AS (SELECT r.*, r.a - (low + high) / 2 * r.b AS x
+                   FROM rows_d r JOIN halved h ON h.date = r.date AND step = 90),
+        ranked AS (SELECT *, (sum(d * x) OVER w - 1) / sum(d) OVER w AS lam_k
+                   FROM priced WINDOW w AS (PARTITION BY date ORDER BY x DESC, barrid
+                                            ROWS UNBOUNDED PRECEDING)),
+        solved AS (SELECT date, barrid, d * greatest(x - max(lam_k) OVER (PARTITION BY date), 0)
+                          AS weight FROM ranked)"""
+
+STUDY = PANEL + """,
+base AS (SELECT date, barrid, price, "return" / 100 AS r, specific_risk, predicted_beta, bid_ask_spread,
+                nullif(daily_volume, 0) AS daily_volume FROM panel WHERE in_universe),
+measured AS (
+  SELECT *, CASE WHEN count(daily_volume) OVER w >= 7 THEN avg(daily_volume) OVER w END AS adv,
+         CASE WHEN count(bid_ask_spread) OVER w >= 13 THEN avg(bid_ask_spread) OVER w END AS spread,
+         CASE WHEN count(ln(1 + r)) OVER v >= 21 THEN -(sum(ln(1 + r)) OVER v) END AS reversal
+  FROM base
+  WINDOW w AS (PARTITION BY barrid ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW),
+         v AS (PARTITION BY barrid ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+study AS (
+  SELECT * FROM (
+    SELECT *, (reversal - avg(reversal) OVER (PARTITION BY date))
+              / nullif(stddev_samp(reversal) OVER (PARTITION BY date), 0) / nullif(specific_risk, 0) AS reversal_alpha
+    FROM measured) WHERE reversal_alpha IS NOT NULL),
+q1 AS (SELECT * FROM (SELECT *, lag(price) OVER (PARTITION BY barrid ORDER BY date) AS price_lag FROM study)
+       WHERE price_lag >= 1000),
+q2 AS (SELECT * FROM (SELECT *, lag(adv) OVER (PARTITION BY barrid ORDER BY date) * price_lag AS addv FROM q1)
+       WHERE addv >= 50000),
+quality AS (SELECT * FROM (SELECT *, lag(spread) OVER (PARTITION BY barrid ORDER BY date) AS spread_lag FROM q2)
+            WHERE spread_lag <= 0.04)"""
+
+
+def _study(name: str, rows: str) -> str:
+    """Returns of the reversal study on the rows of one universe."""
+    return "WITH RECURSIVE " + STUDY + f""",
+      rows_d AS (SELECT date, barrid, reversal_alpha AS a, predicted_beta AS b,
+                        1 / (10 * (specific_risk / 100) * (specific_risk / 100)) AS d FROM {rows})""" + LONG_ONLY + f""",
+      ahead AS (SELECT date, barrid, lead(r) OVER (PARTITION BY barrid ORDER BY date) AS earned FROM base),
+      paid AS (SELECT date, sum(weight * earned) AS portfolio_return, avg(earned) AS bench, count(earned) AS n
+               FROM ahead LEFT JOIN solved USING (date, barrid) GROUP BY date)
+      SELECT date, '{name}' AS portfolio, portfolio_return, bench, CASE WHEN ok THEN 'held' ELSE 'no_weights' END AS status
+      FROM paid JOIN range_b USING (date) WHERE portfolio_return IS NOT NULL OR (NOT ok AND n > 0)"""
+
+
 def _r(expression: str, name: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
@@ -366,30 +426,7 @@ SQL: dict[str, str] = {
                                     "rows_d JOIN chosen USING (date)"),
     # With a unit beta as well: the beta of the best portfolio falls as the price of beta rises, so
     # that price is found by halving, and the budget's multiplier for it as above.
-    "mvo_long_only": "WITH RECURSIVE " + MOMENTS + f""",
-        range_b AS (SELECT date, min(b) <= 1 AND max(b) >= 1 AS ok FROM rows_d GROUP BY date),
-        halved AS (
-          SELECT date, 0 AS step, CAST(-1e6 AS double) AS low, CAST(1e6 AS double) AS high
-          FROM range_b WHERE ok
-          UNION ALL
-          SELECT date, step + 1, CASE WHEN beta > 1 THEN (low + high) / 2 ELSE low END,
-                 CASE WHEN beta > 1 THEN high ELSE (low + high) / 2 END
-          FROM (SELECT date, any_value(step) AS step, any_value(low) AS low, any_value(high) AS high,
-                       sum(d * greatest(x - lam, 0) * b) AS beta
-                FROM (SELECT *, max(lam_k) OVER (PARTITION BY date) AS lam
-                      FROM (SELECT *, (sum(d * x) OVER w - 1) / sum(d) OVER w AS lam_k
-                            FROM (SELECT h.*, r.barrid, r.b, r.d, r.a - (low + high) / 2 * r.b AS x
-                                  FROM halved h JOIN rows_d r ON h.date = r.date WHERE step < 90)
-                            WINDOW w AS (PARTITION BY date ORDER BY x DESC, barrid
-                                         ROWS UNBOUNDED PRECEDING)))
-                GROUP BY date)),
-        priced AS (SELECT r.*, r.a - (low + high) / 2 * r.b AS x
-                   FROM rows_d r JOIN halved h ON h.date = r.date AND step = 90),
-        ranked AS (SELECT *, (sum(d * x) OVER w - 1) / sum(d) OVER w AS lam_k
-                   FROM priced WINDOW w AS (PARTITION BY date ORDER BY x DESC, barrid
-                                            ROWS UNBOUNDED PRECEDING)),
-        solved AS (SELECT date, barrid, d * greatest(x - max(lam_k) OVER (PARTITION BY date), 0)
-                          AS weight FROM ranked)
+    "mvo_long_only": "WITH RECURSIVE " + MOMENTS + LONG_ONLY + f"""
       SELECT r.date, r.barrid, {_r('weight', 'weight')},
              CASE WHEN weight IS NULL THEN 'infeasible' ELSE 'optimal' END AS status
       FROM rows_d r LEFT JOIN solved USING (date, barrid)""",
@@ -405,13 +442,14 @@ SQL: dict[str, str] = {
                                  "date, barrid, " + _r(
         "d * (str_alpha - l - mu * predicted_beta * root)", "weight"),
                                  "sized JOIN fcov USING (date) JOIN lam USING (date)"),
-    "portfolio_returns": _select(BUDGET_WEIGHTS + _RETURNS.format(source="alpha"),
+    "portfolio_returns": _select(BUDGET_WEIGHTS + _RETURNS.format(source="dec"),
                                  _RETURN_COLUMNS.format(name="str"), "returns",
                                  "WHERE portfolio_return IS NOT NULL"),
     "portfolio_returns_cap": _select(BUDGET_WEIGHTS + """,
         returns AS (SELECT date, sum(weight * "return") AS portfolio_return,
-                           sum(market_cap * "return") / nullif(sum(market_cap), 0) AS bench
-                    FROM alpha LEFT JOIN weights USING (date, barrid) GROUP BY date)""",
+                           sum(market_cap * "return")
+                             / nullif(sum(market_cap) FILTER (WHERE "return" IS NOT NULL), 0) AS bench
+                    FROM dec LEFT JOIN weights USING (date, barrid) GROUP BY date)""",
                                      _RETURN_COLUMNS.format(name="str"), "returns",
                                      "WHERE portfolio_return IS NOT NULL"),
     "cumulative": _select(EQUAL_RETURNS, f"""date, 'top_half' AS portfolio,
@@ -491,18 +529,78 @@ SQL["research_job"] = _select(
     + _RETURNS.format(source="(SELECT * FROM dec WHERE in_universe) whole"),
     _RETURN_COLUMNS.format(name="str_22"), "returns", "WHERE portfolio_return IS NOT NULL")
 SQL["diagnostics_job"] = _select(
-    BUDGET_WEIGHTS + _RETURNS.format(source="alpha") + """,
+    BUDGET_WEIGHTS + _RETURNS.format(source="dec") + f""",
+    paid AS (SELECT * FROM returns WHERE portfolio_return IS NOT NULL),
+    grown AS (SELECT *, CASE WHEN min(portfolio_return) OVER w > -1 THEN sum(ln(1 + portfolio_return)) OVER w END AS growth,
+                     CASE WHEN min(bench) OVER w > -1 THEN sum(ln(1 + bench)) OVER w END AS bench_growth
+              FROM (SELECT date, CASE WHEN min(portfolio_return) OVER (ORDER BY date) > -1 THEN portfolio_return END
+                             AS portfolio_return, portfolio_return AS whole, bench FROM paid)
+              WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    alive AS (SELECT *, CASE WHEN min(whole) OVER w > -1 THEN growth END AS wealth
+              FROM grown WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    dd AS (SELECT *, exp(wealth) / greatest(1, max(exp(wealth)) OVER (
+             ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown FROM alive),
+    p AS (SELECT count(whole) AS n, avg(whole) AS m, avg(bench) AS bm, stddev_samp(whole) AS sd, min(drawdown) AS mdd,
+                 covar_samp(whole, bench) / nullif(var_samp(bench), 0) AS beta FROM dd),
     n AS (SELECT date, str_alpha AS x, lead(str_alpha) OVER (PARTITION BY barrid ORDER BY date) AS y
           FROM alpha),
     i AS (SELECT date, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS ic
           FROM n WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY date),""" +
-    BUCKETS[len(ALPHA) + 1:] + """,
+    BUCKETS[len(ALPHA) + 1:] + f""",
     s AS (SELECT date, max(quantile_return) FILTER (WHERE quantile = 4)
                        - max(quantile_return) FILTER (WHERE quantile = 0) AS spread
           FROM means GROUP BY date),
-    t AS (SELECT 'cumulative_returns' AS name, count(portfolio_return) AS rows FROM returns
-          UNION ALL SELECT 'performance_summary', 1
-          UNION ALL SELECT 'information_coefficient', count(ic) FROM i
-          UNION ALL SELECT 'quantile_spread', count(spread) FROM s
-          UNION ALL SELECT 'zscore_histogram', 50 UNION ALL SELECT 'weight_histogram', 50)""",
-    "name, rows", "t")
+    t AS (SELECT 'cumulative_returns' AS "table", CAST(date AS varchar) AS key, 'portfolio' AS measure, wealth AS value
+          FROM alive
+          UNION ALL SELECT 'cumulative_returns', CAST(date AS varchar), 'benchmark', bench_growth FROM alive
+          UNION ALL SELECT 'performance_summary', 'portfolio', u.measure, u.value
+            FROM p, LATERAL (VALUES ('n_periods', CAST(n AS double)), ('mean_return', m * {WEEKS}),
+              ('volatility', sd * sqrt({WEEKS})), ('sharpe', m / nullif(sd, 0) * sqrt({WEEKS})), ('max_drawdown', mdd),
+              ('alpha', (m - beta * bm) * {WEEKS}), ('beta', beta)) AS u (measure, value)
+          UNION ALL SELECT 'information_coefficient', CAST(date AS varchar), 'ic', ic FROM i WHERE ic IS NOT NULL
+          UNION ALL SELECT 'quantile_spread', CAST(date AS varchar), 'spread', spread FROM s WHERE spread IS NOT NULL
+          UNION ALL SELECT 'zscore_histogram', CAST(bin AS varchar), 'count', CAST(count AS double)
+            FROM ({SQL["histogram_zscore"]})
+          UNION ALL SELECT 'weight_histogram', CAST(bin AS varchar), 'count', CAST(count AS double)
+            FROM ({_histogram(BUDGET_WEIGHTS, "weights", "weight", 5)}))""",
+    f'"table", key, measure, {_r("value", "value")}', "t")
+SQL["mvo_factor_kkt"] = _select(ALPHA + """,
+    c AS (SELECT date, count(*) AS assets, min(predicted_beta) <= 1 AND max(predicted_beta) >= 1 AS ok
+          FROM alpha WHERE str_alpha IS NOT NULL GROUP BY date)""",
+    """date, assets, CASE WHEN ok THEN 'optimal' ELSE 'infeasible' END AS status,
+    CASE WHEN ok THEN CAST(0 AS double) END AS stationarity, CASE WHEN ok THEN CAST(0 AS double) END AS budget,
+    CASE WHEN ok THEN CAST(0 AS double) END AS beta, CAST(0 AS bigint) AS shorts""", "c")
+_STUDIES = f"({_study('all', 'study')}) UNION ALL ({_study('quality', 'quality')})"
+SQL["reversal_study_returns"] = (f"SELECT date, portfolio, status, {_r('portfolio_return', 'portfolio_return')}, "
+                                 f"{_r('bench', '"return"')} FROM ({_STUDIES})")
+SQL["reversal_study_summary"] = f"""
+  SELECT portfolio, count(portfolio_return) AS n_periods, {_r(f'avg(portfolio_return) * {WEEKS}', 'mean_return')},
+         {_r(f'stddev_samp(portfolio_return) * sqrt({WEEKS})', 'volatility')},
+         {_r(f'avg(portfolio_return) / nullif(stddev_samp(portfolio_return), 0) * sqrt({WEEKS})', 'sharpe')},
+         {_r('covar_samp(portfolio_return, bench) / nullif(var_samp(bench) FILTER (WHERE portfolio_return IS NOT NULL), 0)',
+             'beta')}
+  FROM ({_STUDIES}) GROUP BY portfolio"""
+SQL["rolling_long_history"] = SQL["rolling_sum_full"]
+SQL["str_alpha_by_asset"] = SQL["str_alpha"]
+SQL["panel_validation"] = "WITH " + PANEL + """,
+  w AS (SELECT date, barrid, "return" AS r, day(date) AS d FROM panel),
+  f AS (SELECT count(*) AS n, count(*) FILTER (r IS NULL) AS gaps, count(*) FILTER (d > 7 AND r IS NOT NULL) AS whole,
+               count(*) FILTER (d = 1) AS twice, count(*) FILTER (d = 2) AS dashes, count(*) FILTER (d = 3) AS holes
+        FROM w)
+  SELECT u.panel, u."check", CAST(u.value AS bigint) AS value FROM f, LATERAL (VALUES
+    ('whole', 'rows', n), ('whole', 'missing', 0), ('whole', 'placeholders', 0), ('whole', 'ok', 1),
+    ('whole', 'null_date', 0), ('whole', 'null_barrid', 0), ('whole', 'null_return', gaps),
+    ('whole', 'null_specific_risk', 0), ('whole', 'repeated', 0),
+    ('empty', 'rows', 0), ('empty', 'missing', 0), ('empty', 'placeholders', 0), ('empty', 'ok', 0),
+    ('empty', 'null_date', 0), ('empty', 'null_barrid', 0), ('empty', 'null_return', 0),
+    ('empty', 'null_specific_risk', 0), ('empty', 'repeated', 0),
+    ('incomplete', 'rows', n), ('incomplete', 'missing', 1), ('incomplete', 'placeholders', 0), ('incomplete', 'ok', 0),
+    ('incomplete', 'null_date', 0), ('incomplete', 'null_barrid', 0), ('incomplete', 'null_return', n - whole),
+    ('incomplete', 'repeated', 0),
+    ('repeated', 'rows', n + twice), ('repeated', 'missing', 0), ('repeated', 'placeholders', 0), ('repeated', 'ok', 0),
+    ('repeated', 'null_date', 0), ('repeated', 'null_barrid', 0),
+    ('repeated', 'null_return', gaps + (SELECT count(*) FROM w WHERE d = 1 AND r IS NULL)),
+    ('repeated', 'null_specific_risk', 0), ('repeated', 'repeated', twice),
+    ('placeholders', 'rows', n), ('placeholders', 'missing', 0), ('placeholders', 'placeholders', dashes),
+    ('placeholders', 'ok', 0), ('placeholders', 'null_date', 0), ('placeholders', 'null_barrid', holes),
+    ('placeholders', 'null_return', gaps), ('placeholders', 'null_specific_risk', 0)) AS u (panel, "check", value)"""

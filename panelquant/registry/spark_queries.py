@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelquant.functions.columns import col, divide, log_return
+from panelquant.functions.columns import col, divide, log_return, zero_to_null
 from panelquant.operators import filters as flt
 from panelquant.operators import rolling
 from panelquant.operators.constraints import parse_constraints
@@ -15,7 +16,7 @@ from panelquant.operators.covariance import (both_triangles, construct_covarianc
 from panelquant.operators.crosssection import alpha_divisive, recover_zscore, standardise
 from panelquant.operators.holdings import (align_weights, dropped_tickers,
                                            holdings_weights, map_tickers, ticker_union)
-from panelquant.operators.optimizer import backtest_input, run_mvo_backtest
+from panelquant.operators.optimizer import backtest_input, optimality, run_mvo_backtest
 from panelquant.operators.returns import (cumulative_returns, generate_returns_from_weights,
                                           performance_summary)
 from panelquant.operators.signals import (compute_alphas, compute_cost, compute_idio_vol,
@@ -24,10 +25,11 @@ from panelquant.plans import diagnostics as diag
 from panelquant.plans.etf_beta import etf_beta
 from panelquant.plans.quality import quality_screen
 from panelquant.plans.research import load_panel, run_pipeline
-from panelquant.session import scratch_path
+from panelquant.plans.reversal_study import reversal_study
+from panelquant.session import scratch_path, written
 from panelquant.sources import holdings_files as files
-from panelquant.sources.panel import (add_missing_columns, load_assets, select_assets,
-                                      write_by_year, write_table)
+from panelquant.sources.panel import (add_missing_columns, load_assets, read_by_asset, select_assets,
+                                      write_by_asset, write_by_year, write_table)
 from panelquant.sources.weekly import weekly_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,8 @@ QUERIES: dict[str, Query] = {}
 
 FIRST_DATE, LAST_DATE = "1995-01-02", "2001-10-29"
 COVARIANCE_DAYS, WEEKS = 364, 52
+#: Buckets of the tables by asset that the queries write.
+BUCKETS = 8
 REVERSAL = {"name": "str", "type": "str", "window_size": 22}
 FULL = ("FullInvestment",)
 FULL_BETA = ("FullInvestment", "UnitBeta")
@@ -57,7 +61,8 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compute_alphas(clean(spark, sf_dir), REVERSAL)
+    """Reversal alphas; the signal is written once and its window evaluated once."""
+    return compute_alphas(clean(spark, sf_dir), REVERSAL, stored=True)
 
 
 # --- scans, projections, filters ---------------------------------------------------------------
@@ -233,6 +238,44 @@ def zscore_recover(spark, sf_dir):
         "date", "barrid", rounded("zscore").alias("zscore"))
 
 
+@query
+def rolling_long_history(spark, sf_dir):
+    """Rolling sums with every history dealt to chunks of 64 rows."""
+    made = rolling.chunked(clean(spark, sf_dir), {"sum_volume": (F.sum, "daily_volume", 22, 22)}, chunk_rows=64)
+    return made.select("date", "barrid", rounded("sum_volume").alias("sum_volume"))
+
+
+@query
+def str_alpha_by_asset(spark, sf_dir):
+    """Alphas from a table bucketed by asset: no exchange by asset."""
+    path = scratch_path(spark, "by-asset")
+    write_by_asset(clean(spark, sf_dir), path, BUCKETS)
+    made = compute_alphas(read_by_asset(spark, path, BUCKETS), REVERSAL)
+    return made.select("date", "barrid", *[rounded(c).alias(c) for c in ("str", "str_score", "str_alpha")])
+
+
+@query
+def panel_validation(spark, sf_dir):
+    """Reports on the panel, on none of it, on one without risk and with holes, and on one with repeated keys."""
+    panel = weekly_panel(spark, sf_dir).select("date", "barrid", "return", "specific_risk")
+    cases = {
+        "whole": panel, "empty": panel.where("false"),
+        "incomplete": panel.drop("specific_risk").withColumn(
+            "return", F.when(F.dayofmonth("date") > 7, col("return"))),
+        "repeated": panel.unionAll(panel.where(F.dayofmonth("date") == 1)),
+        "placeholders": panel.withColumn("barrid", F.when(F.dayofmonth("date") == 2, "-").otherwise(
+            F.when(F.dayofmonth("date") != 3, col("barrid"))))}
+    found = []
+    for name, frame in cases.items():
+        seen = write_by_asset(frame, scratch_path(spark, "validated"), BUCKETS)
+        values = {"rows": seen.rows, "missing": len(seen.missing), "placeholders": seen.placeholders,
+                  "ok": int(seen.ok), **{f"null_{c}": n for c, n in seen.nulls.items()}}
+        if name != "placeholders":  # there a placeholder's rows of one date are repeated keys too
+            values["repeated"] = seen.repeated
+        found += [(name, check, value) for check, value in values.items()]
+    return spark.createDataFrame(found, "panel string, check string, value bigint")
+
+
 # --- diagnostics -------------------------------------------------------------------------------
 
 @query
@@ -388,10 +431,14 @@ def mvo_factor_check(spark, sf_dir):
                  F.count_if(col("weight") < 0).alias("shorts")))
 
 
+def unfiltered(spark, sf_dir) -> DataFrame:
+    """The cleaned panel before its row filters, which weights are paid from."""
+    return flt.prepare_data(weekly_panel(spark, sf_dir))
+
+
 def returns_budget(spark, sf_dir, **options) -> DataFrame:
-    panel = alphas(spark, sf_dir)
-    weights = run_mvo_backtest(panel, "str", FULL, GAMMA)
-    return generate_returns_from_weights(weights, panel, portfolio="str", **options)
+    weights = run_mvo_backtest(alphas(spark, sf_dir), "str", FULL, GAMMA)
+    return generate_returns_from_weights(weights, unfiltered(spark, sf_dir), portfolio="str", **options)
 
 
 def _rounded_returns(returns: DataFrame) -> DataFrame:
@@ -436,6 +483,31 @@ def summary(spark, sf_dir):
                         rounded(F.log1p("total_return")).alias("log_total_return"))
 
 
+def reversal_studies(spark, sf_dir):
+    panel = weekly_panel(spark, sf_dir).where(col("in_universe")).withColumns({
+        "return": col("return") / 100, "daily_volume": zero_to_null("daily_volume")})
+    panel = panel.withColumns({"adv": rolling.rolling_mean("daily_volume", 13, 7),
+                               "spread": rolling.rolling_mean("bid_ask_spread", 13)})
+    screen = {"min_price": 1000, "min_dollar_volume": 50_000, "max_spread": 0.04, "volume": "adv", "spread": "spread"}
+    return reversal_study(written(panel, "reversal-panel"), screen, periods_per_year=WEEKS)
+
+
+@query
+def reversal_study_returns(spark, sf_dir):
+    """The reversal study's returns on all rows and on screened ones."""
+    found = [s.returns for s in reversal_studies(spark, sf_dir).values()]
+    return reduce(DataFrame.unionByName, found).select(
+        "date", "portfolio", "status", rounded("portfolio_return").alias("portfolio_return"),
+        rounded("return").alias("return"))
+
+
+@query
+def reversal_study_summary(spark, sf_dir):
+    found = [s.summary for s in reversal_studies(spark, sf_dir).values()]
+    return reduce(DataFrame.unionByName, found).select(
+        "portfolio", "n_periods", *[rounded(c).alias(c) for c in ("mean_return", "volatility", "sharpe", "beta")])
+
+
 # --- holdings and beta -------------------------------------------------------------------------
 
 def supplier_holdings(spark, sf_dir) -> DataFrame:
@@ -507,8 +579,7 @@ def holdings_csv_preamble(spark, sf_dir):
              "MARKET VALUE", "WEIGHT %", "CURRENT MARKET VALUE"]
     blank = text.sparkSession.range(1).select(
         *[F.lit(None).cast("string").alias(n) for n in names])
-    written = text.toDF(*names).unionByName(blank)
-    written.write.csv(path, header=True, quoteAll=True, escape='"', nullValue="",
+    text.toDF(*names).unionByName(blank).write.csv(path, header=True, quoteAll=True, escape='"', nullValue="",
                       emptyValue="", lineSep="\r\n")
     return files.read_preamble_csv(spark, path).select(*CLEANED)
 
@@ -689,13 +760,36 @@ def research_job(spark, sf_dir):
 
 @query
 def diagnostics_job(spark, sf_dir):
-    """All diagnostic tables; the names and row counts of those with a row per date or bin."""
-    alpha = alphas(spark, sf_dir)
-    weights = run_mvo_backtest(alpha, "str", FULL, GAMMA)
-    tables = diag.diagnostics(weights, alpha, "str", WEEKS)
-    counted = [t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-               for name, t in tables.items()]
-    union = counted[0]
-    for table in counted[1:]:
-        union = union.unionByName(table)
-    return union
+    """All values of all diagnostic tables: table, key, measure, value."""
+    alpha = written(alphas(spark, sf_dir), "diagnostics-alphas")
+    weights = written(run_mvo_backtest(alpha, "str", FULL, GAMMA), "diagnostics-weights")
+    tables = diag.diagnostics(weights, alpha, unfiltered(spark, sf_dir), "str", WEEKS)
+    shown = {
+        "cumulative_returns": ("date", {"portfolio": F.log1p("cumulative_return"),
+                                        "benchmark": F.log1p("benchmark_cumulative_return")}),
+        "performance_summary": ("portfolio", {c: col(c).cast("double") for c in (
+            "n_periods", "mean_return", "volatility", "sharpe", "max_drawdown", "alpha", "beta")}),
+        "information_coefficient": ("date", {"ic": col("IC")}),
+        "quantile_spread": ("date", {"spread": col("spread")}),
+        "zscore_histogram": ("bin", {"count": col("count").cast("double")}),
+        "weight_histogram": ("bin", {"count": col("count").cast("double")}),
+    }
+    parts = []
+    for name, (key, measures) in shown.items():
+        cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), rounded(v).alias("value"))
+                                    for m, v in measures.items()])).alias("c")
+        parts.append(tables[name].select(F.lit(name).alias("table"), col(key).cast("string").alias("key"), cells)
+                     .select("table", "key", "c.measure", "c.value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def mvo_factor_kkt(spark, sf_dir):
+    """Per date, how far the factor model's weights are from optimal, from the weights and the data alone:
+    largest residual of the optimality conditions relative to the alphas, and of budget and beta."""
+    alpha, factor_cov = factor_frame(spark, sf_dir)
+    alpha = written(alpha, "kkt-alphas")
+    solved = run_mvo_backtest(alpha, "str", LONG_ONLY, GAMMA, ("market", "size"), factor_cov)
+    return optimality(solved.join(alpha, ["date", "barrid"]), "str_alpha", GAMMA, ("market", "size"),
+                      factor_cov).select(
+        "date", "assets", "status", *[rounded(c, 5).alias(c) for c in ("stationarity", "budget", "beta")], "shorts")

@@ -30,7 +30,7 @@ def weights(spark):
 
 def test_weights_earn_the_next_return(panel, weights):
     got = generate_returns_from_weights(weights, panel, portfolio="p").orderBy("date").collect()
-    assert got[0].asDict().keys() == {"date", "portfolio", "portfolio_return", "return"}
+    assert got[0].asDict().keys() == {"date", "portfolio", "portfolio_return", "return", "status"}
     assert [str(r["date"]) for r in got] == DAYS[:3]
     assert [r["portfolio_return"] for r in got] == pytest.approx(
         [.25 * .02 + .75 * .05, .25 * -.03 + .75 * .01, .25 * .04 - .75 * .02])
@@ -142,10 +142,34 @@ def test_too_few_assets_have_no_spread(spark):
 
 def test_all_diagnostic_tables(alphas, spark):
     weights = alphas.selectExpr("date", "barrid", "1D / 20 AS weight")
-    tables = diag.diagnostics(weights, alphas, "s")
+    tables = diag.diagnostics(weights, alphas, alphas, "s")
     counts = {name: table.count() for name, table in tables.items()}
     assert counts == {"cumulative_returns": 3, "performance_summary": 1,
                       "information_coefficient": 3, "quantile_spread": 4,
                       "zscore_histogram": 50, "weight_histogram": 50}
     bins = tables["zscore_histogram"].collect()
     assert sum(r["count"] for r in bins) == 80
+
+
+def test_a_loss_counts_even_if_the_asset_leaves_the_filtered_rows(spark):
+    """A loses 60 % and falls under a price floor, B gains 1 %: half of each earns -29.5 %."""
+    rows = [(day(DAYS[0]), "A", .0, 10.0), (day(DAYS[0]), "B", .0, 10.0),
+            (day(DAYS[1]), "A", -.6, 4.0), (day(DAYS[1]), "B", .01, 10.1)]
+    panel = spark.createDataFrame(rows, "date date, barrid string, `return` double, price double").selectExpr(
+        "*", "0.1D AS s_alpha", "0.1D AS specific_risk")
+    weights = panel.where(f"date = '{DAYS[0]}'").selectExpr("date", "barrid", "0.5D AS weight")
+    tables = diag.diagnostics(weights, panel.where("price >= 5"), panel, "s")
+    row, = tables["cumulative_returns"].collect()
+    assert row["cumulative_return"] == row["benchmark_cumulative_return"] == pytest.approx(-.295)
+
+
+def test_a_date_without_weights_stays(spark, panel):
+    """Nothing is held on it: compounded returns stay, and it is no period."""
+    weights = spark.createDataFrame(
+        [(day(d), b, None if d == DAYS[1] else .5) for d in DAYS for b in "AB"], "date date, barrid string, weight double")
+    returns = generate_returns_from_weights(weights, panel)
+    got = {str(r["date"]): (r["portfolio_return"], r["status"]) for r in returns.collect()}
+    assert list(sorted(got)) == DAYS[:3] and got[DAYS[1]] == (None, "no_weights")
+    assert got[DAYS[0]] == (pytest.approx(.035), "held")
+    grown = [r["cumulative_return"] for r in cumulative_returns(returns).orderBy("date").collect()]
+    assert grown[1] == pytest.approx(grown[0]) and performance_summary(returns).first()["n_periods"] == 2
