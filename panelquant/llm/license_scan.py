@@ -4,13 +4,15 @@ A text is lower-cased (A-Z) and reduced to its words joined by single spaces, so
 punctuation play no part. A notice may differ from the text by ``edits`` characters put in, left
 out or exchanged. Cut into edits + 1 pieces, at least one piece of a matching notice stands in
 the text unchanged; those pieces are searched for exactly, each hit places a window, and the
-regex library's bounded-error matching verifies the windows and reports the spans.
+regex library's bounded-error matching verifies the windows and reports the spans. Where notices that
+differ in a word or two match at one place, that with the fewest edits for its length stays.
 
 Null texts count as empty; repeated rows are scanned each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
 
 import ahocorasick
@@ -41,6 +43,10 @@ NOTICES = tuple(Notice(label, words, max(1, len(words) // 12)) for label, words
     ("gpl-notice", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("bsd-notice", "redistribution and use in source and binary forms with or without modification"),
     ("cc-by-nc-notice", "licensed under cc by nc 4 0"),
+    ("cc-by-sa-notice", "licensed under cc by sa 4 0"),
+    ("cc-by-nd-notice", "licensed under cc by nd 4 0"),
+    ("cc-by-nc-sa-notice", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd-notice", "licensed under cc by nc nd 4 0"),
     ("cc-by-notice", "licensed under a creative commons attribution 4 0 international license"),
     ("mpl-notice", "subject to the terms of the mozilla public license v 2 0"),
 ))
@@ -54,6 +60,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
+def kept_between(starts: list[int], kept: list, low: int, high: int) -> list:
+    return kept[bisect(starts, low - 1):bisect(starts, high)]
+
+
 class Scanner:
     """Compiled phrases, seeds and patterns; made once per worker."""
 
@@ -73,8 +83,8 @@ class Scanner:
         self.patterns = [regex.compile(f"(?b)({regex.escape(x.words, literal_spaces=True)}){{e<={x.edits}}}")
                          for x in notices]
 
-    def fuzzy(self, joined: str) -> list[tuple[int, int, str, int]]:
-        """start, end (characters of the joined words), label and edits of each notice found."""
+    def fuzzy(self, joined: str) -> list[tuple[int, int, int, int]]:
+        """start, end (characters of the joined words), number and edits of each notice found."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.seeds.iter(joined):
             start = end + 1 - size
@@ -95,9 +105,26 @@ class Scanner:
                 match = self.patterns[n].search(joined, max(low, 0), high)
                 if match and match.start() >= taken:
                     taken = match.end()
-                    found.append((match.start(), match.end(), self.notices[n].label,
-                                  sum(match.fuzzy_counts)))
-        return sorted(found)
+                    found.append((match.start(), match.end(), n, sum(match.fuzzy_counts)))
+        return sorted(self._best(found))
+
+    def share(self, n: int, edits: int) -> float:
+        """Share of a notice's characters that needed no edit."""
+        return 1 - edits / len(self.notices[n].words)
+
+    def _best(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Without matches that lie by more than half under a better one (of equals the longer, then the first)."""
+        kept: list[tuple[int, int, int, int]] = []
+        starts: list[int] = []
+        longest = max((b - a for a, b, _, _ in found), default=0)
+        for a, b, n, edits in sorted(found, key=lambda x: (-self.share(x[2], x[3]), x[0] - x[1], x[2], x[0])):
+            # Only matches that start within the longest one's reach can lie over this one.
+            near = kept_between(starts, kept, a - longest, b)
+            if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for x, y, _, _ in near):
+                at = bisect(starts, a)
+                starts.insert(at, a)
+                kept.insert(at, (a, b, n, edits))
+        return kept
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
@@ -119,13 +146,12 @@ class Scanner:
             out["last_word"] = padded.count(b" ", 0, max(firsts))
         joined = raw.decode()
         spans = self.fuzzy(joined)
-        labels = base | {label for _, _, label, _ in spans}
-        size = {x.label: len(x.words) for x in self.notices}
+        labels = base | {self.notices[n].label for _, _, n, _ in spans}
         out["base_labels"] = ",".join(sorted(base))
         out["labels"] = ",".join(sorted(labels))
-        out["spans"] = [f"{label}:{joined.count(' ', 0, a)}:{joined.count(' ', 0, b) + 1}:{edits}"
-                        for a, b, label, edits in spans]
-        out["score"] = 1.0 if base else max((1 - e / size[x] for _, _, x, e in spans), default=0.0)
+        out["spans"] = [f"{self.notices[n].label}:{joined.count(' ', 0, a)}:{joined.count(' ', 0, b) + 1}:{edits}"
+                        for a, b, n, edits in spans]
+        out["score"] = 1.0 if base else max((self.share(n, e) for _, _, n, e in spans), default=0.0)
         return out
 
 

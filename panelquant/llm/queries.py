@@ -76,7 +76,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join("spans", ","))
 
 
 def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,7 +275,7 @@ def test_pipeline(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == 10
+    assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == 13
 
 
 @pytest.mark.parametrize("place", [0, 31, 63])
@@ -296,3 +296,44 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.fit(docs, none) is None
     assert toxicity.fit(docs, spark.createDataFrame([(5, 0), (6, 0)], "doc_id bigint, toxic int")) is None
     assert toxicity.fit(docs.limit(0), none) is None
+
+
+@pytest.mark.parametrize("text, labels, score", [
+    ("released undor the mit licence", "mit-notice", 1 - 2 / 30),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa-notice", 1.0), ("licensed under cc by nd 4.0.", "cc-by-nd-notice", 1.0),
+    ("licensed under cc by-nc 4.0", "cc-by-nc-notice", 1.0), ("licensed undr cc by nc sa 4.0", "cc-by-nc-sa-notice", 1 - 1 / 30),
+    ("licensed under the gnu general public licence version 3", "gpl-notice", 1 - 1 / 55)])
+def test_fuzzy_notices(text, labels, score):
+    found = license_scan.Scanner(license_scan.NOTICES).scan("some words before. " + text + " and some behind")
+    assert found["labels"] == labels and found["score"] == pytest.approx(score)
+
+
+def test_fuzzy_notices_against_every_window():
+    """Every notice within its bound of edits by plain edit distance is found, and nothing beyond it."""
+    rng = random.Random(6)
+
+    def distance(pattern: str, text: str) -> int:
+        """Fewest edits of the pattern to some part of the text."""
+        row = [0] * (len(text) + 1)
+        for i, p in enumerate(pattern, 1):
+            new = [i]
+            for j, t in enumerate(text, 1):
+                new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    for k in range(40):
+        notice = license_scan.NOTICES[k % len(license_scan.NOTICES)]
+        chars = list(notice.words)
+        for _ in range(rng.randrange(0, notice.edits + 3)):
+            at = rng.randrange(len(chars))
+            chars[at] = rng.choice(["", "x", chars[at] + "q"])
+        text = " ".join(license_scan.words_of(prose(8, k) + " " + "".join(chars) + " " + prose(8, k + 50))
+                        and [w.decode() for w in license_scan.words_of(prose(8, k) + " " + "".join(chars) + " " + prose(8, k + 50))])
+        near = [n for n in license_scan.NOTICES if distance(n.words, text) <= n.edits]
+        found = scanner.scan(text)
+        assert bool(near) == bool(found["spans"])
+        if near:
+            best = max(1 - distance(n.words, text) / len(n.words) for n in near)
+            assert found["score"] in (1.0, pytest.approx(best))
