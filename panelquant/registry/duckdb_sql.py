@@ -150,6 +150,9 @@ pairs AS (
   FROM win x JOIN win y ON x.date = y.date AND x.barrid <= y.barrid
   GROUP BY 1, 2)"""
 
+MEMBER_PAIRS = PAIRS.replace('AND "return" IS NOT NULL', f"""AND "return" IS NOT NULL
+    AND barrid IN (SELECT barrid FROM panel WHERE date = DATE '{LAST_DATE}' AND in_universe)""")
+
 COV_PRODUCTS = BASKET + PAIRS + f""",
 cells AS (
   SELECT asset_i, asset_j, cov / {WEEKS} AS cov FROM pairs
@@ -481,8 +484,8 @@ SQL: dict[str, str] = {
     "tickers_dropped": _select(BASKET, "ticker",
                                "(SELECT ticker FROM held UNION SELECT ticker FROM basket)",
                                "WHERE ticker NOT IN (SELECT ticker FROM ids)"),
-    "pair_covariance": _select(PANEL + PAIRS, f"asset_i, asset_j, n, {_r('cov', 'cov', 4)}", "pairs"),
-    "daily_covariance": _select(PANEL + PAIRS + f""",
+    "pair_covariance": _select(PANEL + MEMBER_PAIRS, f"asset_i, asset_j, n, {_r('cov', 'cov', 4)}", "pairs"),
+    "daily_covariance": _select(PANEL + MEMBER_PAIRS + f""",
         cells AS (SELECT asset_i, asset_j, cov / {WEEKS} AS cov FROM pairs UNION ALL
                   SELECT asset_j, asset_i, cov / {WEEKS} FROM pairs WHERE asset_i <> asset_j)""",
                                 f"asset_i, asset_j, {_r('cov', 'cov', 4)}", "cells"),

@@ -86,7 +86,7 @@ def test_full_run_writes_its_results(spark, panel, tmp_path):
     assert spark.read.parquet(result.paths["alphas"]).count() == 8
     # The only weights are of the last day, which earns nothing any more.
     assert os.path.isdir(result.paths["returns"]) and result.returns.count() == 0
-    assert result.returns.columns == ["date", "portfolio", "portfolio_return", "return"]
+    assert result.returns.columns == ["date", "portfolio", "portfolio_return", "return", "status"]
 
 
 def test_a_run_without_signal_or_data_is_refused(panel, tmp_path):
@@ -181,7 +181,8 @@ def test_the_quality_screen_sorts_once(spark, panel):
     # These write or solve while they are being built; their parts are covered here as well.
     "research_job", "panel_written_and_read", "alphas_written_and_read",
     "summary_written_and_read", "mvo_long_only", "mvo_long_only_budget", "mvo_long_only_check",
-    "mvo_factor", "mvo_factor_budget", "mvo_factor_check", "holdings_csv_preamble",
+    "mvo_factor", "mvo_factor_budget", "mvo_factor_check", "mvo_factor_kkt", "holdings_csv_preamble",
+    "reversal_study_returns", "reversal_study_summary", "panel_validation", "diagnostics_job",
     "holdings_csv_footer", "holdings_json", "pair_covariance", "daily_covariance",
     "portfolio_etf_beta", "asset_beta_vector", "neutral_overlay", "etf_beta_job"}))
 def test_no_cross_joins_and_no_global_windows(spark, name):
