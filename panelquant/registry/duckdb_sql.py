@@ -607,3 +607,11 @@ SQL["panel_validation"] = "WITH " + PANEL + """,
     ('placeholders', 'rows', n), ('placeholders', 'missing', 0), ('placeholders', 'placeholders', dashes),
     ('placeholders', 'ok', 0), ('placeholders', 'null_date', 0), ('placeholders', 'null_barrid', holes),
     ('placeholders', 'null_return', gaps), ('placeholders', 'null_specific_risk', 0)) AS u (panel, "check", value)"""
+SQL["holdings_many_files"] = _select(POSITIONS + """,
+  funds AS (SELECT *, CAST(substr(ticker, 2) AS bigint) % 3 AS k, CAST(shares AS bigint) % 700 AS percent FROM held),
+  rows AS (
+    SELECT kind, concat('F', k) AS fund, DATE '2001-10-27' + CAST(k AS integer) AS as_of, ticker,
+           CAST(floor(market_value) AS double) AS market_value,
+           CASE WHEN kind <> 'json' THEN CAST(percent AS double) / 100 END AS weight
+    FROM funds, (VALUES ('footer'), ('preamble'), ('json')) AS kinds (kind)
+    WHERE kind = 'json' OR percent <> 0)""", "kind, fund, CAST(as_of AS date) AS as_of, ticker, market_value, weight", "rows")

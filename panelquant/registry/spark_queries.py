@@ -619,6 +619,40 @@ def holdings_json(spark, sf_dir):
     return files.read_holdings_json(spark, path, multi_line=False)
 
 
+@query
+def holdings_many_files(spark, sf_dir):
+    """Three funds as CSV with a preamble, as CSV with footer prose and as JSON, each kind in one read."""
+    root = scratch_path(spark, "many")
+    held = written(holdings_weights(supplier_holdings(spark, sf_dir)), "held")
+    number = F.substring("ticker", 2, 19).cast("bigint")
+    value = F.floor("market_value").cast("bigint")
+    percent = (col("shares").cast("bigint") % 700).cast("string")
+    for k in range(3):
+        own, name = held.where(number % 3 == k), f"F{k}_2001-10-{27 + k}"
+        # Every fund has an order of columns of its own.
+        columns = {"Ticker": col("ticker"), "Name": F.lit("x, y"), "Market Value": F.format_number(value, 0),
+                   "Weight (%)": percent, "Price": F.lit("-")}
+        order = [*columns][k:] + [*columns][:k]
+        own.select(*[columns[c].alias(c) for c in order]).write.csv(f"{root}/footer/{name}", header=True, quoteAll=True)
+        spark.range(1).select(F.lit("Holdings change. Ask for the latest, always.").alias("value")).write.mode(
+            "append").text(f"{root}/footer/{name}")
+        columns = {"TICKER": F.concat(col("ticker"), F.lit(" US")), "WEIGHT %": percent,
+                   "MARKET VALUE": F.concat(F.lit("$"), F.format_number(value, 0)), "CUSIP": F.lit("-")}
+        order = [*columns][k:] + [*columns][:k]
+        (own.select(*[columns[c].alias(c) for c in order])
+         .select(F.lit("-").alias("ALL HOLDINGS\r\n(As of 10/29/2001)"), "*")
+         .write.csv(f"{root}/preamble/{name}", header=True, quoteAll=True, escape='"', lineSep="\r\n"))
+        (own.groupBy(F.floor(number / 1000).alias("response"))
+         .agg(F.collect_list(F.struct("ticker", "shares", "price")).alias("holdings"))
+         .select("holdings").write.json(f"{root}/json/{name}"))
+    plain = ["kind", "fund", "as_of", "ticker", "market_value", "weight"]
+    parts = [files.read_many_csv(spark, f"{root}/{kind}/*").withColumn("kind", F.lit(kind)) for kind in ("footer", "preamble")]
+    parts.append(files.read_many_json(spark, f"{root}/json/*", multi_line=False).select(
+        F.lit("json").alias("kind"), "fund", "as_of", "ticker", F.floor(col("shares") * col("price")).cast("double")
+        .alias("market_value"), F.lit(None).cast("double").alias("weight")))
+    return reduce(DataFrame.unionByName, [p.select(*plain) for p in parts])
+
+
 @query
 def ticker_map_join(spark, sf_dir):
     held = holdings_weights(supplier_holdings(spark, sf_dir))

@@ -5,6 +5,8 @@ Such a file describes one fund and is small; many files are read in parallel.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelquant.functions.columns import col, parse_number, strip_suffix
@@ -73,3 +75,62 @@ def read_holdings_json(spark: SparkSession, path: str, multi_line: bool = True)
     schema = "holdings array<struct<ticker: string, shares: double, price: double>>"
     return (spark.read.schema(schema).json(path, multiLine=multi_line)
             .select(F.explode("holdings").alias("h")).select("h.*"))
+
+
+# --- many files in one read --------------------------------------------------------------------
+
+#: Fund and date in a file's name, or in that of the folder that holds its parts: ``FUND_2001-10-29``.
+_FUND_AND_DATE = r"/([^/]+)_(\d{4}-\d{2}-\d{2})(?:\.[A-Za-z]+)?(?:/[^/]*)?$"
+#: Names in a header by which columns are known, in lower case.
+HEADER_NAMES = {
+    "ticker": ("ticker", "symbol"),
+    "market_value": ("market value", "market", "notional value"),
+    "weight_percent": ("weight (%)", "weight %", "weight"),
+}
+
+
+def fund_and_date() -> list[Column]:
+    """``fund`` and ``as_of`` of the file a row comes from; NULL where its path does not tell them."""
+    path = F.col("_metadata.file_path")
+    found = [F.nullif(F.regexp_extract(path, _FUND_AND_DATE, k), F.lit("")) for k in (1, 2)]
+    return [found[0].alias("fund"), found[1].try_cast("date").alias("as_of")]
+
+
+def read_many_csv(spark: SparkSession, path: str, names: dict[str, tuple[str, ...]] | None = None,
+                  width: int = 32) -> DataFrame:
+    """``fund, as_of, ticker, market_value, weight`` from any number of CSV files, each with a header of its own.
+
+    A file's header is the record that names every wanted column; what stands before it or has no weight
+    behind it is left out, and columns are taken by the header's order. So files of several funds and layouts
+    need one read. Files without such a record give no rows.
+    """
+    names = names or HEADER_NAMES
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    raw = spark.read.csv(path, schema=schema, header=False, multiLine=True, quote='"', escape='"')
+    cells = F.transform(F.array(*[f"c{k}" for k in range(width)]),
+                        lambda x: F.trim(F.regexp_replace(x, "[\r﻿]", "")))
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), *fund_and_date(), cells.alias("cells"))
+
+    def place(known: tuple[str, ...]) -> Column:
+        lowered = F.transform("cells", F.lower)
+        return F.coalesce(*[F.nullif(F.array_position(lowered, F.lit(x)), F.lit(0)) for x in known])
+
+    placed = rows.withColumns({f"at_{name}": place(known).cast("int") for name, known in names.items()})
+    header = reduce(lambda a, b: a & b, [col(f"at_{name}").isNotNull() for name in names])
+    places = F.struct(*[f"at_{name}" for name in names])
+    # One row per file.
+    headers = placed.where(header).groupBy("file").agg(F.min(places).alias("places"))
+    found = placed.where(~header).join(headers, "file").select(
+        "fund", "as_of", *[F.get("cells", F.col(f"places.at_{name}") - 1).alias(name) for name in names])
+    cash = F.coalesce(col("ticker").rlike("^[A-Z]{3}$") & (col("weight") < 0), F.lit(False))
+    weighed = found.withColumn("weight", _weight(col("weight_percent")))
+    return (weighed.where(col("weight").isNotNull() & ~F.isnan("weight") & (col("weight") != 0))
+            .withColumn("ticker", strip_suffix("ticker")).where((col("ticker") != "") & ~cash)
+            .select("fund", "as_of", "ticker", parse_number("market_value").alias("market_value"), "weight"))
+
+
+def read_many_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``fund, as_of, ticker, shares, price`` from any number of responses."""
+    schema = "holdings array<struct<ticker: string, shares: double, price: double>>"
+    return (spark.read.schema(schema).json(path, multiLine=multi_line)
+            .select(*fund_and_date(), F.explode("holdings").alias("h")).select("fund", "as_of", "h.*"))

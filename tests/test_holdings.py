@@ -11,8 +11,8 @@ from panelquant.operators.covariance import (asset_beta, both_triangles, covaria
 from panelquant.operators.holdings import (align_weights, dropped_tickers, holdings_weights,
                                            last_by_key, map_tickers, ticker_union)
 from panelquant.plans.etf_beta import etf_beta
-from panelquant.sources.holdings_files import (read_footer_csv, read_holdings_json,
-                                               read_preamble_csv)
+from panelquant.sources.holdings_files import (read_footer_csv, read_holdings_json, read_many_csv,
+                                               read_many_json, read_preamble_csv)
 from tests.conftest import day
 
 PREAMBLE = (
@@ -194,3 +194,23 @@ def test_the_whole_beta_job(spark, ids):
         dict(zip(["US1", "US2", "US3"], wp - beta * we)))
     assert [r["ticker"] for r in tables["dropped"].collect()] == ["ZZZ"]
     assert tables["asset_beta"].count() == 3
+
+
+def test_many_files_with_headers_of_their_own(spark, tmp_path):
+    """Funds and dates come from the names; a file without a header, or without a date, is told apart."""
+    (tmp_path / "AAA_2023-01-02.csv").write_bytes(PREAMBLE.encode())
+    (tmp_path / "BBB_2023-01-03.csv").write_text(FOOTER)
+    (tmp_path / "CCC_2023-01-04.csv").write_text("Fund C\nas of today\nWeight,Name,Symbol,Market Value\n40,x,ONE,$4\n60,y,TWO,$6\n")
+    (tmp_path / "none_2023-01-05.csv").write_text("1,2,3\n")
+    (tmp_path / "undated.csv").write_text("Ticker,Weight,Market Value\nTHR,100,1\n")
+    got = {(r["fund"], str(r["as_of"]), r["ticker"]): (r["market_value"], r["weight"])
+           for r in read_many_csv(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "CCC"} == {
+        ("CCC", "2023-01-04", "ONE"): (4.0, .4), ("CCC", "2023-01-04", "TWO"): (6.0, .6)}
+    assert got["BBB", "2023-01-03", "ALP"] == (1000.0, .605) and got[None, "None", "THR"] == (1.0, 1.0)
+    assert {k[2] for k in got if k[0] == "BBB"} == {"ALP"} and not any(k[0] == "none" for k in got)
+    for k in (1, 2):
+        (tmp_path / f"J{k}_2023-02-0{k}.json").write_text(json.dumps({"holdings": [{"ticker": f"T{k}", "shares": k, "price": 2}]}))
+    rows = read_many_json(spark, str(tmp_path / "*.json")).collect()
+    assert sorted((r["fund"], str(r["as_of"]), r["ticker"], r["shares"]) for r in rows) == [
+        ("J1", "2023-02-01", "T1", 1.0), ("J2", "2023-02-02", "T2", 2.0)]
