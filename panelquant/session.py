@@ -87,6 +87,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "panelquant", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "panelquant", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, in this application's part."""
+    return os.path.join(_scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes what this application has written below the shared folder; frames read from it end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

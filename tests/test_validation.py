@@ -12,6 +12,7 @@ from panelquant.operators import rolling
 from panelquant.operators.signals import compute_alphas
 from panelquant.operators.validation import observed, report
 from panelquant.sources.panel import read_by_asset, write_by_asset
+from panelquant.session import remove_scratch, scratch_path, written
 from tests.conftest import day
 
 SCHEMA = "date date, barrid string, `return` double, specific_risk double"
@@ -89,7 +90,15 @@ def test_chunked_windows_equal_plain_ones(spark, chunk_rows):
     made = rolling.chunked(df, spec, chunk_rows)
     assert made.columns == plain.columns
     assert sorted(map(repr, made.collect())) == sorted(map(repr, plain.collect()))
-    most = (made.sparkSession.createDataFrame(rows, SCHEMA).where("barrid = 'LONG'").count())
-    assert most == 1500
     with pytest.raises(ValueError, match="too short"):
         rolling.chunked(df, spec, 6)
+
+
+def test_scratch_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("panelquant.session.shared_dir", lambda _: str(tmp_path))
+    assert written(spark.range(3), "numbers").count() == 3
+    other = tmp_path / "panelquant" / "another-application"
+    other.mkdir()
+    assert scratch_path(spark, "x").startswith(str(tmp_path)) and len(list((tmp_path / "panelquant").iterdir())) == 2
+    remove_scratch(spark)
+    assert [p.name for p in (tmp_path / "panelquant").iterdir()] == ["another-application"]
