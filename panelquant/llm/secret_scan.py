@@ -50,13 +50,26 @@ CLASSES = (
     CharacterClass("hexadecimal", "[0-9a-fA-F]{24,}", 24, 3.0, ("[0-9]", "[a-fA-F]")),
     CharacterClass("base64", "[A-Za-z0-9+/_-]{20,}", 20, 3.8, ("[0-9]", "[A-Za-z]")),
 )
-#: Candidates that are never secrets.
+#: Candidates that are, as a whole, never secrets: identifiers of words with a short number behind, and
+#: groups that are each a word or a number.
 ALLOW = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{0,6}$",
-    r"^[a-z0-9]{1,12}(?:[-_/][a-z0-9]{1,12})+$",
-    r"(?i)example|placeholder|changeme|abcdefgh|12345678|xxxx|0000",
+    r"^(?:[a-z]{1,24}|[0-9]{1,12})(?:[-_/](?:[a-z]{1,24}|[0-9]{1,12}))+$",
 )
+#: Parts of a candidate that are no part of a secret, and their lengths. They count as one repeated character, so
+#: windows over them have little entropy, while a secret beside them is found as if it stood alone.
+ALLOWED_PARTS = (
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", 36),
+    *((f"(?i){word}", len(word)) for word in (
+        "placeholder", "changeme", "abcdefgh", "12345678", "example", "xxxx", "0000")),
+)
+
+
+def masked(found: str, parts: tuple[tuple[str, int], ...]) -> str:
+    """SQL of ``found`` with every allowed part replaced by as many hyphens."""
+    for pattern, length in parts:
+        found = f"regexp_replace({found}, {_quoted(pattern)}, '{'-' * length}')"
+    return found
 
 
 def _quoted(pattern: str) -> str:
@@ -77,11 +90,11 @@ def _spans(found: str, pieces: str, kind: str, rank: int) -> str:
       ELSE CAST(array() AS array<struct<start: bigint, rank: int, kind: string, end: bigint, found: string>>) END"""
 
 
-def _windows(cls: CharacterClass, span: str) -> str:
+def _windows(cls: CharacterClass, span: str, parts: tuple[tuple[str, int], ...]) -> str:
     """Merged windows of one candidate span whose entropy is high enough."""
     w = cls.window
     table = ", ".join(f"{round(n * math.log2(n) * UNIT) if n else 0}L" for n in range(w + 1))
-    codes = f"transform(regexp_extract_all({span}.found, '.', 0), x -> ascii(x))"
+    codes = f"transform(regexp_extract_all({masked(span + '.found', parts)}, '.', 0), x -> ascii(x))"
     return f"""
       aggregate(
         transform(array(named_struct('codes', {codes}, 'f', array({table}))), v -> v),
@@ -109,11 +122,13 @@ def _windows(cls: CharacterClass, span: str) -> str:
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
          classes: tuple[CharacterClass, ...] = CLASSES,
-         allow: tuple[str, ...] = ALLOW) -> DataFrame:
+         allow: tuple[str, ...] = ALLOW,
+         parts: tuple[tuple[str, int], ...] = ALLOWED_PARTS) -> DataFrame:
     """``id_column``, ``text`` (null as empty), and ``base`` and ``added``: arrays of spans.
 
     A span has start, rank, kind, end and the string found. ``added`` holds spans of kind
-    "entropy" that touch no base span. Empty tables give empty results.
+    "entropy" that touch no base span. The allow-list suppresses candidates that match a pattern of ``allow`` as a
+    whole, and the ``parts`` of others alone. Empty tables give empty results.
     """
     frame = docs.select(F.col(id_column).alias("id"),
                         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -136,7 +151,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             + [f"NOT x.found RLIKE {_quoted(p)}" for p in allow]) + f") AS s_c{i}"
           for i, c in enumerate(classes)))
     added = ", ".join(
-        f"flatten(transform(s_c{i}, x -> transform({_windows(c, 'x')}, w -> named_struct("
+        f"flatten(transform(s_c{i}, x -> transform({_windows(c, 'x', parts)}, w -> named_struct("
         "'start', x.start + w.start, 'rank', 4, 'kind', 'entropy', 'end', x.start + w.end, "
         "'found', substring(x.found, CAST(w.start + 1 AS int), CAST(w.end - w.start AS int))))))"
         for i, c in enumerate(classes))

@@ -24,7 +24,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, str, int]]:
     return sorted(found)
 
 
-def entropy_spans(text: str | None, classes, allow) -> list[tuple[int, int, str, int]]:
+def entropy_spans(text: str | None, classes, allow, parts) -> list[tuple[int, int, str, int]]:
     """The added spans, each window's entropy counted anew."""
     base, found = base_spans(text), set()
     for cls in classes:
@@ -32,6 +32,8 @@ def entropy_spans(text: str | None, classes, allow) -> list[tuple[int, int, str,
             run = m[0]
             if not all(re.search(p, run) for p in cls.needs) or any(re.search(p, run) for p in allow):
                 continue
+            for pattern, _ in parts:
+                run = re.sub(pattern, lambda m: "-" * len(m[0]), run)
             merged: list[list[int]] = []
             for i in range(len(run) - cls.window + 1):
                 counts = Counter(run[i:i + cls.window])

@@ -74,7 +74,7 @@ def test_secret_scan(docs, texts):
     found = by_id(secret_scan.scan(docs).select("doc_id", secret_scan.digest("base").alias("b"),
                                                 secret_scan.digest("added").alias("a")), "b", "a")
     for i, text in texts.items():
-        added = brute.entropy_spans(text, secret_scan.CLASSES, secret_scan.ALLOW)
+        added = brute.entropy_spans(text, secret_scan.CLASSES, secret_scan.ALLOW, secret_scan.ALLOWED_PARTS)
         assert found[i] == (brute.joined(brute.base_spans(text)), brute.joined(added)), i
     assert "entropy" in found[14][1] and found[13][0].startswith("assign:0:")
 
@@ -337,3 +337,22 @@ def test_fuzzy_notices_against_every_window():
         if near:
             best = max(1 - distance(n.words, text) / len(n.words) for n in near)
             assert found["score"] in (1.0, pytest.approx(best))
+
+
+KEY = "Zk9fQ2mX7vLpT4bR8sWc1ABu"
+
+
+def test_allowed_parts_hide_no_secret_beside_them(spark):
+    """A secret joined to an allowed word, or in short groups, is found; allowed strings alone are not."""
+    secrets = [KEY, f"example/{KEY}", f"{KEY}_placeholder", KEY[:12] + "0000" + KEY + "xxxx", "x7k2q9m4-zt81vb60p-3q9wl5k2x-8n1c4r7",
+               f"123e4567-e89b-12d3-a456-426614174000/{KEY}"]
+    plain = ["123e4567-e89b-12d3-a456-426614174000", "some-long-identifier-of-words-2024", "path/to/example/placeholder/12345678",
+             "release-2024-10-notes-and-more-words", "0000000000000000000000000000", "AnotherVeryLongCamelCaseName123456"]
+    texts = [f"key {x} end" for x in (*secrets, *plain)]
+    found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.added] for r in found.collect()}
+    for i, text in enumerate(texts):
+        want = brute.entropy_spans(text, secret_scan.CLASSES, secret_scan.ALLOW, secret_scan.ALLOWED_PARTS)
+        assert got[i] == [text[a:b] for a, _, _, b in want], text
+        assert bool(got[i]) == (i < len(secrets)), text
+    assert all(KEY in "".join(got[i]) for i in (0, 1, 2, 3, 5))
