@@ -34,7 +34,7 @@ from panelquant.llm.common import ROWS_AT_ONCE, Recent, by_size, gathered, objec
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: Bytes of pre-tokens and their ids in each of the two generations that a worker remembers.
-MOST_REMEMBERED = 96 << 20
+MOST_REMEMBERED = 48 << 20
 #: Bytes of text whose pre-tokens are held as Python objects at once.
 TEXT_AT_ONCE = 2 << 20
 
