@@ -531,6 +531,7 @@ SQL["research_job"] = _select(
     FULL_BETA_WEIGHTS.replace('WHERE ' + USA, 'WHERE in_universe AND price >= 50 AND ' + USA)
     + _RETURNS.format(source="(SELECT * FROM dec WHERE in_universe) whole"),
     _RETURN_COLUMNS.format(name="str_22"), "returns", "WHERE portfolio_return IS NOT NULL")
+SQL["research_job_in_parts"] = SQL["research_job"]
 SQL["diagnostics_job"] = _select(
     BUDGET_WEIGHTS + _RETURNS.format(source="dec") + f""",
     paid AS (SELECT * FROM returns WHERE portfolio_return IS NOT NULL),

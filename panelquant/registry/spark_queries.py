@@ -23,6 +23,7 @@ from panelquant.operators.signals import (compute_alphas, compute_cost, compute_
                                           compute_price_impact, compute_return_vol, compute_str)
 from panelquant.plans import diagnostics as diag
 from panelquant.plans.etf_beta import etf_beta
+from panelquant.plans.incremental import run_incremental
 from panelquant.plans.quality import quality_screen
 from panelquant.plans.research import load_panel, run_pipeline
 from panelquant.plans.reversal_study import reversal_study
@@ -37,6 +38,8 @@ QUERIES: dict[str, Query] = {}
 
 FIRST_DATE, LAST_DATE = "1995-01-02", "2001-10-29"
 COVARIANCE_DAYS, WEEKS = 364, 52
+#: Last dates of the runs of a study done in parts.
+PART_ENDS = ("1997-08-04", "1997-12-30", LAST_DATE)
 #: Buckets of the tables by asset that the queries write.
 BUCKETS = 8
 REVERSAL = {"name": "str", "type": "str", "window_size": 22}
@@ -795,6 +798,18 @@ def research_job(spark, sf_dir):
     return _rounded_returns(run_pipeline(spark, config, "str_22").returns)
 
 
+@query
+def research_job_in_parts(spark, sf_dir):
+    """As ``research_job``, in three runs that each read their own dates and the state of the run before."""
+    root = scratch_path(spark, "parts")
+    write_by_year(weekly_panel(spark, sf_dir), f"{root}/panel")
+    for end in PART_ENDS:
+        config = {**CONFIG, "output": {"results_path": f"{root}/results"}}
+        config["data_loading"] = {**config["data_loading"], "path": f"{root}/panel", "end_date": end}
+        result = run_incremental(spark, config, "str_22")
+    return _rounded_returns(result.returns)
+
+
 @query
 def diagnostics_job(spark, sf_dir):
     """All values of all diagnostic tables: table, key, measure, value."""

@@ -98,5 +98,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Removes what this application has written below the shared folder; frames read from it end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = filesystem(spark, _scratch_folder(spark))
+    fs.delete(path, True)
+
+
+def filesystem(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system that holds ``path``, and ``path`` as it takes it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

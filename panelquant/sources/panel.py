@@ -81,8 +81,8 @@ def parse_date(text: str | dt.date) -> dt.date:
     return dt.datetime.strptime(text, "%Y-%m-%d").date() if isinstance(text, str) else text
 
 
-def write_by_year(df: DataFrame, path: str) -> None:
-    """Overwrites ``path`` with one folder per year.
+def write_by_year(df: DataFrame, path: str, only_years: bool = False) -> None:
+    """Overwrites ``path`` with one folder per year; with ``only_years`` just the years that ``df`` has rows of.
 
     Rows are rebalanced by year: the adaptive planner splits years that are large and merges
     small ones, so files have a sensible size at any scale and no task writes a whole large year.
@@ -90,8 +90,8 @@ def write_by_year(df: DataFrame, path: str) -> None:
     """
     dated = df.withColumn("year", F.year("date")).hint("rebalance", col("year"))
     order = [c for c in ("year", "barrid", "date") if c in dated.columns]
-    (dated.sortWithinPartitions(*order)
-     .write.mode("overwrite").partitionBy("year").parquet(path))
+    (dated.sortWithinPartitions(*order).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic" if only_years else "static").partitionBy("year").parquet(path))
 
 
 def write_table(df: DataFrame, path: str) -> None:
