@@ -21,6 +21,8 @@ an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,8 +44,21 @@ STAR_ROUNDS = 2
 assert ROWS == 4  # four components of 16 bits each are compared as one number
 #: Documents of one band that a task compares with as many others.
 BLOCK = 512
-#: Components in which a pair agrees at least: four standard deviations below SIMILARITY.
-LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
+
+
+def least_agreement(similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> int:
+    """Components in which a pair of this similarity agrees, but for a chance no greater than that of
+    sharing no band at all."""
+    m, count, tail = bands * rows, 0, 0.0
+    missed = (1 - similarity ** rows) ** bands
+    while True:
+        tail += math.comb(m, count) * similarity ** count * (1 - similarity) ** (m - count)
+        if tail > missed:
+            return count
+        count += 1
+
+
+LEAST_AGREEMENT = least_agreement()
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -224,8 +239,8 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     pairs = []
     for a in left.tolist():
         b = right[(group[right] != group[a]) & (~rest[right] | (ids[right] > ids[a]))]
-        # But for one in thirty thousand, no pair of the least similarity agrees in fewer components.
-        agree = (signed[b] == signed[a]).mean(1)
+        # A pair of the least similarity agrees in fewer as rarely as it shares no band.
+        agree = (signed[b] == signed[a]).sum(1)
         b, agree = b[agree >= LEAST_AGREEMENT], agree[agree >= LEAST_AGREEMENT]
         # Of the bands that two documents share, the first compares them.
         first = (bands[b] == bands[a]).argmax(1)
@@ -262,8 +277,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, each id once; null ids all stay."""
+    """The rows of ``docs`` whose id is the least of its group, each text of an id once; null ids all stay."""
     gone = groups(docs).where("id != component").select(F.col("id").alias("doc_id"))
     known = docs.where("doc_id IS NOT NULL")
-    return known.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(
+    return known.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(
         docs.where("doc_id IS NULL"))

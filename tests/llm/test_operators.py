@@ -4,6 +4,7 @@ empty tables and clashing columns."""
 from __future__ import annotations
 
 import base64
+import math
 import random
 import zlib
 
@@ -239,6 +240,22 @@ def test_bag_minhash(docs):
     assert kept == sorted(i for i, c in want.items() if i == c)
 
 
+def test_bag_minhash_agreement_bound():
+    # Losing a borderline pair by too few equal components is no likelier than by sharing no band.
+    m, s, least = bag_minhash.BANDS * bag_minhash.ROWS, bag_minhash.SIMILARITY, bag_minhash.LEAST_AGREEMENT
+    def below(n):
+        return sum(math.comb(m, k) * s ** k * (1 - s) ** (m - k) for k in range(n))
+    assert below(least) <= (1 - s ** bag_minhash.ROWS) ** bag_minhash.BANDS < below(least + 1)
+
+
+def test_keep_one_keeps_all_texts_of_an_id(spark):
+    rows = [(1, "one two three four five six"), (1, "quite another text of the same id"),
+            (1, "one two three four five six"), (2, "one two three four five six"), (None, "null id"), (None, "null id")]
+    kept = bag_minhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        [rows[0], rows[1], rows[4], rows[5]], key=str)
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(1)
     errors = []
