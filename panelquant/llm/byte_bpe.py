@@ -17,6 +17,8 @@ through whatever their names.
 from __future__ import annotations
 
 import base64
+import functools
+import itertools
 from array import array
 from collections.abc import Iterator
 
@@ -34,9 +36,11 @@ from panelquant.llm.common import ROWS_AT_ONCE, Recent, by_size, gathered, objec
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: Bytes of pre-tokens and their ids in each of the two generations that a worker remembers.
-MOST_REMEMBERED = 48 << 20
+MOST_REMEMBERED = 32 << 20
 #: Bytes of text whose pre-tokens are held as Python objects at once.
 TEXT_AT_ONCE = 2 << 20
+#: Pre-tokens of a long text that are turned into ids at once.
+TOKENS_AT_ONCE = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,11 +59,6 @@ class Encoder:
         # Splits nothing, so that a pre-token is merged as it is.
         self.library = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.remembered = Recent(self.merge, MOST_REMEMBERED)
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.lengths[list(ranks.values())] = list(map(len, ranks))
-        self.ends = np.cumsum(self.lengths)
-        by_rank = dict(sorted((rank, token) for token, rank in ranks.items()))
-        self.bytes = np.frombuffer(b"".join(by_rank.values()), np.uint8)
 
     def merge(self, pieces: list[str]) -> list[bytes]:
         encode = self.library.encode_ordinary
@@ -72,6 +71,18 @@ class Encoder:
         edges = np.cumsum([0, *map(len, texts)])
         return _binary(ids.astype("<u4"), np.concatenate([[0], ends])[edges] * 4)
 
+
+class Decoder:
+    """The tokens' bytes one behind the other, without what encoding needs."""
+
+    def __init__(self, path: str) -> None:
+        ranks = read_ranks(path)
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
+        self.ends = np.cumsum(self.lengths)
+        by_rank = dict(sorted((rank, token) for token, rank in ranks.items()))
+        self.bytes = np.frombuffer(b"".join(by_rank.values()), np.uint8)
+
     def raw(self, ids: pa.Array) -> pa.Array:
         """Bytes of every list of ids, nulls as empty."""
         ids = pc.fill_null(ids.cast(pa.large_binary()), b"")
@@ -97,13 +108,15 @@ def trusted(pattern: regex.Pattern, text: str, last: bool) -> list[str]:
     return found
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+# Once per worker process; a worker builds only the one that its step needs.
+@functools.cache
+def _encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+@functools.cache
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def stitch(parts: list[tuple[str, list[str]]], pattern: regex.Pattern, chunk: int) -> Iterator[str]:
@@ -177,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
                         T.StructField("lengths", T.ArrayType(T.IntegerType()))])
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = _encoder(path, pattern).pattern
+        compiled = regex.compile(pattern)
         for batch in batches:
             lengths = [list(map(len, trusted(compiled, t, last))) for t, last in zip(
                 batch.column("text").to_pylist(), batch.column("last").to_pylist(), strict=True)]
@@ -196,8 +209,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
                 tokens.append(text[at:at + n])
                 at += n
             parts.append((text, tokens))
-        ids = encoder.ids([list(stitch(parts, encoder.pattern, chunk))])
-        return pa.table([table.column("key").slice(0, 1), ids], names=["key", "ids"])
+        tokens = itertools.batched(stitch(parts, encoder.pattern, chunk), TOKENS_AT_ONCE)
+        ids = b"".join(encoder.ids([list(some)])[0].as_py() for some in tokens)
+        return pa.table([table.column("key").slice(0, 1), pa.array([ids], pa.binary())], names=["key", "ids"])
 
     # monotonically_increasing_id() only has to tell rows apart within the shuffle that it enters.
     dealt = long.repartition(F.col("same"), F.col("part"))
@@ -211,11 +225,11 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        decoder = _decoder(path)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)
-                raw = pc.if_else(pc.is_valid(part.column(at)), encoder.raw(part.column(at)), None)
+                raw = pc.if_else(pc.is_valid(part.column(at)), decoder.raw(part.column(at)), None)
                 yield pa.RecordBatch.from_arrays([*part.columns, raw], schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -151,7 +151,8 @@ def test_mixing(docs, texts):
     assert mixing.copies(docs).columns == docs.columns
 
 
-def test_byte_bpe(docs, texts):
+def test_byte_bpe(docs, texts, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "TOKENS_AT_ONCE", 100)
     path, pattern = queries.vocabulary()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
