@@ -214,3 +214,16 @@ def test_many_files_with_headers_of_their_own(spark, tmp_path):
     rows = read_many_json(spark, str(tmp_path / "*.json")).collect()
     assert sorted((r["fund"], str(r["as_of"]), r["ticker"], r["shares"]) for r in rows) == [
         ("J1", "2023-02-01", "T1", 1.0), ("J2", "2023-02-02", "T2", 2.0)]
+
+
+@pytest.mark.parametrize("name, side", [("pair_covariance", "upper"), ("daily_covariance", "both")])
+def test_covariance_queries_have_every_pair_of_the_window(spark, name, side):
+    from panelquant.registry import spark_queries as registry
+    data = "/root/testdata/sf0.001"
+    held = [(r["barrid"], r["date"]) for r in registry.window_returns(spark, data).collect()]
+    days = {}
+    for asset, date in held:
+        days.setdefault(asset, set()).add(date)
+    want = {(a, b) for a in days for b in days if days[a] & days[b] and (side == "both" or a <= b)}
+    got = [(r["asset_i"], r["asset_j"]) for r in registry.QUERIES[name](spark, data).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
