@@ -216,6 +216,18 @@ def test_many_files_with_headers_of_their_own(spark, tmp_path):
         ("J1", "2023-02-01", "T1", 1.0), ("J2", "2023-02-02", "T2", 2.0)]
 
 
+def test_covariance_moves_every_return_once(spark):
+    # Packed by block, then each block to the tasks that multiply it: no row goes to every pair of blocks.
+    rows = spark.range(64).crossJoin(spark.range(20).withColumnRenamed("id", "t")).selectExpr(
+        "concat('US', id) AS barrid", "date_add(DATE '2023-01-02', int(t)) AS date", "pmod(hash(id, t), 1000) / 100D AS `return`")
+    table = construct_covariance_matrix(rows, 252, 16)
+    text = table._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in text and "CartesianProduct" in text
+    assert table.count() == 64 * 65 // 2
+    every = sum(r["n"] for r in table.collect())
+    assert every == 64 * 65 // 2 * 20
+
+
 @pytest.mark.parametrize("name, side", [("pair_covariance", "upper"), ("daily_covariance", "both")])
 def test_covariance_queries_have_every_pair_of_the_window(spark, name, side):
     from panelquant.registry import spark_queries as registry
