@@ -8,7 +8,9 @@ S is diagonal (squared specific risk) plus, optionally, a factor part X F X'. Tw
   forms, for its rows of each date, the sums at several trial multipliers as matrix products; the partial sums
   of a date are added up and its next trials chosen in one task. So no date is ever gathered,
   however many assets it has, and a rejected step costs no round. The first trial of a date is the solution
-  for a bounded sample of its rows; it is exact for dates no larger than that.
+  for a bounded sample of its rows; it is exact for dates no larger than that. With LongOnly each task
+  also hands over the rows nearest to being bought or sold, a bounded number of them; the problem in which only
+  those change sides is solved where the sums are added up, and its solution is one of the next trials.
 
 Dual in words: with u the multipliers and z the asset's constraint and factor coefficients, the
 weight is w = d * max(alpha - z.u, 0) (no max without LongOnly) where d = 1 / (gamma * risk^2).
@@ -39,6 +41,8 @@ TOLERANCE = 1e-10
 MAX_STEPS = 300
 #: Rows of a date that its first trial is found from.
 SAMPLE_ROWS = 512
+#: Rows of a date nearest to being sold, and nearest to being bought, that a task hands over.
+NEAR_ROWS, NEAR_STEPS = 1024, 60
 #: Damping of the first step and least damping: the share of the curvature of all assets that is added to
 #: that of the held ones. In a round it is tried in several strengths around that of the best step before.
 DAMPING_START, DAMPING_FLOOR = 1e-3, 1e-14
@@ -141,6 +145,14 @@ class Sums:
     def __add__(self, other: Sums) -> Sums:
         return Sums(self.value + other.value, self.gap + other.gap, self.curvature + other.curvature)
 
+    def __sub__(self, other: Sums) -> Sums:
+        return Sums(self.value - other.value, self.gap - other.gap, self.curvature - other.curvature)
+
+    def moved(self, by: np.ndarray) -> Sums:
+        """The same at multipliers further ``by``, the same assets being held."""
+        change = self.curvature @ by
+        return Sums(self.value - by @ self.gap + by @ change / 2, self.gap - change, self.curvature)
+
     def turned(self, root: np.ndarray) -> Sums:
         """The same for multipliers v with u = root v."""
         return Sums(self.value, root.T @ self.gap, root.T @ self.curvature @ root)
@@ -149,7 +161,8 @@ class Sums:
 @dataclass(frozen=True)
 class Search:
     """One date's search: ``trials`` to evaluate, the first being the best so far; ``points`` are the
-    same in the rows' coordinates. A finished search has a status, and its only trial is the solution."""
+    same in the rows' coordinates, and rows near ``center``, one of them, are handed over. A finished search has
+    a status, and its only trial is the solution."""
 
     trials: tuple[np.ndarray, ...]
     points: tuple[np.ndarray, ...]
@@ -158,6 +171,7 @@ class Search:
     damping: float = DAMPING_START
     steps: int = 0
     edge: bool = False
+    center: int = 0
     status: str | None = None
 
     def at(self, root: np.ndarray, trials: Iterable[np.ndarray], **changes) -> Search:
@@ -251,7 +265,7 @@ class Problem:
         # curvature of all assets; by a much larger one where no step has got on.
         damping = search.damping
         if len(search.trials) > 1:
-            damping *= 1e5 if best == 0 else ([*STRENGTHS, *(STRENGTHS[0] for _ in PARTS)])[best - 1]
+            damping *= 1e5 if best == 0 else ([*STRENGTHS, *(STRENGTHS[0] for _ in PARTS), STRENGTHS[0]])[best - 1]
         damping = max(damping, DAMPING_FLOOR)
         spread = np.diag(search.spread)
         steps = [_step(curvature, damping * x * spread, gap, free) for x in STRENGTHS]
@@ -259,6 +273,25 @@ class Problem:
         return search.at(root, [u, *(u + step for step in steps), *(u + part * whole for part in PARTS)], free=free,
                          damping=damping, steps=search.steps + 1)
 
+    def near(self, search: Search, sums: Sequence[Sums], rows: np.ndarray, following: Search,
+             root: np.ndarray) -> Search:
+        """``following``, what ``advance`` made of ``search``, with one more trial: the solution if of all assets
+        only ``rows`` (z, alpha, d) changed sides from where they are at the centre."""
+        z, alpha, d = rows[:, :self.size], rows[:, -2], rows[:, -1]
+        center = search.points[search.center]
+        fixed = sums[search.center] - Sums.over(z, alpha, d, center, False)
+        inner, problem = search.at(root, [search.trials[search.center]], steps=0, damping=DAMPING_START), replace(
+            self, most_steps=NEAR_STEPS)
+        while inner.status is None:
+            inner = problem.advance(inner, [fixed.moved(u - center) + Sums.over(z, alpha, d, u, False)
+                                            for u in inner.points], root)
+        found = inner.trials[0]
+        if not np.isfinite(found).all():
+            return following
+        # Where the centre was the best, the next is the new trial; otherwise it is the best.
+        kept = np.array_equal(following.trials[0], search.trials[search.center])
+        return following.at(root, [*following.trials, found], center=len(following.trials) if kept else 0)
+
     def solve(self, z: np.ndarray, alpha: np.ndarray, d: np.ndarray, root: np.ndarray,
               edge: bool = False) -> Search:
         """A finished search over rows at hand."""
@@ -368,7 +401,11 @@ def _first(problem: Problem, rows: DataFrame, roots: DataFrame | None) -> dict:
     order = Window.partitionBy("date").orderBy(F.xxhash64("barrid"), "barrid")
     # A salt keeps a large date's rows from being ranked in one task.
     salted = Window.partitionBy("date", "salt").orderBy(F.xxhash64("barrid"), "barrid")
-    sample = rows.withColumn("salt", F.expr("pmod(xxhash64(barrid, 1), 64)")).withColumn(
+    # Only rows that can be among the first by their hash are ranked, twice as many as wanted.
+    hashed = F.xxhash64("barrid").cast("double") / 2.0 ** 63
+    likely = join_by_date(rows, ranges.select("date", "n"), "inner").where(
+        (col("n") <= 4 * SAMPLE_ROWS) | (hashed < 4.0 * SAMPLE_ROWS / col("n") - 1)).drop("n")
+    sample = likely.withColumn("salt", F.expr("pmod(xxhash64(barrid, 1), 64)")).withColumn(
         "k", F.row_number().over(salted)).where(col("k") <= SAMPLE_ROWS).withColumn(
         "k", F.row_number().over(order)).where(col("k") <= SAMPLE_ROWS)
 
@@ -401,13 +438,20 @@ def _solve(problem: Problem, rows: DataFrame, roots: DataFrame | None) -> dict:
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The sums of this task's rows, one row per date; rows come by date, so one date is held."""
-            current, held = None, None
+            current, held, close = None, None, None
+
+            def nearest(found: np.ndarray) -> np.ndarray:
+                """Of rows led by their gain per z, the nearest on either side."""
+                sides = [side if len(side) <= NEAR_ROWS else
+                         side[np.argpartition(np.abs(side[:, 0]), NEAR_ROWS)[:NEAR_ROWS]]
+                         for side in (found[found[:, 0] > 0], found[found[:, 0] <= 0])]
+                return np.concatenate(sides)
 
             def record() -> pa.RecordBatch:
                 flat = [np.concatenate([[x.value], x.gap, x.curvature[lower]]) for x in held]
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([current], kind), pa.array([np.concatenate(flat).tobytes()], pa.binary())],
-                    ["date", "sums"])
+                    [pa.array([current], kind), pa.array([np.concatenate(flat).tobytes()], pa.binary()),
+                     pa.array([close[:, 1:].tobytes()], pa.binary())], ["date", "sums", "near"])
 
             for batch in batches:
                 kind = batch.schema.field("date").type
@@ -423,12 +467,17 @@ def _solve(problem: Problem, rows: DataFrame, roots: DataFrame | None) -> dict:
                     d = _allowed(problem, z, _numbers(part, "d"), search.edge)
                     alpha, hold_all = _numbers(part, "alpha"), problem.hold_all(search)
                     sums = [Sums.over(z, alpha, d, u, hold_all) for u in search.points]
+                    found = np.empty((0, size + 3))
+                    if not hold_all:
+                        gain = (alpha - z @ search.points[search.center]) / np.maximum(np.abs(z).sum(axis=1), 1e-300)
+                        found = nearest(np.column_stack([gain, z, alpha, d])[d > 0])
                     if day == current:
                         held = [x + y for x, y in zip(held, sums, strict=True)]
+                        close = nearest(np.concatenate([close, found]))
                         continue
                     if held is not None:
                         yield record()
-                    current, held = day, sums
+                    current, held, close = day, sums, found
             if held is not None:
                 yield record()
 
@@ -440,11 +489,15 @@ def _solve(problem: Problem, rows: DataFrame, roots: DataFrame | None) -> dict:
                 curvature = np.zeros((size, size))
                 curvature[lower] = row[1 + size:]
                 sums.append(Sums(row[0], row[1:1 + size], np.tril(curvature) + np.tril(curvature, -1).T))
-            return problem.advance(search, sums, root)
+            following = problem.advance(search, sums, root)
+            if following.status is not None or problem.hold_all(search):
+                return following
+            near = np.concatenate([np.frombuffer(x.as_py()) for x in table.column("near")]).reshape(-1, size + 2)
+            return problem.near(search, sums, near, following, root)
 
         open_days = [day for day, s in searches.items() if s.status is None]
         wanted = rows.where(col("date").between(min(open_days), max(open_days))).select("date", "alpha", "d", "z")
-        partials = wanted.mapInArrow(partial, f"date {date}, sums binary")
+        partials = wanted.mapInArrow(partial, f"date {date}, sums binary, near binary")
         searches.update(_by_date(problem, partials, roots, advance))
         shared.destroy()
     return searches

@@ -248,3 +248,21 @@ def test_rounds_stay_few(spark, monkeypatch, sample):
     out = run_mvo_backtest(spark.createDataFrame(rows, SCHEMA), "s", ("FullInvestment", "LongOnly", "UnitBeta"), GAMMA)
     assert {r["status"] for r in out.select("status").distinct().collect()} == {"optimal"}
     assert len(rounds) <= (2 if sample == 512 else 12)
+
+
+def test_few_rounds_where_few_of_many_assets_are_held(spark, monkeypatch):
+    # Far more assets than the sample of the first trial, and a penalty so small that a handful is held.
+    rng = np.random.default_rng(5)
+    rows = [(day(f"2022-03-{d + 1:02d}"), f"US{i:05d}", float(rng.normal()), float(.5 + i % 100 / 100),
+             float(rng.uniform(.03, .08))) for d in range(3) for i in range(8000)]
+    frame = spark.createDataFrame(rows, "date date, barrid string, x_alpha double, predicted_beta double, "
+                                        "specific_risk double")
+    rounds, by_date = [], optimizer._by_date
+    monkeypatch.setattr(optimizer, "_by_date", lambda *a: rounds.append(1) or by_date(*a))
+    rules = ("FullInvestment", "LongOnly", "NoBuyingOnMargin", "UnitBeta")
+    weights = optimizer.run_mvo_backtest(frame, "x", rules, 10)
+    assert len(rounds) <= 8
+    found = optimizer.optimality(weights.join(frame, ["date", "barrid"]), "x_alpha", 10).collect()
+    assert [r["status"] for r in found] == ["optimal"] * 3
+    for r in found:
+        assert r["stationarity"] < 1e-6 and r["budget"] < 1e-8 and r["beta"] < 1e-8 and r["shorts"] == 0
