@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams (with word edges) hashed to embedding rows; a window
 of words is the average of the bags of its different words; two output vectors and a softmax give the classes. Rows and
 outputs are trained together by gradient descent in numpy on a bounded sample of labelled
-windows. A misspelt insult shares most n-grams with the word it stands for.
+windows, in one task; only the finished weights come to the driver. A misspelt insult shares most n-grams with the word it stands for.
 
 Labels belong to whole documents, insults to a few words. So a first model, trained on all
 sampled windows, drops those windows of toxic documents that look clean and are not their
@@ -18,6 +18,7 @@ rows of both classes every score is 0. Columns other than those named are ignore
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,7 +143,8 @@ def _fit(windows: Windows, at: np.ndarray, seed: int) -> tuple[np.ndarray, float
     labels = windows.label[at]
     rng = np.random.default_rng(seed)
     # The rows are ``decay * table``: all of them decay in every step, which costs one number.
-    table, decay = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS, 1.0
+    table, decay = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)), 1.0
+    table /= DIMENSIONS
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
     share = max(labels.mean(), 1e-6)
     importance = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6))
@@ -175,7 +177,8 @@ def _fit(windows: Windows, at: np.ndarray, seed: int) -> tuple[np.ndarray, float
                 first = np.flatnonzero(np.diff(rows, prepend=-1))
                 table[rows[first]] -= rate * ROW_RATE / decay * np.add.reduceat(back[owner[by_row]], first)
             decay *= 1 - rate * DECAY
-    return decay * table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
+    table *= decay
+    return table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
 class Scorer:
@@ -259,7 +262,8 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, piece, toxic: MAX_TOXIC and MAX_CLEAN windows at most, chosen by a hash of document and place.
+    """doc_id, piece, toxic: MAX_TOXIC and MAX_CLEAN windows at most, chosen by a hash of document and place,
+    toxic ones first and in the order of their hashes, in one partition.
 
     They come from MAX_DOCUMENTS labelled documents of each class at most, chosen by a hash of the
     id; that bound makes the list of chosen ids small enough to be broadcast.
@@ -274,19 +278,30 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         f"transform(sequence(0, greatest(size(w) - 1, 0), {WINDOW}), i -> array_join(slice(w, i + 1, {WINDOW}), ' '))"
     )).alias("place", "piece")).withColumn("h", F.xxhash64("doc_id", "place"))
     return pieces.where("toxic = 1").orderBy("h", "doc_id", "place").limit(MAX_TOXIC).unionByName(
-        pieces.where("toxic = 0").orderBy("h", "doc_id", "place").limit(MAX_CLEAN)).select(
-        "doc_id", "piece", "toxic")
+        pieces.where("toxic = 0").orderBy("h", "doc_id", "place").limit(MAX_CLEAN)).coalesce(1).sortWithinPartitions(
+        F.desc("toxic"), "h", "doc_id", "place").select("doc_id", "piece", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model from the bounded sample, which alone comes to the driver, as one Arrow table.
+    """The model from the bounded sample; one task trains it, and it alone comes to the driver.
 
     Without labelled rows, or with rows of one class only, there is no model.
     """
-    table = sample(docs, labels).toArrow().combine_chunks()
-    document, label = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
-    texts = pa.concat_arrays(table.column("piece").chunks) if table.num_rows else pa.array([], pa.string())
-    return train(Windows.of(document, texts, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        document, label = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+        model = train(Windows.of(document, pa.concat_arrays(table.column("piece").chunks), label))
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([{
+                "weight": model.weight.tobytes(), "bias": model.bias, "scale": float(model.scale),
+                "shift": float(model.shift)}])
+
+    found = sample(docs, labels).mapInArrow(run, "weight binary, bias double, scale double, shift double").collect()
+    return Model(np.frombuffer(found[0].weight, np.float32), *found[0][1:]) if found else None
 
 
 _scorers: dict[str, Scorer] = {}

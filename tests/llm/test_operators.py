@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import random
 import zlib
 
@@ -316,6 +317,25 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.fit(docs.limit(0), none) is None
 
 
+def test_toxicity_is_trained_outside_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(20, i)) for i in range(8)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda windows: toxicity.Model(
+        np.zeros(toxicity.BUCKETS, np.float32), float(os.getpid()), 1.0, 0.0))
+    model = toxicity.fit(docs, labels)
+    assert model.bias != os.getpid() and model.weight.shape == (toxicity.BUCKETS,)
+
+
+def test_toxicity_sample_in_a_fixed_order(spark):
+    docs = spark.createDataFrame([(i, prose(100, i)) for i in range(60)], "doc_id bigint, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    found = toxicity.sample(docs, labels)
+    rows = [tuple(r) for r in found.collect()]
+    assert found.rdd.getNumPartitions() == 1 and len(rows) > 100
+    assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
+    assert rows == [tuple(r) for r in toxicity.sample(docs.repartition(3), labels).collect()]
+
+
 @pytest.mark.parametrize("text, labels, score", [
     ("released undor the mit licence", "mit-notice", 1 - 2 / 30),
     ("Licensed under CC BY-SA 4.0", "cc-by-sa-notice", 1.0), ("licensed under cc by nd 4.0.", "cc-by-nd-notice", 1.0),
