@@ -5,8 +5,8 @@ from __future__ import annotations
 
 import base64
 import math
-import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -317,23 +317,19 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.fit(docs.limit(0), none) is None
 
 
-def test_toxicity_is_trained_outside_the_driver(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, prose(20, i)) for i in range(8)], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, toxic int")
-    monkeypatch.setattr(toxicity, "train", lambda windows: toxicity.Model(
-        np.zeros(toxicity.BUCKETS, np.float32), float(os.getpid()), 1.0, 0.0))
-    model = toxicity.fit(docs, labels)
-    assert model.bias != os.getpid() and model.weight.shape == (toxicity.BUCKETS,)
-
-
-def test_toxicity_sample_in_a_fixed_order(spark):
-    docs = spark.createDataFrame([(i, prose(100, i)) for i in range(60)], "doc_id bigint, text string").repartition(7)
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int")
-    found = toxicity.sample(docs, labels)
-    rows = [tuple(r) for r in found.collect()]
-    assert found.rdd.getNumPartitions() == 1 and len(rows) > 100
-    assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
-    assert rows == [tuple(r) for r in toxicity.sample(docs.repartition(3), labels).collect()]
+def test_toxicity_windows_take_little_more_than_they_hold():
+    n = 64_000
+    texts = pa.array([" ".join(f"{j * 7919:09d}é" for j in range(i, i + 32)) for i in range(0, n, 32)])
+    tracemalloc.start()
+    windows = toxicity.Windows.of(np.arange(n // 32), texts, np.arange(n // 32) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = sum(x.nbytes for x in (windows.words, windows.word_edges, windows.buckets, windows.bucket_edges))
+    assert len(windows.bucket_edges) == n + 1 and peak < 4 * held
+    words = [w for t in texts.to_pylist() for w in t.split()]
+    for at in (0, toxicity.WORDS_AT_ONCE - 1, toxicity.WORDS_AT_ONCE, n - 1):
+        low, high = windows.bucket_edges[windows.words[at]:windows.words[at] + 2]
+        assert windows.buckets[low:high].tolist() == toxicity.grams([words[at]])[1].tolist()
 
 
 @pytest.mark.parametrize("text, labels, score", [
