@@ -183,7 +183,7 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = written(frame.select("id", *hashes, "text").join(held.select("id").distinct(), "id", "left_semi").join(
         signed.select("id", "h1", "h2", "short"), ["id", "h1", "h2"]).select("id", "text", "short").distinct(), "minhash-texts")
 
-    links = group = None
+    group = None
     for rounds in range(STAR_ROUNDS):
         now = _grouped(held, group)
         # One of each band: an id of its least group, another one each round. Each id is compared
@@ -194,12 +194,16 @@ def groups(docs: DataFrame) -> DataFrame:
             F.max(F.struct("c", F.col("b"))).alias("m")).select("a", "m.b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(verified(pairs, texts), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        group = components(links, "minhash-groups")
-    links = links.unionByName(_rest(_grouped(held, group), texts))
+        group = components(found if group is None else _links(group).unionByName(found), "minhash-groups")
+    links = _links(group).unionByName(_rest(_grouped(held, group), texts))
     return components(links.unionByName(copies), "minhash-classes")
 
 
+def _links(group: DataFrame) -> DataFrame:
+    """One link for each id of a group but its least, to that one; they stand for all links of the group."""
+    return group.select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
 def _grouped(held: DataFrame, group: DataFrame | None) -> DataFrame:
     """id, band and g, the group of each id so far."""
     if group is None:

@@ -16,12 +16,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     logarithm of the longest path. An id's neighbours are only grouped to find their least, which
     is combined before the shuffle, and joined back, which may be split, so that an id linked to
     very many others is no single task's load. Each round is written to the shared folder; only
-    two sums come to the driver.
+    two sums come to the driver. The rounds end with one that changes nothing, so links that are
+    contracted already take one.
     """
     a, b = edges.columns
     now = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct(),
                   name)
-    seen = None
+    seen = _state(now)
     while True:
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
@@ -34,9 +35,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = down.join(lowest, "v").select(F.col("l").alias("lo"), F.col("m").alias("hi")).where("lo < hi").unionByName(
             lowest.select(F.col("l").alias("lo"), F.col("v").alias("hi")))
         now = written(small.distinct(), name)
-        total = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        state = (total[0], total[1])
+        state = _state(now)
         if state == seen:
             break
         seen = state
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+
+
+def _state(now: DataFrame) -> tuple:
+    """The number of links and the sum of their hashes."""
+    return tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())

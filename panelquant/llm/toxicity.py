@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams (with word edges) hashed to embedding rows; a window
 of words is the average of the bags of its different words; two output vectors and a softmax give the classes. Rows and
 outputs are trained together by gradient descent in numpy on a bounded sample of labelled
-windows. A misspelt insult shares most n-grams with the word it stands for.
+windows, in one task; only the finished weights come to the driver. A misspelt insult shares most n-grams with the word it stands for.
 
 Labels belong to whole documents, insults to a few words. So a first model, trained on all
 sampled windows, drops those windows of toxic documents that look clean and are not their
@@ -18,6 +18,7 @@ rows of both classes every score is 0. Columns other than those named are ignore
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,8 +49,8 @@ ROW_RATE = 20.0
 OUTPUT_RATE = 4.0
 DECAY = 1e-4
 BATCH = 64
-#: Words whose n-grams are taken, and windows whose margins are summed, at once.
-WORDS_AT_ONCE, WINDOWS_AT_ONCE = 8_192, 128
+#: Texts whose words are found, words whose n-grams are taken, and windows whose margins are summed, at once.
+TEXTS_AT_ONCE, WORDS_AT_ONCE, WINDOWS_AT_ONCE = 1_024, 8_192, 128
 THRESHOLD = 0.7
 MOST_CACHED = 1 << 17
 _SPACES = np.arange(256, dtype=np.uint8)
@@ -106,18 +107,29 @@ class Windows:
 
     @staticmethod
     def of(document: np.ndarray, texts: pa.Array, label: np.ndarray) -> Windows:
-        found = distinct_words(texts, _SPACES)
-        owner = np.repeat(np.arange(len(label)), np.diff(found.edges))
-        size = max(len(found.distinct), 1)
-        once = np.unique(owner * size + found.number)
-        parts, counts = [np.zeros(0, np.int32)], [np.zeros(int(not len(found.distinct)), np.int64)]
-        for low in range(0, len(found.distinct), WORDS_AT_ONCE):
-            some = [w.decode() for w in objects(found.distinct.slice(low, WORDS_AT_ONCE))]
+        # Some texts at a time; their words are numbered by the first place in all texts.
+        found = []
+        for low in range(0, len(label), TEXTS_AT_ONCE):
+            some = distinct_words(texts.slice(low, TEXTS_AT_ONCE), _SPACES)
+            found.append((some.distinct, some.number, np.diff(some.edges)))
+            del some
+            pa.default_memory_pool().release_unused()
+        numbered = pa.concat_arrays([x[0] for x in found] or [pa.array([], pa.large_binary())]).dictionary_encode()
+        distinct, size = numbered.dictionary, max(len(numbered.dictionary), 1)
+        words, each, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        for own, number, lengths in found:
+            number = numbered.indices[at:at + len(own)].to_numpy()[number]
+            at += len(own)
+            once = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + number)
+            words.append((once % size).astype(np.int32))
+            each.append(np.bincount(once // size, minlength=len(lengths)))
+        parts, counts = [np.zeros(0, np.int32)], [np.zeros(int(not len(distinct)), np.int64)]
+        for low in range(0, len(distinct), WORDS_AT_ONCE):
+            some = [w.decode() for w in objects(distinct.slice(low, WORDS_AT_ONCE))]
             ids, buckets = grams(some)
             parts.append(buckets[np.argsort(ids, kind="stable")])
             counts.append(np.bincount(ids, minlength=len(some)))
-        return Windows(document, label, (once % size).astype(np.int32),
-                       np.searchsorted(once, np.arange(len(label) + 1) * size),
+        return Windows(document, label, np.concatenate(words), np.cumsum(np.concatenate(each)),
                        np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))]))
 
     def of_windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +280,8 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, piece, toxic: MAX_TOXIC and MAX_CLEAN windows at most, chosen by a hash of document and place.
+    """doc_id, piece, toxic: MAX_TOXIC and MAX_CLEAN windows at most, chosen by a hash of document and place,
+    toxic ones first and in the order of their hashes, in one partition.
 
     They come from MAX_DOCUMENTS labelled documents of each class at most, chosen by a hash of the
     id; that bound makes the list of chosen ids small enough to be broadcast.
@@ -283,19 +296,34 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         f"transform(sequence(0, greatest(size(w) - 1, 0), {WINDOW}), i -> array_join(slice(w, i + 1, {WINDOW}), ' '))"
     )).alias("place", "piece")).withColumn("h", F.xxhash64("doc_id", "place"))
     return pieces.where("toxic = 1").orderBy("h", "doc_id", "place").limit(MAX_TOXIC).unionByName(
-        pieces.where("toxic = 0").orderBy("h", "doc_id", "place").limit(MAX_CLEAN)).select(
-        "doc_id", "piece", "toxic")
+        pieces.where("toxic = 0").orderBy("h", "doc_id", "place").limit(MAX_CLEAN)).coalesce(1).sortWithinPartitions(
+        F.desc("toxic"), "h", "doc_id", "place").select("doc_id", "piece", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model from the bounded sample, which alone comes to the driver, as one Arrow table.
+    """The model from the bounded sample; one task trains it, and it alone comes to the driver.
 
     Without labelled rows, or with rows of one class only, there is no model.
     """
-    table = sample(docs, labels).toArrow().combine_chunks()
-    document, label = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
-    texts = pa.concat_arrays(table.column("piece").chunks) if table.num_rows else pa.array([], pa.string())
-    return train(Windows.of(document, texts, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        document, label = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+        windows = Windows.of(document, pa.concat_arrays(table.column("piece").chunks), label)
+        del table
+        pa.default_memory_pool().release_unused()  # the worker lives on
+        model = train(windows)
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([{
+                "weight": model.weight.tobytes(), "bias": model.bias, "scale": float(model.scale),
+                "shift": float(model.shift)}])
+
+    found = sample(docs, labels).mapInArrow(run, "weight binary, bias double, scale double, shift double").collect()
+    return Model(np.frombuffer(found[0].weight, np.float32), *found[0][1:]) if found else None
 
 
 _scorers: dict[str, Scorer] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import random
 import tracemalloc
 import zlib
@@ -279,6 +280,17 @@ def test_components(spark):
     assert got == {i: c for i, c in brute.classes(links, ids).items() if i != c}
 
 
+def test_components_of_contracted_links_take_one_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name, f=components.written: tables.append(name) or f(df, name))
+    star = [(1, i) for i in range(2, 40)] + [(50, 51)]
+    got = components.components(spark.createDataFrame(star, "a bigint, b bigint")).collect()
+    assert sorted((c, i) for i, c in got) == star and len(tables) == 2
+    tables.clear()
+    none = components.components(spark.createDataFrame([], "a bigint, b bigint"))
+    assert none.collect() == [] and len(tables) == 2
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -332,6 +344,35 @@ def test_toxicity_windows_take_little_more_than_they_hold():
         assert windows.buckets[low:high].tolist() == toxicity.grams([words[at]])[1].tolist()
 
 
+def test_toxicity_windows_do_not_depend_on_how_many_texts_are_taken_at_once(monkeypatch):
+    texts = pa.array([*(prose(20, i % 7) + f" own{i} #" for i in range(50)), "", None, " \n", "last é\U0001F600"])
+    whole = toxicity.Windows.of(np.arange(54), texts, np.arange(54) % 2)
+    for n in (1, 3, 53):
+        monkeypatch.setattr(toxicity, "TEXTS_AT_ONCE", n)
+        some = toxicity.Windows.of(np.arange(54), texts, np.arange(54) % 2)
+        for name in ("words", "word_edges", "buckets", "bucket_edges"):
+            assert (getattr(some, name) == getattr(whole, name)).all(), name
+
+
+def test_toxicity_is_trained_outside_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(20, i)) for i in range(8)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda windows: toxicity.Model(
+        np.zeros(toxicity.BUCKETS, np.float32), float(os.getpid()), 1.0, 0.0))
+    model = toxicity.fit(docs, labels)
+    assert model.bias != os.getpid() and model.weight.shape == (toxicity.BUCKETS,)
+
+
+def test_toxicity_sample_in_a_fixed_order(spark):
+    docs = spark.createDataFrame([(i, prose(100, i)) for i in range(60)], "doc_id bigint, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    found = toxicity.sample(docs, labels)
+    rows = [tuple(r) for r in found.collect()]
+    assert found.rdd.getNumPartitions() == 1 and len(rows) > 100
+    assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
+    assert rows == [tuple(r) for r in toxicity.sample(docs.repartition(3), labels).collect()]
+
+
 @pytest.mark.parametrize("text, labels, score", [
     ("released undor the mit licence", "mit-notice", 1 - 2 / 30),
     ("Licensed under CC BY-SA 4.0", "cc-by-sa-notice", 1.0), ("licensed under cc by nd 4.0.", "cc-by-nd-notice", 1.0),
