@@ -184,6 +184,40 @@ def test_embeddings(spark):
     assert embeddings.deduplicate(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 19, 2000])
+def test_embeddings_are_not_copied_for_every_pair(spark, monkeypatch, part_bytes):
+    """Parts of any size, large cells in pieces, two lengths of vectors and doubles: vectors go to no pair as rows."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(80, 24))
+    base[20:40] = base[0] + rng.normal(size=(20, 24)) * 0.6
+    rows = [(i, (base[i % 80] + rng.normal(size=24) * (0.2 if i >= 80 else 0)).tolist()) for i in range(400)]
+    rows += [(500 + i, (base[0][:8] + rng.normal(size=8) * 0.3).tolist()) for i in range(60)] + [(600, rows[7][1]), (7, rows[7][1])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want, ids = {}, []
+    for d in (8, 24):
+        same = {i: v for i, v in rows if len(v) == d}
+        x = np.array([*same.values()])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        ids = [*same]
+        group = brute.classes([(ids[a], ids[b]) for a, b in np.argwhere(near)], ids)
+        want |= {i: (int(near[k].sum()), group[i], group[i] == i) for k, i in enumerate(ids)}
+    plans = []
+
+    def noted(df, name, write=embeddings.written):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(embeddings, "written", noted)
+    for name in ("LEAST_BYTES", "PART_BYTES"):
+        monkeypatch.setattr(embeddings, name, part_bytes, raising=False)
+    got = {r[0]: tuple(r)[1:] for r in embeddings.deduplicate(frame, cells=5).collect()}
+    assert got == want
+    plan = dict(plans)["embedding-links"]
+    assert "Generate explode" not in plan and "CartesianProduct" in plan
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(4)
     bad = ["grubworm", "slimeball", "numbskull"]
