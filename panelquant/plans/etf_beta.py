@@ -9,7 +9,7 @@ from panelquant.operators.covariance import (asset_beta, covariance_against, per
                                              products_with)
 from panelquant.operators.holdings import (align_weights, beta_neutral_overlay, dropped_tickers,
                                            map_tickers)
-from panelquant.session import materialise
+from panelquant.session import materialise, written
 
 
 def aligned_by_asset(holdings: DataFrame, basket: DataFrame, ids: DataFrame) -> DataFrame:
@@ -27,11 +27,11 @@ def etf_beta(holdings: DataFrame, basket: DataFrame, ids: DataFrame, returns: Da
     and ``returns`` has ``barrid, date, return``.
 
     Returns of other assets are dropped before anything is paired, and only covariances of an asset
-    with a member of the basket are computed. Positions and covariances with the basket, one row per
-    asset each, are written once; all tables read those.
+    with a member of the basket are computed, block by block and without a row for each. These returns, the
+    positions and the covariances with the basket, one row per asset each, are written once; all tables read those.
     """
     aligned = materialise(aligned_by_asset(holdings, basket, ids))
-    used = returns.join(aligned.select(col("asset").alias("barrid")), "barrid", "left_semi")
+    used = written(returns.join(aligned.select(col("asset").alias("barrid")), "barrid", "left_semi"), "beta-returns")
     cells = covariance_against(used, aligned.where(col("basket_weight") != 0), periods_per_year)
     products = materialise(products_with(periodic(cells, periods_per_year), aligned, "basket_weight"))
     beta = portfolio_beta(products, aligned, "portfolio_weight", "basket_weight")

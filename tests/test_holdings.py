@@ -7,7 +7,7 @@ import pytest
 
 from panelquant.operators.covariance import (asset_beta, both_triangles, covariance_against,
                                              construct_covariance_matrix, matrix_vector, periodic,
-                                             portfolio_beta, trailing_returns)
+                                             portfolio_beta, products_with, trailing_returns)
 from panelquant.operators.holdings import (align_weights, dropped_tickers, holdings_weights,
                                            last_by_key, map_tickers, ticker_union)
 from panelquant.plans.etf_beta import etf_beta
@@ -177,6 +177,45 @@ def test_covariance_against_members_only(returns, blocks):
         assert got[key][1] == (None if c is None else pytest.approx(c))
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_products_of_blocks_make_no_row_for_a_cell(returns, blocks):
+    """Gaps, assets without a common date or with one only, repeated, zero and missing weights: as from the cells."""
+    frame, x = returns
+    spark = frame.sparkSession
+    alone = [(day("2023-01-20"), "US30", .5), (day("2023-01-20"), "US31", .25), (day("2022-01-01"), "US32", 1.)]
+    frame = frame.unionByName(spark.createDataFrame(alone, "date date, barrid string, `return` double"))
+    held = [("US03", .5), ("US07", -.25), ("US07", .5), ("US22", 0.), ("US30", 2.), ("US05", None), ("none", 1.), (None, 1.)]
+    weights = spark.createDataFrame(held, "asset string, w double")
+    cells = periodic(covariance_against(frame, weights, 252, blocks), 252)
+    got = products_with(cells, weights, "w")
+    # The old way: every cell a row, joined with the weights.
+    rows = products_with(cells.select("*"), weights, "w")
+    assert {r["asset"]: r["product"] for r in got.collect()} == {
+        r["asset"]: None if r["product"] is None else pytest.approx(r["product"]) for r in rows.collect()}
+    assert None in {r["product"] for r in got.collect()}
+    plans = [t._jdf.queryExecution().executedPlan().toString() for t in (got, rows)]
+    assert ["asset_j" in plan for plan in plans] == [False, True]
+    assert covariance_against(frame, weights, 252, blocks).count() == cells.count()
+
+
+def test_the_beta_job_makes_its_returns_once(spark, ids):
+    """Counts how often the returns are read to get all of the job's tables."""
+    names = ["US1", "US2", "US3"]
+    rows = [(day(f"2023-01-{1 + t:02d}"), n, (t * (i + 3) % 7) / 10) for t in range(20) for i, n in enumerate(names)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "date date, barrid string, `return` double"
+    table = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    tables = etf_beta(weights(spark, {"ALP": .2, "BET": .8}), weights(spark, {"ALP": .6, "GAM": .4}), ids, table)
+    assert tables["asset_beta"].count() == 3 and tables["overlay"].count() == 3 and tables["beta"].count() == 1
+    assert read.value == len(rows)
+
+
 def test_the_whole_beta_job(spark, ids):
     x = np.random.default_rng(11).normal(size=(40, 4))
     names = ["US1", "US2", "US3", "US4"]  # the last is neither held nor in the basket
