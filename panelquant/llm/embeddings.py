@@ -179,8 +179,9 @@ def links(vectors: DataFrame, cosine: float = COSINE, cells: int = CELLS, block:
     # One row per cell, at most ``cells`` for each length of vectors. Cells are dealt into parts in their order.
     counts = written(assigned.groupBy("d", "cell").agg(F.count("*").alias("m")), "embedding-cells")
     whole = counts.agg(F.sum(F.col("m") * F.col("d")).alias("values")).first()["values"] or 0
-    wanted = max(1, min(-(-whole * kind.itemsize // LEAST_BYTES), MANY_PARTS), -(-whole * kind.itemsize // PART_BYTES))
-    most = F.ceil(F.lit(-(-whole // min(wanted, MOST_PARTS))) / F.col("d"))
+    held = whole * kind.itemsize
+    parts = min(max(1, min(-(-held // LEAST_BYTES), MANY_PARTS), -(-held // PART_BYTES)), MOST_PARTS)
+    most = F.ceil(F.lit(-(-whole // parts)) / F.col("d"))
     before = F.sum("m").over(Window.partitionBy("d").orderBy("cell")) - F.col("m")
     sized = counts.withColumn("pieces", F.ceil(F.col("m") / most)).select(
         "d", "cell", "pieces", F.when(F.col("pieces") > 1, F.lit(0)).otherwise(F.floor(before / most)).alias("place"))
@@ -189,7 +190,8 @@ def links(vectors: DataFrame, cosine: float = COSINE, cells: int = CELLS, block:
         "part", F.coalesce(piece, F.col("place")).cast("long")).drop("pieces", "place")
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cell")
+        # In full order, so that a part that is made again is the same row.
+        table = table.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
         d = table.column("d")[0].as_py()
         held = {"cells": table.column("cell").to_numpy().astype("<i8"), "ids": table.column("vec_id").to_numpy().astype("<i8"),
                 "n": table.column("n").to_numpy().astype("<i8"), "vectors": _matrix(table.column("v").combine_chunks(), d).astype(kind)}
@@ -198,8 +200,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, cells: int = CELLS, block:
 
     packed = dealt.groupBy("d", "part").applyInArrow(
         pack, "d int, part bigint, cells binary, ids binary, n binary, vectors binary")
-    sides = [packed.repartition(wanted if wanted < MOST_PARTS else MOST_PARTS).select(F.struct("*").alias(name))
-             for name in ("left", "right")]
+    sides = [packed.repartition(parts).select(F.struct("*").alias(name)) for name in ("left", "right")]
     # Written without an equality to join by: lengths would send all to a few tasks.
     paired = sides[0].crossJoin(sides[1].hint("shuffle_replicate_nl")).where(
         "abs(left.d - right.d) < 1 AND left.part <= right.part")
